@@ -202,7 +202,8 @@ def cjk_lexicon(spark, sf):
     posts = V.han_posts(spark, sf)
     runs = segment.cjk_run_counts(posts).where(F.length("run").between(2, 4))
     ranked = freq.top_words(runs.withColumnRenamed("run", "word"), 300)
-    return segment.segmented_word_counts(posts, ranked.select(F.col("word").alias("term")))
+    terms = ranked.select(F.col("word").alias("term")).persist()
+    return segment.segmented_word_counts(posts, terms)
 
 
 # --- counts and rankings ---------------------------------------------------------------

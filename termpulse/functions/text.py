@@ -143,13 +143,16 @@ def cjk_bigrams(text: Column) -> Column:
     )
 
 
-def char_ngrams(text: Column, size: Column) -> Column:
-    """All overlapping ``size``-character substrings, in order, in one pass.
+def char_windows(text: Column, least: Column, most: Column) -> Column:
+    """The substring at every offset: ``most`` characters, fewer near the end.
 
-    The match consumes one full code point at a time, so surrogate pairs are
-    never cut and the array index is the character offset.
+    Offsets with fewer than ``least`` characters left give none. The match
+    consumes one full code point at a time, so surrogate pairs are never cut and
+    the array index is the character offset.
     """
-    pattern = F.concat(F.lit("(?s)(?=(.{"), size.cast("string"), F.lit("}))."))
+    pattern = F.concat(
+        F.lit("(?s)(?=(.{"), least.cast("string"), F.lit(","), most.cast("string"), F.lit("}))."),
+    )
     return F.regexp_extract_all(text, pattern, F.lit(1))
 
 

@@ -4,37 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termpulse import settings as S
+from termpulse.functions.arrays import count_words, heaviest, let, word_positions
 from termpulse.functions.text import tokenize
 from termpulse.operators.filters import non_empty
 from termpulse.operators.lookup import WordTable, lookup_words
-from termpulse.operators.tokens import word_rows
 
 WINDOW = 5
 DAMPING = 0.85
 ROUNDS = 10
 
 
-def _top_k(weighted: DataFrame, k: int, key: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc("weight"), "word")
-    return (
-        weighted.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= k)
-        .select(key, "rank", "word", "weight")
+def _ranked(posts: DataFrame, keywords: Column, key: str) -> DataFrame:
+    """``key, rank, word, weight`` from an array of ranked keywords."""
+    return posts.select(key, F.posexplode(keywords).alias("_pos", "_kw")).select(
+        key,
+        (F.col("_pos") + 1).alias("rank"),
+        F.col("_kw.word").alias("word"),
+        F.col("_kw.weight").alias("weight"),
     )
 
 
-def _token_counts(
-    posts: DataFrame, stopwords: Iterable[str], key: str, content: str
-) -> DataFrame:
-    """``key, word, tf``: distinct words of each post."""
-    rows = word_rows(posts, (key,), stopwords, content=content)
-    return rows.groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def keywords_by_frequency(
     posts: DataFrame,
     k: int = S.KEYWORDS_K,
@@ -42,9 +35,13 @@ def keywords_by_frequency(
     key: str = "id",
     content: str = "content",
 ) -> DataFrame:
-    """``key, rank, word, weight`` with the count as weight."""
-    counts = _token_counts(posts, stopwords, key, content)
-    return _top_k(counts.select(key, "word", F.col("tf").alias("weight")), k, key)
+    """``key, rank, word, weight`` with the count as weight.
+
+    A post's words are counted and ranked inside its row: no shuffle at all.
+    """
+    counts = count_words(tokenize(F.col(content), stopwords))
+    weighted = F.transform(counts, lambda c: F.struct(c["word"].alias("word"), c["tf"].alias("weight")))
+    return _ranked(non_empty(posts, content), heaviest(weighted, k), key)
 
 
 # --- TF-IDF ----------------------------------------------------------------------
@@ -82,22 +79,28 @@ def keywords_by_tfidf(
 ) -> DataFrame:
     """``key, rank, word, weight`` with ``tf / length * idf``, six decimals.
 
-    Use the stopwords the table was fitted with; words it lacks are skipped. The
-    post's length is known before its tokens are split off, and both the word
-    counts and the ranking are keyed by post.
+    Use the stopwords the table was fitted with; words it lacks are skipped.
+    Words are counted inside the post's row. With a table small enough to
+    broadcast the only shuffle is the ranking's, and each task sends at most
+    ``k`` rows per post into it.
     """
-    tokens = tokenize(F.col(content), stopwords)
-    counts = (
-        non_empty(posts, content)
-        .select(key, tokens.alias("_tokens"))
-        .select(key, F.size("_tokens").alias("_len"), F.explode("_tokens").alias("word"))
-        .groupBy(key, "_len", "word")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    counted = let(
+        tokenize(F.col(content), stopwords),
+        lambda ts: F.transform(
+            count_words(ts),
+            lambda c: F.struct(c["word"].alias("word"), (c["tf"] / F.size(ts)).alias("share")),
+        ),
+    )
+    rows = non_empty(posts, content).select(key, F.explode(counted).alias("c"))
+    weighted = lookup_words(rows.select(key, "c.word", "c.share"), idf, ["idf"], key).select(
+        key, "word", F.bround(F.col("share") * F.col("idf"), 6).alias("weight")
     )
-    weighted = lookup_words(counts, idf, ["idf"], key).select(
-        key, "word", F.bround(F.col("tf") / F.col("_len") * F.col("idf"), 6).alias("weight")
+    w = Window.partitionBy(key).orderBy(F.desc("weight"), "word")
+    return (
+        weighted.withColumn("rank", F.row_number().over(w))
+        .where(F.col("rank") <= k)
+        .select(key, "rank", "word", "weight")
     )
-    return _top_k(weighted, k, key)
 
 
 # --- TextRank --------------------------------------------------------------------
@@ -119,77 +122,83 @@ def keywords_by_textrank(
     often. All ranks start at 1 and ``rounds`` synchronous updates follow
     (Mihalcea and Tarau, 2004). Words without a link are not ranked.
 
-    A token pairs with its next ``window - 1`` neighbours only, so pairs grow
-    with the text and not with its square. The graph of a post is as bounded as
-    the post: it is brought together in one row, where all rounds run as array
-    expressions. Two shuffles in total, whatever the number of rounds, and no
-    lineage to cut.
+    The graph of a post follows from the post alone, so everything runs as
+    array expressions inside the post's row, without any shuffle. Each token
+    has at most ``2 * (window - 1)`` neighbours: the graph grows with the text,
+    not with its square, and rounds add no lineage.
     """
-    tokens = F.col("_tokens")
-    n = F.size(tokens)
-    shifted = F.transform(
-        F.sequence(F.lit(1), F.lit(window - 1)),
-        lambda d: F.zip_with(
-            F.slice(tokens, 1, F.greatest(n - d, F.lit(0))),
-            F.slice(tokens, d + 1, F.greatest(n - d, F.lit(0))),
-            lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")),
-        ),
-    )
-    pairs = (
-        non_empty(posts, content)
-        .select(key, tokenize(F.col(content), stopwords).alias("_tokens"))
-        .select(key, F.explode(F.flatten(shifted)).alias("p"))
-        .where(F.col("p.a") != F.col("p.b"))
-        .groupBy(key, F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-        .agg(F.count(F.lit(1)).alias("w"))
+    return _ranked(
+        non_empty(posts, content),
+        heaviest(textrank(tokenize(F.col(content), stopwords), window, damping, rounds), k),
+        key,
     )
-    both = F.explode(
-        F.array(
-            F.struct(F.col("a").alias("from"), F.col("b").alias("to")),
-            F.struct(F.col("b").alias("from"), F.col("a").alias("to")),
+
+
+def textrank(
+    tokens: Column, window: int = WINDOW, damping: float = DAMPING, rounds: int = ROUNDS
+) -> Column:
+    """``array<struct<word, weight>>`` of a token array, weights to six decimals."""
+    reach = window - 1
+
+    def neighbours(nodes: Column) -> Column:
+        """Per word the numbers of the words near any of its places, with repeats."""
+        in_order = F.sort_array(
+            F.flatten(
+                F.transform(
+                    nodes,
+                    lambda n, g: F.transform(n["at"], lambda p: F.struct(p.alias("p"), g.alias("g"))),
+                )
+            )
         )
-    )
-    # Every word is a source and a target, so both dense ranks number the words
-    # alike. From here on all steps share one partitioning by post.
-    links = (
-        pairs.select(key, "w", both.alias("l"))
-        .select(key, "w", "l.from", "l.to")
-        .repartition(key)
-        .withColumn("i", F.dense_rank().over(Window.partitionBy(key).orderBy("from")))
-        .withColumn("j", F.dense_rank().over(Window.partitionBy(key).orderBy("to")))
-        .withColumn("out", F.sum("w").over(Window.partitionBy(key, "i")))
-    )
-    # Word i passes the share w / out(i) of its rank on to its neighbour j; each
-    # node keeps the list of shares flowing into it.
-    graph = (
-        links.groupBy(key, "j", F.col("to").alias("word"))
-        .agg(F.collect_list(F.struct("i", (F.col("w") / F.col("out")).alias("share"))).alias("inflow"))
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("j", "word", "inflow"))).alias("nodes"))
-    )
-    start = F.transform("nodes", lambda _: F.lit(1.0))
-
-    def update(ranks, _):
-        return F.transform(
-            "nodes",
-            lambda node: F.lit(1.0 - damping)
-            + F.lit(damping)
-            * F.aggregate(
-                node["inflow"], F.lit(0.0), lambda s, e: s + e["share"] * F.get(ranks, e["i"] - 1)
+
+        def near(seq: Column, p: Column) -> Column:
+            first = F.greatest(p + 1 - reach, F.lit(1))
+            return F.slice(seq, first, p + 2 + reach - first)
+
+        return let(
+            F.transform(in_order, lambda x: x["g"]),
+            lambda seq: F.transform(
+                nodes,
+                lambda n, g: F.flatten(
+                    F.transform(n["at"], lambda p: F.filter(near(seq, p), lambda x: x != g))
+                ),
             ),
         )
 
-    ranks = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, update)
-    weighted = (
-        graph.select(key, "nodes", ranks.alias("ranks"))
-        .select(key, "ranks", F.posexplode("nodes").alias("p", "node"))
-        .select(
-            key,
-            F.col("node.word").alias("word"),
-            F.bround(F.get("ranks", F.col("p")), 6).alias("weight"),
+    # The running state is each word's rank divided by its number of links,
+    # which is what it passes on along every one of them.
+    def links(ns: Column) -> Column:
+        return F.greatest(F.size(ns), F.lit(1))
+
+    def rank(ns: Column, passed: Column) -> Column:
+        inflow = F.aggregate(ns, F.lit(0.0), lambda total, j: total + F.get(passed, j))
+        return F.lit(1.0 - damping) + F.lit(damping) * inflow
+
+    def spread(near: Column, n: int) -> Column:
+        start = F.transform(near, lambda ns: F.lit(1.0) / links(ns))
+        if n == 0:
+            return start
+        return F.aggregate(
+            F.sequence(F.lit(1), F.lit(n)),
+            start,
+            lambda passed, _: F.transform(near, lambda ns: rank(ns, passed) / links(ns)),
         )
+
+    def solve(nodes: Column, near: Column) -> Column:
+        weights = let(
+            spread(near, rounds - 1),
+            lambda passed: F.transform(
+                near, lambda ns: F.when(F.size(ns) > 0, F.bround(rank(ns, passed), 6))
+            ),
+        )
+        pairs = F.zip_with(
+            nodes, weights, lambda n, w: F.struct(n["word"].alias("word"), w.alias("weight"))
+        )
+        return F.filter(pairs, lambda x: x["weight"].isNotNull())
+
+    return let(
+        word_positions(tokens), lambda nodes: let(neighbours(nodes), lambda near: solve(nodes, near))
     )
-    return _top_k(weighted, k, key)
 
 
 def extract_keywords(

@@ -16,14 +16,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termpulse import settings as S
-from termpulse.functions.text import char_ngrams
+from termpulse.functions.text import char_windows
 from termpulse.storage import fits_broadcast
 
 _STRINGS = T.ArrayType(T.StringType())
 
 
+def _found(text: Column, wanted: str, regex: bool = False) -> Column:
+    return F.filter(wanted, lambda w: F.rlike(text, w) if regex else F.contains(text, w))
+
+
 def with_found_words(
-    posts: DataFrame, words: Column, content: str = "content", regex: bool = False, column: str = "words"
+    posts: DataFrame, words: Column, content: str = "content", column: str = "words"
 ) -> DataFrame:
     """Add the array of those ``words`` that occur in each post.
 
@@ -31,10 +35,8 @@ def with_found_words(
     ``INLINE_WORDS`` entries. Still one row per post: this is the narrow table
     to persist when several results are wanted from one scan.
     """
-    text = F.col(content)
-    posts = posts.withColumn("_wanted", words)
-    found = F.filter("_wanted", lambda w: F.rlike(text, w) if regex else F.contains(text, w))
-    return posts.withColumn(column, F.coalesce(found, F.array().cast(_STRINGS))).drop("_wanted")
+    found = F.coalesce(_found(F.col(content), "_wanted"), F.array().cast(_STRINGS))
+    return posts.withColumn("_wanted", words).withColumn(column, found).drop("_wanted")
 
 
 def literal_words(words: Sequence[str]) -> Column:
@@ -46,42 +48,62 @@ def subquery_words(ranked: DataFrame) -> Column:
     return ranked.agg(F.collect_list("word").alias("w")).scalar()
 
 
-def found_by_ngrams(
-    posts: DataFrame, terms: DataFrame, term: str = "term", keep: Sequence[str] = ("id",), content: str = "content"
+def _size_class(term: Column) -> Column:
+    """Largest power of two not above the length: 1, 2, 4, 8, ..."""
+    return F.pow(F.lit(2), F.length(F.bin(F.length(term))) - 1).cast("int")
+
+
+def term_hits(
+    texts: DataFrame, terms: DataFrame, text: str, term: str = "term", keep: Sequence[str] = ("id",)
 ) -> DataFrame:
-    """``keep`` columns plus the columns of ``terms``, one row per post and term found.
-
-    For term tables of any size. For each term length that occurs, every post
-    yields its distinct substrings of that length, and a substring equal to a
-    term is a match: exact, without a verifying pass and without comparing
-    every term with every post. A small term table is broadcast and the
-    substrings never leave their task. A big one is shuffled with ``SALTS``
-    copies per term, so that a substring found in a third of all posts spreads
-    over as many tasks.
+    """``keep``, ``pos`` and the columns of ``terms``, one row per occurrence.
+
+    For term tables of any size. Terms fall into size classes of 1, 2-3, 4-7,
+    8-15, ... characters. For each class that occurs, every offset of a text
+    gives one window as long as the class allows; its head of 1, 2, 4, 8, ...
+    characters meets the heads of the terms in an equi-join, and windows that go
+    on like the term are hits. Rows grow with the text times the number of
+    classes, not with the number of terms.
+
+    A small term table is broadcast and windows never leave their task. A big
+    one is shuffled with ``SALTS`` copies per term, so that a head found in a
+    third of all texts spreads over as many tasks.
     """
-    terms = terms.where(F.length(term) > 0).dropDuplicates([term])
-    lengths = terms.agg(F.sort_array(F.collect_set(F.length(term))).alias("l")).scalar()
-    grams = (
-        posts.select(*keep, F.col(content).alias("_text"))
-        .withColumn("_lengths", lengths)
-        .select(*keep, "_text", F.explode("_lengths").alias("_length"))
+    head_size = _size_class(F.col(term))
+    keyed = terms.where(F.length(term) > 0).withColumn("_head", F.substring(term, F.lit(1), head_size))
+    classes = (
+        terms.where(F.length(term) > 0).agg(F.sort_array(F.collect_set(head_size)).alias("c")).scalar()
+    )
+    size = F.col("_size")
+    windows = (
+        texts.select(*keep, F.col(text).alias("_text"))
+        .withColumn("_classes", classes)
+        .select(*keep, "_text", F.explode_outer("_classes").alias("_size"))
         .select(
             *keep,
-            F.explode(F.array_distinct(char_ngrams(F.col("_text"), F.col("_length")))).alias("_gram"),
+            "_size",
+            F.posexplode(char_windows(F.col("_text"), size, size * 2 - 1)).alias("pos", "_window"),
         )
+        .withColumn("_start", F.substring("_window", F.lit(1), size))
     )
-    columns = terms.columns
+    same = F.col("_start") == F.col("_head")
     if fits_broadcast(terms):
-        joined = grams.join(F.broadcast(terms), F.col("_gram") == F.col(term))
+        joined = windows.join(F.broadcast(keyed), same)
     else:
-        salted = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(S.SALTS - 1))))
-        grams = grams.withColumn(
-            "_slice", F.pmod(F.xxhash64(*keep), F.lit(S.SALTS)).cast("int")
+        salted = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(S.SALTS - 1))))
+        slice_of = F.pmod(F.xxhash64(*keep, "pos"), F.lit(S.SALTS)).cast("int")
+        joined = windows.withColumn("_slice", slice_of).join(
+            salted, same & (F.col("_slice") == F.col("_salt"))
         )
-        joined = grams.join(
-            salted, (F.col("_gram") == F.col(term)) & (F.col("_slice") == F.col("_salt"))
-        )
-    return joined.select(*keep, *columns)
+    return joined.where(F.startswith(F.col("_window"), F.col(term))).select(*keep, "pos", *terms.columns)
+
+
+def terms_in_posts(
+    posts: DataFrame, terms: DataFrame, term: str = "term", keep: Sequence[str] = ("id",), content: str = "content"
+) -> DataFrame:
+    """``keep`` columns plus the columns of ``terms``, one row per post and term found."""
+    terms = terms.dropDuplicates([term])
+    return term_hits(posts, terms, content, term, keep).drop("pos").distinct()
 
 
 def word_post_matches(
@@ -100,12 +122,20 @@ def word_post_matches(
     if not isinstance(words, DataFrame):
         words = list(dict.fromkeys(words))
         if regex or len(words) <= S.INLINE_WORDS:
-            found = with_found_words(posts, literal_words(words), content, regex, "_found")
-            return found.select(F.explode("_found").alias("word"), *keep)
+            return _by_array(posts, literal_words(words), keep, content, regex)
         words = posts.sparkSession.range(1).select(F.explode(literal_words(words)).alias("word"))
     elif ranked:
-        found = with_found_words(posts, subquery_words(words), content, regex, "_found")
-        return found.select(F.explode("_found").alias("word"), *keep)
+        return _by_array(posts, subquery_words(words), keep, content, regex)
     if regex:
         raise ValueError("regular expressions need a list of words")
-    return found_by_ngrams(posts, words.select("word"), "word", keep, content).select("word", *keep)
+    return terms_in_posts(posts, words.select("word"), "word", keep, content).select("word", *keep)
+
+
+def _by_array(
+    posts: DataFrame, words: Column, keep: Sequence[str], content: str, regex: bool
+) -> DataFrame:
+    # The filter stands inside explode: as a column of its own it would be
+    # evaluated a second time by the "array is not empty" filter Catalyst infers.
+    return posts.withColumn("_wanted", words).select(
+        F.explode(_found(F.col(content), "_wanted", regex)).alias("word"), *keep
+    )

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termpulse import settings as S
-from termpulse.functions.text import char_ngrams, cjk_runs
+from termpulse.functions.text import char_windows, cjk_runs
 from termpulse.operators.filters import non_empty
 from termpulse.operators.lookup import WordTable, lookup_words
-from termpulse.storage import fits_broadcast
+from termpulse.operators.matching import term_hits
 
 
 def cjk_run_counts(posts: DataFrame, content: str = "content") -> DataFrame:
@@ -23,47 +22,22 @@ def cjk_run_counts(posts: DataFrame, content: str = "content") -> DataFrame:
 
 
 def segment_runs(runs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``run, words``: each distinct ``run`` cut into terms and single characters.
+    """The columns of ``runs`` and ``words``: each ``run`` cut into terms and single characters.
 
-    Substrings of every term length meet the table ``term`` in an equi-join; the
-    longest hit counts per position. A position that no earlier hit reaches
-    across is a sure boundary, so a run falls into short independent pieces,
-    and the walk over matches stays short even in a very long run.
+    ``runs`` holds every run once. Substrings meet the table ``term`` in an
+    equi-join; the longest hit counts per position. A position that no earlier
+    hit reaches across is a sure boundary, so a run falls into short independent
+    pieces, and the walk over matches stays short even in a very long run.
     """
-    terms = terms.select("term").where(F.length("term") > 1).distinct()
-    lengths = terms.agg(
-        F.array_union(F.array(F.lit(1)), F.sort_array(F.collect_set(F.length("term")))).alias("l")
-    ).scalar()
-    grams = (
-        runs.select("run")
-        .distinct()
-        .withColumn("_lengths", lengths)
-        .select("run", F.explode("_lengths").alias("len"))
-        .select("run", "len", F.posexplode(char_ngrams(F.col("run"), F.col("len"))).alias("pos", "gram"))
-    )
-    if fits_broadcast(terms):
-        marked = grams.join(F.broadcast(terms), F.col("gram") == F.col("term"), "left")
-    else:
-        # A frequent substring spreads over SALTS tasks; single characters need
-        # no partner and spread by their run.
-        salted = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(S.SALTS - 1))))
-        grams = grams.withColumn(
-            "_slice",
-            F.when(
-                F.col("len") > 1, F.pmod(F.xxhash64("run", "pos"), F.lit(S.SALTS)).cast("int")
-            ).otherwise(-1 - F.pmod(F.xxhash64("run", "pos"), F.lit(1 << 20)).cast("int")),
-        )
-        marked = grams.join(
-            salted, (F.col("gram") == F.col("term")) & (F.col("_slice") == F.col("_salt")), "left"
-        )
-    hits = marked.where(F.col("term").isNotNull() | (F.col("len") == 1)).select(
-        "run", "pos", "len", "gram"
-    )
+    keys = runs.columns
+    single = F.posexplode(char_windows(F.col("run"), F.lit(1), F.lit(1))).alias("pos", "gram")
+    hits = term_hits(runs, terms.select("term").where(F.length("term") > 1).distinct(), "run", keep=keys)
+    candidates = runs.select(*keys, single).unionByName(hits.withColumnRenamed("term", "gram"))
     best = (
-        hits.repartition("run")
-        .groupBy("run", "pos")
-        .agg(F.max(F.struct("len", "gram")).alias("m"))
-        .select("run", "pos", "m.len", "m.gram")
+        candidates.repartition("run")
+        .groupBy(*keys, "pos")
+        .agg(F.max(F.struct(F.length("gram").alias("len"), F.col("gram"))).alias("m"))
+        .select(*keys, "pos", "m.len", "m.gram")
     )
     in_order = Window.partitionBy("run").orderBy("pos")
     reach = F.max(F.col("pos") + F.col("len")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
@@ -82,12 +56,12 @@ def segment_runs(runs: DataFrame, terms: DataFrame) -> DataFrame:
         lambda acc: acc["out"],
     )
     return (
-        pieces.groupBy("run", "_piece")
+        pieces.groupBy(*keys, "_piece")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "len", "gram"))).alias("m"))
-        .select("run", "_piece", step.alias("out"))
-        .groupBy("run")
+        .select(*keys, "_piece", step.alias("out"))
+        .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("_piece", "out"))).alias("parts"))
-        .select("run", F.flatten(F.col("parts.out")).alias("words"))
+        .select(*keys, F.flatten(F.col("parts.out")).alias("words"))
     )
 
 
@@ -97,10 +71,8 @@ def segmented_word_counts(posts: DataFrame, terms: DataFrame, content: str = "co
     Runs are counted first, so a run repeated in a third of all posts is cut
     once and its words are multiplied.
     """
-    runs = cjk_run_counts(posts, content)
-    cut = segment_runs(runs, terms)
     return (
-        runs.join(cut, "run")
+        segment_runs(cjk_run_counts(posts, content), terms)
         .select("n", F.explode("words").alias("word"))
         .groupBy("word")
         .agg(F.sum("n").alias("n"))
@@ -109,8 +81,7 @@ def segmented_word_counts(posts: DataFrame, terms: DataFrame, content: str = "co
 
 def with_segments(posts: DataFrame, terms: DataFrame, key: str = "id", content: str = "content") -> DataFrame:
     """``key, run_no, word_no, word``: the words of each post's CJK runs in order."""
-    counts = cjk_run_counts(posts, content)
-    cut = counts.join(segment_runs(counts, terms), "run").withColumnRenamed("run", "word")
+    cut = segment_runs(cjk_run_counts(posts, content), terms).withColumnRenamed("run", "word")
     runs = non_empty(posts, content).select(
         key, F.posexplode(cjk_runs(F.col(content))).alias("run_no", "word")
     )

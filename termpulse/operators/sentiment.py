@@ -11,7 +11,7 @@ from termpulse import settings as S
 from termpulse.functions import score as X
 from termpulse.functions.dates import day_of, timestamp_of
 from termpulse.functions.text import is_blank
-from termpulse.operators.matching import found_by_ngrams, literal_words, word_post_matches
+from termpulse.operators.matching import literal_words, terms_in_posts, word_post_matches
 from termpulse.operators.sampling import sample_per_group
 
 Lexicon = tuple[Iterable[str], Iterable[str]]
@@ -66,7 +66,7 @@ def lexicon_scores_by_join(
     Terms found in a post are counted per polarity. Posts without terms, and
     blank posts, come out neutral.
     """
-    found = found_by_ngrams(
+    found = terms_in_posts(
         posts.where(~is_blank(F.col(content))), lexicon.select("term", "polarity"), keep=(key,), content=content
     )
     counts = found.groupBy(key).agg(

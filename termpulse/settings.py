@@ -65,7 +65,7 @@ TREND_HEADERS = ("日期", "情感评分")
 # subquery); longer ones go through an equi-join on character n-grams.
 INLINE_WORDS = 500
 # A lookup table is broadcast only after it has been measured below both.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 # Most frequent words resolved by a broadcast when the full table is too big.
 HOT_WORDS = 1_000
