@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from catalog import posts_view as V
 from termpulse.functions import text as X
 from termpulse.functions.dates import parse_timestamp
+from termpulse.functions.python import python_tokenizer
 from termpulse.operators import bayes, filters, keywords, segment, tokens
 from termpulse.operators import frequency as freq
 from termpulse.operators import sentiment as sent
@@ -156,7 +157,7 @@ def tokenize_whitespace(spark, sf):
 
 @query
 def tokenize_custom(spark, sf):
-    split_lower = X.python_tokenizer(lambda text: text.lower().split())
+    split_lower = python_tokenizer(lambda text: text.lower().split())
     counts = freq.word_frequency(V.posts(spark, sf), False, V.STOPWORDS, tokenizer=split_lower)
     return counts.select("word", "n")
 
@@ -199,11 +200,10 @@ def cjk_bigrams(spark, sf):
 
 @query
 def cjk_lexicon(spark, sf):
-    posts = V.han_posts(spark, sf)
-    runs = segment.cjk_run_counts(posts).where(F.length("run").between(2, 4))
-    ranked = freq.top_words(runs.withColumnRenamed("run", "word"), 300)
-    terms = ranked.select(F.col("word").alias("term")).persist()
-    return segment.segmented_word_counts(posts, terms)
+    runs = segment.cjk_run_counts(V.han_posts(spark, sf)).persist()
+    short = runs.where(F.length("run").between(2, 4)).withColumnRenamed("run", "word")
+    terms = freq.top_words(short, 300).select(F.col("word").alias("term"))
+    return segment.segmented_word_counts(runs, terms)
 
 
 # --- counts and rankings ---------------------------------------------------------------
@@ -396,10 +396,7 @@ def nb_train(spark, sf):
 def nb_score(spark, sf):
     posts = V.labelled_posts(spark, sf)
     model = bayes.train(posts, stopwords=V.STOPWORDS)
-    scored = bayes.with_raw_score(V.posts(spark, sf), model, V.STOPWORDS)
-    return sent.score_posts(scored, raw="raw").select(
-        "id", "sentiment_raw_score", "sentiment_score", "sentiment", "sentiment_label"
-    )
+    return bayes.predict(V.posts(spark, sf), model, V.STOPWORDS)
 
 
 # --- keywords ---------------------------------------------------------------------------

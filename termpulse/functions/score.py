@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from termpulse import settings as S
 from termpulse.functions.text import is_blank
 
+SENTIMENT_COLUMNS = ("sentiment_raw_score", "sentiment_score", "sentiment", "sentiment_label")
+
 
 def _present(text: Column, terms: Iterable[str]) -> Column:
     hits = [F.contains(text, F.lit(t)).cast("int") for t in dict.fromkeys(terms)]
@@ -59,6 +61,12 @@ def sentiment_label(raw: Column) -> Column:
     )
 
 
+def sentiment_columns(raw: Column) -> list[Column]:
+    """The four columns of a scored post; classes follow the unrounded score."""
+    values = (F.bround(raw, 4), scale_score(raw), sentiment_class(raw), sentiment_label(raw))
+    return [v.alias(name) for v, name in zip(values, SENTIMENT_COLUMNS)]
+
+
 def to_cents(score: Column) -> Column:
     """Two-decimal score as an integer, so sums do not depend on row order."""
     return F.bround(score * 100, 0).cast("bigint")

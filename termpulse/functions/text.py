@@ -37,6 +37,7 @@ URL = rf"https?://[^{SPACE}]+"
 # unspaced text, which is what Chinese posts are.
 EMAIL = rf"(?<![^{SPACE}])[^{SPACE}][^@{SPACE}]*+@[^{SPACE}]+"
 
+# Text column to a column of string arrays; ``functions.python`` wraps Python callables.
 Tokenizer = Callable[[Column], Column]
 
 
@@ -154,19 +155,3 @@ def char_windows(text: Column, least: Column, most: Column) -> Column:
         F.lit("(?s)(?=(.{"), least.cast("string"), F.lit(","), most.cast("string"), F.lit("}))."),
     )
     return F.regexp_extract_all(text, pattern, F.lit(1))
-
-
-def python_tokenizer(func: Callable[[str], list[str]]) -> Tokenizer:
-    """Wrap ``str -> list[str]`` for use as a tokeniser.
-
-    Runs as an Arrow-batched iterator UDF: ``func`` reaches each worker once, so
-    a segmenter that loads a dictionary does so once per worker, not per row.
-    """
-
-    def batches(series_iter):
-        import pandas as pd
-
-        for series in series_iter:
-            yield pd.Series([list(func(t)) if t else [] for t in series], dtype="object")
-
-    return F.pandas_udf(batches, T.ArrayType(T.StringType()), F.PandasUDFType.SCALAR_ITER)

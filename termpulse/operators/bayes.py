@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termpulse import settings as S
+from termpulse.functions.score import sentiment_columns
 from termpulse.operators.lookup import WordTable, lookup_words
 from termpulse.operators.tokens import word_rows
 
@@ -64,13 +67,13 @@ def train(
     sizes = posts.agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    row = sizes.select("pos", "neg", F.log(F.col("pos") / F.col("neg")).alias("prior")).first()
-    if not row.pos or not row.neg:
+    pos, neg = sizes.first()
+    if not pos or not neg:
         raise ValueError("training needs posts of both classes")
     fitted = log_probabilities(train_counts(posts, label, stopwords, content)).withColumn(
         "n", F.col("pos_n") + F.col("neg_n")
     )
-    return BayesModel(WordTable.fit(fitted, "n"), row.prior)
+    return BayesModel(WordTable.fit(fitted, "n"), math.log(pos / neg))
 
 
 def raw_scores(
@@ -89,14 +92,14 @@ def raw_scores(
     return known.groupBy(key).agg((1 / (1 + F.exp(clamped))).alias("raw"))
 
 
-def with_raw_score(
-    posts: DataFrame,
-    model: BayesModel,
-    stopwords: Iterable[str] = (),
-    key: str = "id",
-    content: str = "content",
-    column: str = "raw",
+def predict(
+    posts: DataFrame, model: BayesModel, stopwords: Iterable[str] = (), key: str = "id", content: str = "content"
 ) -> DataFrame:
-    """Posts with the model's raw score, null where no word is known."""
-    scores = raw_scores(posts, model, stopwords, key, content)
-    return posts.join(scores.withColumnRenamed("raw", column), key, "left")
+    """``key`` and the four sentiment columns, one row per post.
+
+    Neutral where a post has no known word, as blank posts have none. Texts are
+    not part of the final join: only keys and scores are.
+    """
+    raw = raw_scores(posts, model, stopwords, key, content)
+    scored = posts.select(key).join(raw, key, "left")
+    return scored.select(key, *sentiment_columns(F.coalesce("raw", F.lit(S.NEUTRAL_RAW))))

@@ -41,7 +41,7 @@ def keywords_by_frequency(
     """
     counts = count_words(tokenize(F.col(content), stopwords))
     weighted = F.transform(counts, lambda c: F.struct(c["word"].alias("word"), c["tf"].alias("weight")))
-    return _ranked(non_empty(posts, content), heaviest(weighted, k), key)
+    return _ranked(posts, heaviest(weighted, k), key)
 
 
 # --- TF-IDF ----------------------------------------------------------------------
@@ -55,8 +55,7 @@ def fit_idf(
     ``D`` is the number of non-empty posts. Words are made distinct inside each
     post's row, so only one partial count per word and task is shuffled.
     """
-    posts = non_empty(posts, content)
-    docs = posts.agg(F.count(F.lit(1)).alias("d")).scalar()
+    docs = non_empty(posts, content).agg(F.count(F.lit(1)).alias("d")).scalar()
     distinct = F.array_distinct(tokenize(F.col(content), stopwords))
     df = (
         posts.select(F.explode(distinct).alias("word"))
@@ -91,7 +90,7 @@ def keywords_by_tfidf(
             lambda c: F.struct(c["word"].alias("word"), (c["tf"] / F.size(ts)).alias("share")),
         ),
     )
-    rows = non_empty(posts, content).select(key, F.explode(counted).alias("c"))
+    rows = posts.select(key, F.explode(counted).alias("c"))
     weighted = lookup_words(rows.select(key, "c.word", "c.share"), idf, ["idf"], key).select(
         key, "word", F.bround(F.col("share") * F.col("idf"), 6).alias("weight")
     )
@@ -128,7 +127,7 @@ def keywords_by_textrank(
     not with its square, and rounds add no lineage.
     """
     return _ranked(
-        non_empty(posts, content),
+        posts,
         heaviest(textrank(tokenize(F.col(content), stopwords), window, damping, rounds), k),
         key,
     )

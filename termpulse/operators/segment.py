@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termpulse.functions.text import char_windows, cjk_runs
-from termpulse.operators.filters import non_empty
 from termpulse.operators.lookup import WordTable, lookup_words
 from termpulse.operators.matching import term_hits
 
@@ -14,8 +13,7 @@ from termpulse.operators.matching import term_hits
 def cjk_run_counts(posts: DataFrame, content: str = "content") -> DataFrame:
     """``run, n``: distinct CJK runs with the number of their occurrences."""
     return (
-        non_empty(posts, content)
-        .select(F.explode(cjk_runs(F.col(content))).alias("run"))
+        posts.select(F.explode(cjk_runs(F.col(content))).alias("run"))
         .groupBy("run")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -65,14 +63,14 @@ def segment_runs(runs: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def segmented_word_counts(posts: DataFrame, terms: DataFrame, content: str = "content") -> DataFrame:
-    """``word, n`` of a corpus, segmented with ``terms``.
+def segmented_word_counts(runs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``word, n`` of the corpus counted in ``run, n``, segmented with ``terms``.
 
     Runs are counted first, so a run repeated in a third of all posts is cut
     once and its words are multiplied.
     """
     return (
-        segment_runs(cjk_run_counts(posts, content), terms)
+        segment_runs(runs, terms)
         .select("n", F.explode("words").alias("word"))
         .groupBy("word")
         .agg(F.sum("n").alias("n"))
@@ -82,7 +80,7 @@ def segmented_word_counts(posts: DataFrame, terms: DataFrame, content: str = "co
 def with_segments(posts: DataFrame, terms: DataFrame, key: str = "id", content: str = "content") -> DataFrame:
     """``key, run_no, word_no, word``: the words of each post's CJK runs in order."""
     cut = segment_runs(cjk_run_counts(posts, content), terms).withColumnRenamed("run", "word")
-    runs = non_empty(posts, content).select(
+    runs = posts.select(
         key, F.posexplode(cjk_runs(F.col(content))).alias("run_no", "word")
     )
     return lookup_words(runs, WordTable.fit(cut, "n"), ["words"], key).select(

@@ -29,33 +29,12 @@ def with_raw_score(
 
 
 def score_posts(
-    posts: DataFrame,
-    lexicon: Lexicon = DEFAULT_LEXICON,
-    content: str = "content",
-    raw: str | None = None,
+    posts: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON, content: str = "content"
 ) -> DataFrame:
-    """Add raw score, score, class and label; a loaded ``sentiment_label`` is replaced.
-
-    ``raw`` names a column that holds unrounded scores of another model; null
-    there, like blank text, is neutral. Classes follow the unrounded score.
-    """
-    if raw is None:
-        posts, raw = with_raw_score(posts, lexicon, content, "_raw"), "_raw"
-    else:
-        posts = posts.withColumn(
-            "_raw",
-            F.when(is_blank(F.col(content)), F.lit(S.NEUTRAL_RAW))
-            .otherwise(F.coalesce(F.col(raw), F.lit(S.NEUTRAL_RAW))),
-        )
-    r = F.col("_raw")
-    return posts.withColumns(
-        {
-            "sentiment_raw_score": F.bround(r, 4),
-            "sentiment_score": X.scale_score(r),
-            "sentiment": X.sentiment_class(r),
-            "sentiment_label": X.sentiment_label(r),
-        }
-    ).drop("_raw")
+    """Add raw score, score, class and label; a loaded ``sentiment_label`` is replaced."""
+    kept = [c for c in posts.columns if c not in X.SENTIMENT_COLUMNS]
+    scored = with_raw_score(posts, lexicon, content, "_raw")
+    return scored.select(*kept, *X.sentiment_columns(F.col("_raw")))
 
 
 def lexicon_scores_by_join(

@@ -9,16 +9,11 @@ from pyspark.sql import functions as F
 
 from termpulse import settings as S
 from termpulse.functions.text import Tokenizer, keep_word, raw_words, tokenize
-from termpulse.operators.filters import non_empty
 from termpulse.storage import broadcast_if_small
 
 Stopwords = Iterable[str] | DataFrame
 
 
-def _inline(stopwords: Stopwords) -> Iterable[str]:
-    return () if isinstance(stopwords, DataFrame) else stopwords
-
-
 def remove_stopwords(words: DataFrame, stopwords: Stopwords, column: str = "word") -> DataFrame:
     """Drop stopwords from word rows, keeping order and repeats of the others.
 
@@ -44,10 +39,10 @@ def word_rows(
     """One row per token: the ``keep`` columns and ``word``.
 
     For counting: word filters run after the explode, inside generated code,
-    and nothing but ``keep`` and the words leaves the task. A custom tokeniser
-    is trusted to have filtered its words; stopwords are still removed.
+    and nothing but ``keep`` and the words leaves the task. Null and empty posts
+    explode to nothing. A custom tokeniser is trusted to have filtered its
+    words; stopwords are still removed.
     """
-    posts = non_empty(posts, content)
     if tokenizer is not None:
         rows = posts.select(*keep, F.explode(tokenizer(F.col(content))).alias("word"))
     else:
@@ -66,7 +61,7 @@ def explode_tokens(
 ) -> DataFrame:
     """Token rows with ``pos``, the place of the word among the kept words."""
     words = tokenize(F.col(content), stopwords, min_len, cjk)
-    return non_empty(posts, content).select(*keep, F.posexplode(words).alias("pos", "word"))
+    return posts.select(*keep, F.posexplode(words).alias("pos", "word"))
 
 
 def with_tokens(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termpulse import settings as S
+from termpulse.functions.python import decodes_as_gbk
 from termpulse.storage import scratch_dir
 
 LABELLED_COLUMNS = ("id", "date", "content", "label", "emotion", "sentiment_label", "source")
@@ -219,7 +220,7 @@ def split_by_charset(spark: SparkSession, path: str) -> tuple[list[str], list[st
     utf8 = sorted(r.path for r in verdicts if r.ok)
     other = sorted(r.path for r in verdicts if not r.ok)
     if other:
-        decodes = _gbk_check()
+        decodes = decodes_as_gbk()
         raw = spark.read.text(other).select(
             F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("raw")
         )
@@ -233,23 +234,6 @@ def split_by_charset(spark: SparkSession, path: str) -> tuple[list[str], list[st
     return utf8, other
 
 
-def _gbk_check():
-    def decodes(batches):
-        import pandas as pd
-
-        def ok(raw):
-            try:
-                bytes(raw).decode("gbk")
-            except UnicodeDecodeError:
-                return False
-            return True
-
-        for raws in batches:
-            yield pd.Series([ok(r) for r in raws], dtype=bool)
-
-    return F.pandas_udf(decodes, T.BooleanType(), F.PandasUDFType.SCALAR_ITER)
-
-
 def _stage_gbk(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     setting = "spark.sql.legacy.javaCharsets"
     before = spark.conf.get(setting, None)
