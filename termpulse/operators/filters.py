@@ -19,6 +19,7 @@ def filter_by_date(
     date_col: str = "date",
     end_of_day: bool = False,
     strict: bool = False,
+    day_col: str | None = None,
 ) -> DataFrame:
     """Posts between two bounds, both inclusive and both optional.
 
@@ -27,6 +28,10 @@ def filter_by_date(
     bounds everything stays. An unreadable bound or a table without the date
     column leaves the input as it is; ``strict`` raises ``ValueError`` for an
     unreadable bound instead.
+
+    ``day_col`` names a stored day column (``DATE``) that goes with the
+    timestamp: it is bounded too, so that a table partitioned by day is read
+    only where needed.
     """
     if date_col not in posts.columns:
         return posts
@@ -39,11 +44,15 @@ def filter_by_date(
     ts = timestamp_of(posts, date_col)
     if low is not None:
         posts = posts.where(ts >= _literal(low))
+        if day_col is not None:
+            posts = posts.where(F.col(day_col) >= F.lit(low.date()))
     if high is not None:
         whole_day = end_of_day and (high.hour, high.minute, high.second, high.microsecond) == (0, 0, 0, 0)
         posts = posts.where(
             ts < _literal(high + timedelta(days=1)) if whole_day else ts <= _literal(high)
         )
+        if day_col is not None:
+            posts = posts.where(F.col(day_col) <= F.lit(high.date()))
     return posts
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from termpulse import settings as S
 from termpulse.functions.text import Tokenizer
+from termpulse.operators.ranking import first_per_group
 from termpulse.operators.tokens import Stopwords, remove_stopwords, word_rows
 
 
@@ -64,23 +65,18 @@ def with_rank(ranked: DataFrame, order: str = "n") -> DataFrame:
 def top_words_by_date(dated: DataFrame, top_n: int | None = S.TOP_N) -> DataFrame:
     """``date, rank, word, n``: each date's most frequent words.
 
-    Every task keeps at most ``top_n`` rows per date before the shuffle
-    (``WindowGroupLimit``), so a date holding a third of all words is no hot
-    spot. A table without dates ranks under the single key ``all``; words
-    counted under ``unknown`` belong to no date.
+    Groups are cut before they are shuffled, so a date holding a third of all
+    words is no hot spot. A table without dates ranks under the single key
+    ``all``; words counted under ``unknown`` belong to no date.
     """
     top_n = top_n or S.TOP_N
     if "date" not in dated.columns:
         return with_rank(top_words(dated, top_n)).select(
             F.lit("all").alias("date"), "rank", "word", "n"
         )
-    w = Window.partitionBy("date").orderBy(F.desc("n"), "word")
-    return (
-        dated.where(F.col("date") != S.UNKNOWN_DATE)
-        .withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= top_n)
-        .select("date", "rank", "word", "n")
-    )
+    known = dated.where(F.col("date") != S.UNKNOWN_DATE)
+    ranked = first_per_group(known, ["date"], [F.desc("n"), "word"], top_n, "rank", ["word"])
+    return ranked.select("date", "rank", "word", "n")
 
 
 def as_nested_lists(lists: DataFrame) -> DataFrame:

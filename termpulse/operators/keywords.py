@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termpulse import settings as S
@@ -12,6 +12,7 @@ from termpulse.functions.arrays import count_words, heaviest, let, word_position
 from termpulse.functions.text import tokenize
 from termpulse.operators.filters import non_empty
 from termpulse.operators.lookup import WordTable, lookup_words
+from termpulse.operators.ranking import first_per_group
 
 WINDOW = 5
 DAMPING = 0.85
@@ -94,12 +95,8 @@ def keywords_by_tfidf(
     weighted = lookup_words(rows.select(key, "c.word", "c.share"), idf, ["idf"], key).select(
         key, "word", F.bround(F.col("share") * F.col("idf"), 6).alias("weight")
     )
-    w = Window.partitionBy(key).orderBy(F.desc("weight"), "word")
-    return (
-        weighted.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= k)
-        .select(key, "rank", "word", "weight")
-    )
+    ranked = first_per_group(weighted, [key], [F.desc("weight"), "word"], k, "rank", ["word"])
+    return ranked.select(key, "rank", "word", "weight")
 
 
 # --- TextRank --------------------------------------------------------------------

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termpulse import settings as S
+from termpulse.operators.ranking import first_per_group
 
 
 def sample_per_group(
@@ -16,12 +17,9 @@ def sample_per_group(
     """At most ``k`` rows per group: those with the smallest hash of key and seed.
 
     The draw depends on the data only, not on partitioning, and groups of up to
-    ``k`` rows are kept whole. ``k=None`` keeps everything. Each task passes on
-    at most ``k`` rows per group (``WindowGroupLimit``), so a hot group costs no
-    more than any other.
+    ``k`` rows are kept whole. ``k=None`` keeps everything.
     """
     if k is None:
         return rows
     draw = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")).cast("binary"))
-    w = Window.partitionBy(*group).orderBy(draw, key)
-    return rows.withColumn("_draw", F.row_number().over(w)).where(F.col("_draw") <= k).drop("_draw")
+    return first_per_group(rows, group, [draw, key], k, "_draw", [key]).drop("_draw")

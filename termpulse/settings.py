@@ -69,5 +69,8 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 # Most frequent words resolved by a broadcast when the full table is too big.
 HOT_WORDS = 1_000
-# Copies of each term when a big term table meets skewed n-grams.
+# Spark's own limit for cutting groups before the shuffle.
+GROUP_LIMIT = 1_000
+# Copies of each term when a big term table meets skewed n-grams, and slices
+# of a group ranked beyond GROUP_LIMIT.
 SALTS = 16

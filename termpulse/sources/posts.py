@@ -63,14 +63,16 @@ def _not_missing(name: str) -> Column:
     return F.when(~c.isin(*S.MISSING_TEXTS), c)
 
 
-def _read_csv(spark: SparkSession, paths: Sequence[str], encoding: str = "UTF-8") -> DataFrame:
+def _read_csv(
+    spark: SparkSession, paths: Sequence[str], multi_line: bool, encoding: str = "UTF-8"
+) -> DataFrame:
     """All columns as text, missing markers as nulls, plus the row's position.
 
     Quoted fields may hold commas, doubled quotes and line breaks. Several
     files must share one header.
     """
     df = spark.read.csv(
-        list(paths), header=True, multiLine=True, escape='"', encoding=encoding,
+        list(paths), header=True, multiLine=multi_line, escape='"', encoding=encoding,
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
     return df.select(
@@ -175,26 +177,33 @@ def normalize_custom(df: DataFrame) -> DataFrame:
     return _ordered(df, CUSTOM_COLUMNS)
 
 
-def read_labelled_posts(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled posts from one CSV file or a directory of them."""
+def read_labelled_posts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Labelled posts from one CSV file or a directory of them.
+
+    Fields may hold line breaks, which ties each file to one task. Where they
+    never do, ``multi_line=False`` lets big files be read in splits.
+    """
     _existing(spark, path)
-    return _ordered(
-        with_sequential_id(normalize_labelled(_read_csv(spark, [path]))), LABELLED_COLUMNS
-    )
+    raw = _read_csv(spark, [path], multi_line)
+    return _ordered(with_sequential_id(normalize_labelled(raw)), LABELLED_COLUMNS)
 
 
-def read_custom_posts(spark: SparkSession, path: str) -> DataFrame:
+def read_custom_posts(
+    spark: SparkSession, path: str, multi_line: bool = True, utf8: bool = False
+) -> DataFrame:
     """Custom posts from CSV in UTF-8 (with or without BOM) or GBK.
 
     A directory may mix both encodings. GBK files are staged once as parquet
     in the shared scratch folder, because Spark's GBK support hangs on a
-    session setting that must stay on while the files are read.
+    session setting that must stay on while the files are read. ``utf8=True``
+    vouches for UTF-8 and saves the pass that checks it; for ``multi_line`` see
+    ``read_labelled_posts``.
     """
     _existing(spark, path)
-    utf8, gbk = split_by_charset(spark, path)
-    parts = [_read_csv(spark, utf8)] if utf8 else []
-    if gbk:
-        parts.append(_stage_gbk(spark, gbk))
+    as_utf8, as_gbk = ([path], []) if utf8 else split_by_charset(spark, path)
+    parts = [_read_csv(spark, as_utf8, multi_line)] if as_utf8 else []
+    if as_gbk:
+        parts.append(_stage_gbk(spark, as_gbk, multi_line))
     if not parts:
         raise ValueError(f"no CSV data in {path}")
     parts = [normalize_custom(p) for p in parts]
@@ -234,13 +243,13 @@ def split_by_charset(spark: SparkSession, path: str) -> tuple[list[str], list[st
     return utf8, other
 
 
-def _stage_gbk(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def _stage_gbk(spark: SparkSession, paths: Sequence[str], multi_line: bool) -> DataFrame:
     setting = "spark.sql.legacy.javaCharsets"
     before = spark.conf.get(setting, None)
     target = os.path.join(scratch_dir(spark), f"gbk-{uuid.uuid4().hex}")
     spark.conf.set(setting, "true")
     try:
-        _read_csv(spark, paths, "GBK").write.parquet(target)
+        _read_csv(spark, paths, multi_line, "GBK").write.parquet(target)
     finally:
         if before is None:
             spark.conf.unset(setting)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import physical
+from termpulse import settings as S
 from termpulse.functions.python import python_tokenizer
 from termpulse.operators import frequency as freq
 from termpulse.operators import tokens
@@ -124,6 +125,14 @@ def test_trend_matrix(make_posts):
     }
 
 
+def test_long_lists_are_ranked_in_slices(spark, monkeypatch):
+    df = spark.range(400).select((F.col("id") % 2).cast("string").alias("date"), F.col("id").cast("string").alias("word"), (F.col("id") % 7).alias("n"))
+    want = {tuple(r) for r in freq.top_words_by_date(df, 150).collect()}
+    monkeypatch.setattr(S, "GROUP_LIMIT", 100)
+    assert {tuple(r) for r in freq.top_words_by_date(df, 150).collect()} == want
+    assert len(want) == 300
+
+
 @pytest.mark.parametrize("small", [True, False])
 @pytest.mark.parametrize("hot", [0, 1, 1000])
 def test_lookup_with_and_without_broadcast(spark, small, hot):

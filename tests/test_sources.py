@@ -109,6 +109,26 @@ def test_ids_over_many_files(spark, tmp_path):
     assert {r.id: r.content for r in rows} == dict(enumerate(want, 1))
 
 
+@pytest.mark.parametrize("encoding", ["utf-8", "gbk"])
+def test_ids_over_file_splits(spark, tmp_path, encoding):
+    write(tmp_path / "a.csv", "text,date\n" + "".join(f"天{i},2024-01-01\n" for i in range(3000)), encoding)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        df = read_custom_posts(spark, str(tmp_path), multi_line=False)
+        if encoding == "utf-8":
+            assert df.rdd.getNumPartitions() > 3
+        assert {r.id: r.content for r in df.collect()} == {i + 1: f"天{i}" for i in range(3000)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_charset_check_can_be_skipped(spark, tmp_path, monkeypatch):
+    path = write(tmp_path / "a.csv", CUSTOM, "utf-8-sig")
+    monkeypatch.setattr(src, "split_by_charset", None)
+    assert read_custom_posts(spark, path, utf8=True).count() == 2
+
+
 def test_stopwords(spark, tmp_path):
     path = write(tmp_path / "s.txt", "的\n 了 \n\n的\n\u3000是\n")
     assert sorted(r.word for r in read_stopwords(spark, path).collect()) == sorted(["的", "了", "是"])
@@ -185,6 +205,17 @@ def test_stored_timestamps_are_pushed_down(spark, tmp_path, dated):
     assert "PushedFilters: [IsNotNull(date), GreaterThanOrEqual(date,2024-01-02T00:00)" in plan
 
 
+def test_day_partitions_are_pruned(spark, tmp_path, dated):
+    path = str(tmp_path / "t")
+    typed = dated.select("id", parse_timestamp(F.col("date")).alias("date"))
+    typed.withColumn("day", F.col("date").cast("date")).write.partitionBy("day").parquet(path)
+    stored = spark.read.parquet(path)
+    df = filter_by_date(stored, "2024-01-02", "2024-01-02", end_of_day=True, day_col="day")
+    assert ids(df) == [2, 3]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+
+
 def test_summary(dated):
     assert tuple(corpus_summary(dated).first()) == (6, "2024-01-01", "2024-01-03")
     assert tuple(date_range(dated).first()) == (dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 3))
