@@ -292,7 +292,7 @@ SELECT DISTINCT word FROM (
   SELECT regexp_replace(regexp_replace(line, '^[{SPACE}]+', ''), '[{SPACE}]+$', '') AS word
   FROM (SELECT unnest(string_split(content, chr(10))) AS line FROM posts))
 WHERE word <> ''"""
-    sql["post_ids"] = "SELECT row_number() OVER () AS id, doc_id FROM documents"
+    sql["post_ids"] = "SELECT row_number() OVER (ORDER BY doc_id) AS id, doc_id FROM documents"
     sql["emotion_map"] = _with(POSTS) + f"SELECT id, emotion, {emotion} FROM posts"
 
     # dates and filters

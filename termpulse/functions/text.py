@@ -7,6 +7,7 @@ behaviour to match is Unicode-aware.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
@@ -126,6 +127,28 @@ def tokenize(
     return F.coalesce(kept, F.array().cast(T.ArrayType(T.StringType())))
 
 
+def lexicon_tokenizer(
+    terms: Iterable[str], stopwords: Iterable[str] = (), min_len: int = S.MIN_WORD_LENGTH
+) -> Tokenizer:
+    """A tokeniser that cuts CJK runs into the given terms, longest match first.
+
+    Unmatched CJK characters stand alone, other runs stay whole, and the usual
+    word filters follow. The terms become one regular expression, which suits
+    some hundreds of them; ``operators.segment`` takes term tables of any size.
+    """
+    longest_first = sorted({t for t in terms if t}, key=lambda t: (-len(t), t))
+    if len(longest_first) > S.INLINE_WORDS:
+        raise ValueError(f"more than {S.INLINE_WORDS} terms: use operators.segment with a table")
+    known = "".join(re.escape(t) + "|" for t in longest_first)
+    pattern = rf"{known}[{CJK}]|[{WORD}&&[^{CJK}]]++"
+
+    def words(text: Column) -> Column:
+        found = F.regexp_extract_all(strip_noise(text), F.lit(pattern), F.lit(0))
+        return F.filter(found, lambda w: keep_word(w, min_len, stopwords))
+
+    return words
+
+
 def tokenize_whitespace(text: Column, min_len: int = S.MIN_WORD_LENGTH) -> Column:
     """Split on whitespace and keep long enough pieces; no cleaning, no stopwords."""
     pieces = F.filter(F.split(text, rf"[{SPACE}]+"), lambda w: F.length(w) >= max(min_len, 1))

@@ -29,20 +29,24 @@ def word_frequency(
     starts inside each task, so a word holding a third of all tokens reaches
     the shuffle as one row per task.
     """
-    keys = ["word"]
-    if by_date:
-        keys = ["date", "word"]
-        day = F.coalesce(F.col("date").cast("string"), F.lit(S.UNKNOWN_DATE)) if (
-            "date" in posts.columns
-        ) else F.lit(S.UNKNOWN_DATE)
-        posts = posts.withColumn("date", day)
+    if by_date and "date" not in posts.columns:
+        posts = posts.withColumn("date", F.lit(None).cast("string"))
     in_rows = () if isinstance(stopwords, DataFrame) else stopwords
-    rows = word_rows(posts, keys[:-1], in_rows, min_len, cjk, tokenizer, content)
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    keep = ["date"] if by_date else []
+    counts = count_rows(word_rows(posts, keep, in_rows, min_len, cjk, tokenizer, content))
     # A stopword table meets the counts, not the far more numerous tokens.
     return remove_stopwords(counts, stopwords) if isinstance(stopwords, DataFrame) else counts
 
 
+def count_rows(rows: DataFrame) -> DataFrame:
+    """Count token rows per word, and per date if they have one."""
+    keys = [F.col("word")]
+    if "date" in rows.columns:
+        day = F.coalesce(F.col("date").cast("string"), F.lit(S.UNKNOWN_DATE))
+        keys = [day.alias("date"), *keys]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
 def roll_up(dated: DataFrame) -> DataFrame:
     """Per-word totals of a dated count table."""
     return dated.groupBy("word").agg(F.sum("n").alias("n"))

@@ -45,7 +45,8 @@ def lookup_words(
     words, a bounded number, are looked up in a broadcast of their own; their
     token rows then take a join key made from ``spread`` instead of the word, so
     that no task receives all rows of one frequent word. All other words are
-    joined by a shuffle on the word.
+    joined by a shuffle on the word, in ``SALTS`` slices: a word rare in the
+    table may still be frequent in these tokens.
     """
     columns = table.words.select("word", *values)
     if table.small:
@@ -58,11 +59,18 @@ def lookup_words(
     marked = tokens.join(F.broadcast(head), "word", "left")
     # A leading NUL keeps the made-up keys apart from every word.
     spread_key = F.concat(F.lit("\0"), F.col(spread).cast("string"))
-    keyed = marked.withColumn(
-        "_key", F.when(F.col("_hot").isNotNull(), spread_key).otherwise(F.col("word"))
+    keyed = marked.withColumns(
+        {
+            "_key": F.when(F.col("_hot").isNotNull(), spread_key).otherwise(F.col("word")),
+            "_slice": F.pmod(F.xxhash64(spread), F.lit(S.SALTS)).cast("int"),
+        }
     )
-    tail = table.words.select(F.col("word").alias("_tail_word"), packed.alias("_tail"))
-    joined = keyed.join(tail, F.col("_key") == F.col("_tail_word"), "left")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(S.SALTS - 1)))
+    tail = table.words.select(
+        F.col("word").alias("_tail_word"), packed.alias("_tail"), salts.alias("_salt")
+    )
+    same = (F.col("_key") == F.col("_tail_word")) & (F.col("_slice") == F.col("_salt"))
+    joined = keyed.join(tail, same, "left")
     found = F.coalesce("_hot", "_tail")
     return joined.where(found.isNotNull()).select(
         *tokens.columns, *[found[v].alias(v) for v in values]

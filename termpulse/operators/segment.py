@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termpulse.functions.text import char_windows, cjk_runs
+from termpulse import settings as S
+from termpulse.functions.text import CJK, char_windows, cjk_runs, keep_word, raw_words
 from termpulse.operators.lookup import WordTable, lookup_words
 from termpulse.operators.matching import term_hits
 
@@ -77,6 +80,31 @@ def segmented_word_counts(runs: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
+def segmented_rows(
+    posts: DataFrame,
+    terms: DataFrame,
+    keep: Sequence[str] = ("id",),
+    stopwords: Iterable[str] = (),
+    min_len: int = S.MIN_WORD_LENGTH,
+    key: str = "id",
+    content: str = "content",
+) -> DataFrame:
+    """``keep`` columns and ``word``: like ``tokens.word_rows``, CJK runs cut with ``terms``.
+
+    For counting (``frequency.count_rows``): rows of a post are in no order.
+    ``key`` tells posts apart and spreads frequent runs.
+    """
+    columns = list(dict.fromkeys([key, *keep]))
+    runs = posts.select(*columns, F.explode(raw_words(F.col(content), 1, "run")).alias("word"))
+    is_cjk = F.col("word").rlike(rf"^[{CJK}]")
+    cjk = runs.where(is_cjk)
+    distinct = cjk.groupBy(F.col("word").alias("run")).agg(F.count(F.lit(1)).alias("n"))
+    table = WordTable.fit(segment_runs(distinct, terms).withColumnRenamed("run", "word"), "n")
+    cut = lookup_words(cjk, table, ["words"], key).select(*keep, F.explode("words").alias("word"))
+    rows = runs.where(~is_cjk).select(*keep, "word").unionByName(cut)
+    return rows.where(keep_word(F.col("word"), min_len, stopwords))
+
+
 def with_segments(posts: DataFrame, terms: DataFrame, key: str = "id", content: str = "content") -> DataFrame:
     """``key, run_no, word_no, word``: the words of each post's CJK runs in order."""
     cut = segment_runs(cjk_run_counts(posts, content), terms).withColumnRenamed("run", "word")

@@ -35,8 +35,8 @@ POST_SCHEMA = T.StructType(
 
 _FILE, _BLOCK, _ROW = "_file", "_block", "_row"
 _POSITION = (_FILE, _BLOCK, _ROW)
-# More files than this and the per-file offsets are joined without a broadcast.
-_BROADCAST_FILES = 100_000
+# With more file splits than this their offsets are joined without a broadcast.
+_BROADCAST_SPLITS = 100_000
 
 
 # --- parquet -------------------------------------------------------------------
@@ -46,7 +46,8 @@ def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFr
     """A parquet table with at least as many partitions as there are cores.
 
     A big table has far more splits than cores and is read as it is. A small
-    file with one row group would otherwise be tokenised by a single task.
+    file with one row group would otherwise be tokenised by a single task. The
+    shuffle this takes moves less than one file split per core.
     """
     df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
@@ -125,7 +126,8 @@ def with_sequential_id(df: DataFrame, name: str = "id") -> DataFrame:
         )
         .select(_FILE, _BLOCK, "_first", "_before")
     )
-    if len(df.inputFiles()) <= _BROADCAST_FILES:
+    # A split is a file's last one, or it fills a scan task: never more than both.
+    if len(df.inputFiles()) + df.rdd.getNumPartitions() <= _BROADCAST_SPLITS:
         first = F.broadcast(first)
     rest = [c for c in df.columns if c not in (name, *_POSITION)]
     return df.join(first, [_FILE, _BLOCK]).select(

@@ -22,10 +22,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared or tempfile.mkdtemp(prefix="termpulse-")
 
 
-def fits_broadcast(df: DataFrame, rows: int = S.BROADCAST_ROWS, size: int = S.BROADCAST_BYTES) -> bool:
+def fits_broadcast(
+    df: DataFrame, rows: int = S.BROADCAST_ROWS, size: int = S.BROADCAST_BYTES
+) -> bool:
     """Measure whether a lookup table is small enough to broadcast.
 
-    Reads at most ``rows + 1`` rows, so asking about a huge table stays cheap.
+    One aggregate over the table, a row per task; nothing of it is moved.
     """
 
     def width_of(name: str, kind: str):
@@ -36,7 +38,7 @@ def fits_broadcast(df: DataFrame, rows: int = S.BROADCAST_ROWS, size: int = S.BR
         return F.lit(8)
 
     width = sum((width_of(c, t) for c, t in df.dtypes), F.lit(16))
-    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
+    n, total = df.agg(F.count(F.lit(1)), F.sum(width)).first()
     return n <= rows and (total or 0) <= size
 
 

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import physical
+from termpulse.functions.text import lexicon_tokenizer
 from termpulse.operators import bayes, keywords, matching, segment
+from termpulse.operators import frequency as freq
 from termpulse.operators.lookup import WordTable
 
 TEXTS = ["aa bb aa cc dd bb aa", "bb cc", "ee", None, "", "aa ff gg hh ii jj kk aa ll"]
@@ -170,6 +172,28 @@ def test_segments_of_posts(spark, make_posts):
     assert {r.word: r.n for r in counts.collect()} == {"今天": 2, "天气": 3, "真": 2, "好": 2}
 
 
+def test_counting_segmented_rows(spark, make_posts):
+    posts = make_posts("今天天气真好 ok 12 天气", None, "天气ok x", dates=["d1", "d1", None])
+    terms = ["今天", "天气", "天天气"]
+    table = spark.createDataFrame([(t,) for t in terms], "term string")
+    rows = segment.segmented_rows(posts, table, ["date"], ["今天"])
+    want = {("d1", "天气"): 2, ("d1", "ok"): 1, ("unknown", "天气"): 1, ("unknown", "ok"): 1}
+    assert {(r.date, r.word): r.n for r in freq.count_rows(rows).collect()} == want
+    inline = freq.word_frequency(posts, stopwords=["今天"], tokenizer=lexicon_tokenizer(terms))
+    assert {(r.date, r.word): r.n for r in inline.collect()} == want
+
+
+def test_lexicon_tokenizer_against_a_walk(spark, make_posts):
+    rng = random.Random(7)
+    runs = ["".join(rng.choice("天地玄黄") for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    terms = {"".join(rng.choice("天地玄黄") for _ in range(rng.choice([2, 2, 3, 4]))) for _ in range(20)}
+    words = lexicon_tokenizer(terms, min_len=1)(F.col("content"))
+    rows = make_posts(*runs).select("id", words.alias("w")).orderBy("id").collect()
+    assert [r.w for r in rows] == [walk(r, terms) for r in runs]
+    with pytest.raises(ValueError):
+        lexicon_tokenizer([f"t{i}" for i in range(501)])
+
+
 def test_no_terms(spark, make_posts):
     none = spark.createDataFrame([], "term string")
     counts = segment.segmented_word_counts(segment.cjk_run_counts(make_posts("天气")), none)
