@@ -167,14 +167,15 @@ def cjk_bigrams(text: Column) -> Column:
     )
 
 
-def char_windows(text: Column, least: Column, most: Column) -> Column:
+def char_windows(text: Column, least: Column, most: Column, head: Column | None = None) -> Column:
     """The substring at every offset: ``most`` characters, fewer near the end.
 
     Offsets with fewer than ``least`` characters left give none. The match
     consumes one full code point at a time, so surrogate pairs are never cut and
-    the array index is the character offset.
+    the array index is the character offset. With a regular expression ``head``
+    only offsets where it matches give a window.
     """
-    pattern = F.concat(
-        F.lit("(?s)(?=(.{"), least.cast("string"), F.lit(","), most.cast("string"), F.lit("}))."),
-    )
+    lookahead = F.concat(F.lit("(?="), head, F.lit(")")) if head is not None else F.lit("")
+    size = F.concat(least.cast("string"), F.lit(","), most.cast("string"))
+    pattern = F.concat(F.lit("(?s)"), lookahead, F.lit("(?=(.{"), size, F.lit("}))."))
     return F.regexp_extract_all(text, pattern, F.lit(1))

@@ -20,6 +20,8 @@ from termpulse.functions.text import char_windows
 from termpulse.storage import fits_broadcast
 
 _STRINGS = T.ArrayType(T.StringType())
+# Most characters a pattern lists for the first and for the second character of terms.
+CLASS_CHARACTERS = 60
 
 
 def _found(text: Column, wanted: str, regex: bool = False) -> Column:
@@ -53,8 +55,39 @@ def _size_class(term: Column) -> Column:
     return F.pow(F.lit(2), F.length(F.bin(F.length(term))) - 1).cast("int")
 
 
+def _char_class(characters: Column) -> Column:
+    """Regular expression for any of an array of characters; empty if there are many.
+
+    The pattern is compiled per text, so a long one would cost more than it saves.
+    """
+    listed = F.transform(
+        F.sort_array(characters),
+        lambda c: F.concat(F.lit(r"\x{"), F.hex(F.ascii(c).cast("bigint")), F.lit("}")),
+    )
+    short = F.size(characters) <= CLASS_CHARACTERS
+    return F.when(short, F.concat(F.lit("["), F.array_join(listed, ""), F.lit("]"))).otherwise(".")
+
+
+def _size_classes(terms: DataFrame, term: str) -> Column:
+    """Scalar subquery: the size classes of the terms, each with the look of its heads."""
+    second = F.substring(term, 2, 1)
+    per_class = terms.groupBy(_size_class(F.col(term)).alias("size")).agg(
+        F.collect_set(F.substring(term, 1, 1)).alias("first"),
+        F.collect_set(F.when(second != "", second)).alias("second"),
+    )
+    head = F.concat(
+        _char_class(F.col("first")), F.when(F.col("size") > 1, _char_class(F.col("second"))).otherwise("")
+    )
+    return per_class.agg(F.sort_array(F.collect_list(F.struct("size", head.alias("head")))).alias("c")).scalar()
+
+
 def term_hits(
-    texts: DataFrame, terms: DataFrame, text: str, term: str = "term", keep: Sequence[str] = ("id",)
+    texts: DataFrame,
+    terms: DataFrame,
+    text: str,
+    term: str = "term",
+    keep: Sequence[str] = ("id",),
+    positions: bool = True,
 ) -> DataFrame:
     """``keep``, ``pos`` and the columns of ``terms``, one row per occurrence.
 
@@ -63,28 +96,28 @@ def term_hits(
     gives one window as long as the class allows; its head of 1, 2, 4, 8, ...
     characters meets the heads of the terms in an equi-join, and windows that go
     on like the term are hits. Rows grow with the text times the number of
-    classes, not with the number of terms.
+    classes, not with the number of terms. Without ``positions`` the column
+    ``pos`` only tells windows apart, and offsets where no term can start are
+    passed over.
 
     A small term table is broadcast and windows never leave their task. A big
     one is shuffled with ``SALTS`` copies per term, so that a head found in a
     third of all texts spreads over as many tasks.
     """
-    head_size = _size_class(F.col(term))
-    keyed = terms.where(F.length(term) > 0).withColumn("_head", F.substring(term, F.lit(1), head_size))
-    classes = (
-        terms.where(F.length(term) > 0).agg(F.sort_array(F.collect_set(head_size)).alias("c")).scalar()
-    )
-    size = F.col("_size")
+    some = terms.where(F.length(term) > 0)
+    keyed = some.withColumn("_head", F.substring(term, F.lit(1), _size_class(F.col(term))))
+    size = F.col("_class.size")
+    head = None if positions else F.col("_class.head")
     windows = (
         texts.select(*keep, F.col(text).alias("_text"))
-        .withColumn("_classes", classes)
-        .select(*keep, "_text", F.explode_outer("_classes").alias("_size"))
+        .withColumn("_classes", _size_classes(some, term))
+        .select(*keep, "_text", F.explode_outer("_classes").alias("_class"))
         .select(
             *keep,
-            "_size",
-            F.posexplode(char_windows(F.col("_text"), size, size * 2 - 1)).alias("pos", "_window"),
+            size.alias("_size"),
+            F.posexplode(char_windows(F.col("_text"), size, size * 2 - 1, head)).alias("pos", "_window"),
         )
-        .withColumn("_start", F.substring("_window", F.lit(1), size))
+        .withColumn("_start", F.substring("_window", F.lit(1), F.col("_size")))
     )
     same = F.col("_start") == F.col("_head")
     if fits_broadcast(terms):
@@ -103,7 +136,7 @@ def terms_in_posts(
 ) -> DataFrame:
     """``keep`` columns plus the columns of ``terms``, one row per post and term found."""
     terms = terms.dropDuplicates([term])
-    return term_hits(posts, terms, content, term, keep).drop("pos").distinct()
+    return term_hits(posts, terms, content, term, keep, positions=False).drop("pos").distinct()
 
 
 def word_post_matches(

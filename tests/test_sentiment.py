@@ -110,6 +110,17 @@ def test_long_word_lists_take_the_join(make_posts):
     }
 
 
+@pytest.mark.parametrize("letters", [50, 90])
+def test_terms_with_few_and_many_initials(spark, make_posts, letters):
+    assert 50 < matching.CLASS_CHARACTERS < 90
+    initials = [chr(0x4E00 + i) for i in range(letters)]
+    words = [c + tail for c in initials for tail in ("", "]x", "-ab^")]
+    table = spark.createDataFrame([(w,) for w in words], "word string")
+    texts = [initials[0] + "]x", "q" + initials[-1] + "-ab^", "]x", "\\x{4E00}"]
+    found = {tuple(r) for r in matching.word_post_matches(make_posts(*texts), table).collect()}
+    assert found == {(w, i) for i, t in enumerate(texts, 1) for w in words if w in t}
+
+
 def test_no_cross_join_in_matching(spark, make_posts):
     table = spark.createDataFrame([("a", 1)], "word string, n long")
     for df in (
