@@ -86,7 +86,10 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The index in the shared folder: ``_bucket, _hash, _chain, _sha, _keep, _size``."""
     found = written(entries(keyed(docs, id_col, text_col)), "entries")
     depth, slots = directory(found, bucket_entries)
-    placed = found.withColumn("_slot", _slot(depth)).join(F.broadcast(slots), "_slot")
+    if depth:
+        placed = found.withColumn("_slot", _slot(depth)).join(F.broadcast(slots), "_slot")
+    else:
+        placed = found.withColumn("_bucket", _slot(0))
     chain = F.row_number().over(Window.partitionBy("_bucket", "_hash").orderBy("_sha"))
     return written(
         placed.repartition("_bucket", "_hash").select("_bucket", "_hash", chain.alias("_chain"), "_sha", "_keep", "_size"),

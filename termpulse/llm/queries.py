@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termpulse.llm import bpe, exact_dedup, token_counts
+from termpulse.llm import arrow_tokens, bpe, exact_dedup, pii, token_counts
 from termpulse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
+VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
 #: Documents beyond this many tokens do not fit the training window.
@@ -29,6 +30,18 @@ def all_queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+@query
+def op4_personal_data(spark, sf):
+    found = pii.find(table(spark, sf, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    return found.select(
+        "doc_id",
+        *(pii.counted(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.BASE),
+        F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op5_byte_bpe(spark, sf):
     """Encode every text, decode the ids, and give digests of both."""
@@ -43,6 +56,14 @@ def op5_byte_bpe(spark, sf):
     )
 
 
+@query
+def op6_arrow_tokens(spark, sf):
+    """Write the ids of all documents to Arrow files, and describe each from them."""
+    path = public_tokenizers.path(VOCABULARY)
+    manifest = arrow_tokens.write_sequences(table(spark, sf, "documents"), path, end_id=2)
+    return arrow_tokens.read_documents(manifest, "long")
+
+
 @query
 def op8_token_counts(spark, sf):
     counts = token_counts.count_tokens(table(spark, sf, "documents"), public_tokenizers.path(PIECES))
