@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termpulse.llm import arrow_tokens, bpe, exact_dedup, pii, token_counts
+from termpulse.llm import arrow_tokens, bpe, exact_dedup, langid, pii, token_counts
 from termpulse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,14 +24,29 @@ TOKEN_LIMIT = 4096
 
 
 def query(func: Query) -> Query:
-    _QUERIES[func.__name__] = func
-    return func
+    """Register a query. Python workers get the path of this package, in case the
+    session was not started with it (``--py-files`` or an installed package)."""
+
+    @wraps(func)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
+        return func(spark, sf_dir)
+
+    _QUERIES[func.__name__] = run
+    return run
 
 
 def all_queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+@query
+def op1_language(spark, sf):
+    """Documents declare a language and name a source, which stands for the host."""
+    docs = table(spark, sf, "documents")
+    return langid.identify(docs, F.col("text"), F.col("lang"), F.col("source"))
+
+
 @query
 def op4_personal_data(spark, sf):
     found = pii.find(table(spark, sf, "documents"))
