@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termpulse.llm import arrow_tokens, bpe, exact_dedup, langid, pii, token_counts
+from termpulse.llm import arrow_tokens, bpe, exact_dedup, importance, langid, pii, token_counts
 from termpulse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,15 @@ def op1_language(spark, sf):
     return langid.identify(docs, F.col("text"), F.col("lang"), F.col("source"))
 
 
+@query
+def op2_importance_resampling(spark, sf):
+    """The target is good and not toxic; as many rows are drawn as labels call good."""
+    labels = table(spark, sf, "labels")
+    target = labels.filter("quality = 1 AND toxic = 0")
+    share = importance.labelled_share(labels, F.col("quality") == 1)
+    return importance.resample(table(spark, sf, "documents"), target, share)
+
+
 @query
 def op4_personal_data(spark, sf):
     found = pii.find(table(spark, sf, "documents"))
