@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termpulse.llm import arrow_tokens, bpe, exact_dedup, importance, langid, pii, token_counts
+from termpulse.llm import arrow_tokens, bpe, exact_dedup, importance, langid, minhash, pii, token_counts
 from termpulse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,11 @@ def op6_arrow_tokens(spark, sf):
     return arrow_tokens.read_documents(manifest, "long")
 
 
+@query
+def op7_minhash_near_dedup(spark, sf):
+    return minhash.find_near_copies(table(spark, sf, "documents"))
+
+
 @query
 def op8_token_counts(spark, sf):
     counts = token_counts.count_tokens(table(spark, sf, "documents"), public_tokenizers.path(PIECES))
