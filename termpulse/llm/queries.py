@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termpulse.llm import arrow_tokens, bpe, exact_dedup, importance, langid, minhash, pii, token_counts
+from termpulse.llm import arrow_tokens, bpe, decontam, exact_dedup, importance, langid, minhash, pii, token_counts
 from termpulse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,9 @@ def op9_exact_dedup(spark, sf):
     return exact_dedup.find_copies(table(spark, sf, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256"
     )
+
+
+@query
+def op10_decontamination(spark, sf):
+    found = decontam.flag(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "n_items", F.array_join("items", ",").alias("items"), "kept")
