@@ -4,18 +4,25 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termpulse.storage import scratch_dir
+from termpulse.storage import broadcast_if_small, scratch_dir
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word is a run without ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Give Python workers the path of this package, in case the session was not
+    started with it (``--py-files`` or an installed package)."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,3 +71,15 @@ def text_batches(
             total = min(step, batch.num_rows - start)
             yield batch.slice(start, total)
             start += total
+
+
+def kept_rows(docs: DataFrame, verdicts: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id ``verdicts`` does not turn down, all columns kept.
+
+    ``verdicts`` has ``id_col`` and ``kept``. An id with several verdicts goes only
+    if none of them keeps it; rows without an id stay. The texts are shuffled only
+    if the ids that go are too many to broadcast.
+    """
+    gone = verdicts.groupBy(F.col(id_col).alias("_gone")).agg(F.max("kept").alias("_kept"))
+    gone = broadcast_if_small(written(gone.filter("NOT _kept").select("_gone"), "gone"))
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

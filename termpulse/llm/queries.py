@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
-from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termpulse.llm import arrow_tokens, bpe, decontam, exact_dedup, importance, langid, minhash, pii, token_counts
-from termpulse.llm.common import table
+from termpulse.llm.common import let_workers_import, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -24,12 +23,11 @@ TOKEN_LIMIT = 4096
 
 
 def query(func: Query) -> Query:
-    """Register a query. Python workers get the path of this package, in case the
-    session was not started with it (``--py-files`` or an installed package)."""
+    """Register a query."""
 
     @wraps(func)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
+        let_workers_import(spark)
         return func(spark, sf_dir)
 
     _QUERIES[func.__name__] = run
