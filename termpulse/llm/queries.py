@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termpulse.llm import arrow_tokens, bpe, decontam, exact_dedup, importance, langid, minhash, pii, token_counts
+from termpulse.llm import arrow_tokens, bpe, decontam, exact_dedup, importance, langid, minhash, pii, suffix_tree, token_counts
 from termpulse.llm.common import let_workers_import, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,12 @@ def op2_importance_resampling(spark, sf):
     return importance.resample(table(spark, sf, "documents"), target, share)
 
 
+@query
+def op3_suffix_trees(spark, sf):
+    found = suffix_tree.remove_repeats(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query
 def op4_personal_data(spark, sf):
     found = pii.find(table(spark, sf, "documents"))
