@@ -129,19 +129,20 @@ dist AS (
   LEFT JOIN {table} s ON s.sentiment = c.sentiment GROUP BY c.sentiment)"""
 
 
-def _word_stats(words: str, scored: str = "scored", name: str = "stats") -> str:
+def _word_stats(words: str, scored: str = "scored", name: str = "stats", cap: int | None = None) -> str:
     """Statistics of the rows of ``words`` (with a ``word`` column)."""
+    drawn = f"draw <= {cap}" if cap else "TRUE"
     return f"""
 hits AS MATERIALIZED (
   SELECT w.word, s.id, s.cents, s.sentiment,
     row_number() OVER (PARTITION BY w.word ORDER BY md5(CAST(s.id AS VARCHAR) || '|42'), s.id) AS draw
   FROM {words} w JOIN {scored} s ON contains(s.content, w.word)),
 sums AS (
-  SELECT word, count(*) AS total_count, count(*) FILTER (draw <= 50) AS k,
-    sum(cents) FILTER (draw <= 50)::DOUBLE AS cents,
-    count(*) FILTER (draw <= 50 AND sentiment = 'positive') AS pos,
-    count(*) FILTER (draw <= 50 AND sentiment = 'negative') AS neg,
-    count(*) FILTER (draw <= 50 AND sentiment = 'neutral') AS neu
+  SELECT word, count(*) AS total_count, count(*) FILTER ({drawn}) AS k,
+    sum(cents) FILTER ({drawn})::DOUBLE AS cents,
+    count(*) FILTER ({drawn} AND sentiment = 'positive') AS pos,
+    count(*) FILTER ({drawn} AND sentiment = 'negative') AS neg,
+    count(*) FILTER ({drawn} AND sentiment = 'neutral') AS neu
   FROM hits GROUP BY word),
 {name} AS (
   SELECT w.*, coalesce(total_count, 0) AS total_count,
@@ -167,9 +168,11 @@ lists AS MATERIALIZED (
   SELECT date, rank, word, n FROM (
     SELECT *, row_number() OVER (PARTITION BY date ORDER BY n DESC, word) AS rank
     FROM dated WHERE date <> 'unknown') WHERE rank <= 20)"""
+_TABLE_LISTS = _LISTS.replace("WHERE date <> 'unknown'", "")
 
 
-def _series(table: str, words) -> str:
+def _series(table: str, words, cap: int | None = None) -> str:
+    drawn = f"draw <= {cap}" if cap else "TRUE"
     return _scored(table) + f""",
 {_asked(words)},
 series AS MATERIALIZED (
@@ -179,7 +182,7 @@ series AS MATERIALIZED (
                          ORDER BY md5(CAST(s.id AS VARCHAR) || '|42'), s.id) AS draw
     FROM asked a JOIN scored s ON contains(s.content, a.word)
     WHERE try_cast(date AS TIMESTAMP) IS NOT NULL)
-  WHERE draw <= 20 GROUP BY word, day)"""
+  WHERE {drawn} GROUP BY word, day)"""
 
 
 _SUMMARY = f"""
@@ -357,7 +360,7 @@ GROUP BY word"""
     sql["cjk_lexicon"] = (
         "WITH RECURSIVE " + ",".join([POSTS, _HAN]) + """,
 terms AS MATERIALIZED (
-  SELECT run AS term FROM runs WHERE length(run) BETWEEN 2 AND 4 ORDER BY n DESC, run LIMIT 300),
+  SELECT run AS term FROM runs WHERE length(run) BETWEEN 2 AND 4),
 walk AS (
   SELECT run, n, 1 AS pos, 0 AS len FROM runs
   UNION ALL
@@ -376,8 +379,9 @@ SELECT substring(run, pos, len) AS word, CAST(sum(n) AS BIGINT) AS n FROM walk W
     sql["word_freq_rollup"] = sql["word_freq_total"]
     sql["word_freq_empty"] = _with(POSTS, EMPTY, _dated("nothing")) + "SELECT date, word, n FROM dated"
     rank_int = "CAST(rank AS INTEGER) AS rank"
-    sql["top_words"] = _with(POSTS, RANGE, _total("ranged"), _top(20)) + f"SELECT {rank_int}, word, n FROM top"
+    sql["top_words"] = _with(POSTS, _total(), _top(20)) + f"SELECT {rank_int}, word, n FROM top"
     sql["top_words_by_date"] = _with(POSTS, _dated(), _LISTS) + f"SELECT date, {rank_int}, word, n FROM lists"
+    sql["top_words_by_table"] = _with(POSTS, _dated(), _TABLE_LISTS) + f"SELECT date, {rank_int}, word, n FROM lists"
     sql["top_words_all"] = _with(POSTS, _total(), _top(20)) + f"SELECT 'all' AS date, {rank_int}, word, n FROM top"
     sql["bar_top15"] = _with(POSTS, _total(), _top(15)) + f"SELECT {rank_int}, word, n FROM top"
     sql["cloud_weights"] = _with(POSTS, _total(), _top(100)) + (
@@ -399,7 +403,7 @@ LEFT JOIN lists l ON l.date = d.date AND l.word = t.word"""
     sql["word_post_matches_table"] = _with(POSTS) + rf""",
 wanted AS MATERIALIZED (
   SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(text, '[^{SPACE}]+')) AS word FROM benchmark)
-  WHERE length(word) >= 6)
+  WHERE length(word) > 0)
 SELECT word, count(*) AS posts FROM wanted JOIN posts ON contains(content, word) GROUP BY word"""
 
     # sentiment
@@ -416,15 +420,23 @@ SELECT word, count(*) AS posts FROM wanted JOIN posts ON contains(content, word)
         "FROM dist WHERE n > 0"
     )
     sql["word_sentiment"] = (
-        _with(POSTS, RANGE, _scored("ranged"), _asked(V.WORDS), _word_stats("asked")) + "SELECT * FROM stats"
+        _with(POSTS, _scored(), _asked(V.WORDS), _word_stats("asked")) + "SELECT * FROM stats"
+    )
+    sql["word_sentiment_sampled"] = (
+        _with(POSTS, _scored(), _asked(V.WORDS), _word_stats("asked", cap=S.SAMPLES_PER_WORD)) + "SELECT * FROM stats"
     )
     sql["word_sentiment_no_match"] = (
         _with(POSTS, _scored(), _asked(["zzzz"]), _word_stats("asked")) + "SELECT * FROM stats"
     )
-    sql["top_words_sentiment"] = "WITH " + _report() + " SELECT * EXCLUDE (rank) FROM stats"
-    sql["word_sentiment_by_date"] = _with(POSTS, RANGE, _series("ranged", V.WORDS)) + "SELECT * FROM series"
+    top = _top(20).replace("word, n FROM", "word, n AS word_count FROM")
+    sql["top_words_sentiment"] = (
+        _with(POSTS, _total(), top, _scored(), _word_stats("top")) + "SELECT * EXCLUDE (rank) FROM stats"
+    )
+    sql["word_sentiment_by_date"] = _with(POSTS, _series("posts", V.WORDS)) + "SELECT * FROM series"
+    sampled = _series("posts", V.WORDS, cap=S.SAMPLES_PER_WORD_DAY)
+    sql["word_sentiment_by_date_sampled"] = _with(POSTS, sampled) + "SELECT * FROM series"
     sql["trend_sides"] = _with(POSTS, _series("posts", V.WORDS)) + f"SELECT *, {_SIDE} FROM series"
-    sql["trend_summary"] = _with(POSTS, RANGE, _series("ranged", V.WORDS), _SUMMARY) + "SELECT * FROM summary"
+    sql["trend_summary"] = _with(POSTS, _series("posts", V.WORDS), _SUMMARY) + "SELECT * FROM summary"
 
     # Naive Bayes
     sql["nb_train"] = _with(POSTS, LABELLED, NB) + (

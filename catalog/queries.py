@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import posts_view as V
+from termpulse import settings as S
 from termpulse.functions import text as X
 from termpulse.functions.dates import parse_timestamp
 from termpulse.functions.python import python_tokenizer
@@ -202,7 +203,7 @@ def cjk_bigrams(spark, sf):
 def cjk_lexicon(spark, sf):
     runs = segment.cjk_run_counts(V.han_posts(spark, sf)).persist()
     short = runs.where(F.length("run").between(2, 4)).withColumnRenamed("run", "word")
-    terms = freq.top_words(short, 300).select(F.col("word").alias("term"))
+    terms = short.select(F.col("word").alias("term"))
     return segment.segmented_word_counts(runs, terms)
 
 
@@ -240,11 +241,17 @@ def word_freq_rollup(spark, sf):
 
 @query
 def top_words(spark, sf):
-    return freq.with_rank(freq.top_words(freq.word_frequency(_range(V.posts(spark, sf)), False, V.STOPWORDS)))
+    return freq.with_rank(freq.top_words(freq.word_frequency(V.posts(spark, sf), False, V.STOPWORDS)))
 
 
 @query
 def top_words_by_date(spark, sf):
+    dated = V.posts(spark, sf).where(F.col("date").isNotNull())
+    return freq.top_words_by_date(freq.word_frequency(dated, True, V.STOPWORDS))
+
+
+@query
+def top_words_by_table(spark, sf):
     return freq.top_words_by_date(_dated(spark, sf))
 
 
@@ -266,6 +273,7 @@ def cloud_weights(spark, sf):
 @query
 def trend_pivot(spark, sf):
     posts = V.posts(spark, sf)
+    posts = posts.where(F.col("date").isNotNull())
     lists = freq.top_words_by_date(freq.word_frequency(posts, True, V.STOPWORDS))
     return freq.trend_matrix(lists, posts)
 
@@ -289,7 +297,7 @@ def word_post_matches_table(spark, sf):
     words = (
         spark.read.parquet(f"{sf}/benchmark.parquet")
         .select(F.explode(F.split("text", f"[{X.SPACE}]+")).alias("word"))
-        .where(F.length("word") >= 6)
+        .where(F.length("word") > 0)
         .distinct()
     )
     found = word_post_matches(V.posts(spark, sf), words)
@@ -351,7 +359,12 @@ def distribution_share(spark, sf):
 
 @query
 def word_sentiment(spark, sf):
-    return sent.analyze_words(_range(V.posts(spark, sf)), V.WORDS, V.LEXICON)
+    return sent.analyze_words(V.posts(spark, sf), V.WORDS, V.LEXICON)
+
+
+@query
+def word_sentiment_sampled(spark, sf):
+    return sent.analyze_words(V.posts(spark, sf), V.WORDS, V.LEXICON, max_samples=S.SAMPLES_PER_WORD)
 
 
 @query
@@ -361,14 +374,19 @@ def word_sentiment_no_match(spark, sf):
 
 @query
 def top_words_sentiment(spark, sf):
-    posts = _range(V.posts(spark, sf))
+    posts = V.posts(spark, sf)
     ranked = freq.top_words(freq.word_frequency(posts, False, V.STOPWORDS))
     return sent.top_words_sentiment(posts, ranked, V.LEXICON)
 
 
 @query
 def word_sentiment_by_date(spark, sf):
-    return sent.word_sentiment_by_date(_range(V.posts(spark, sf)), V.WORDS, V.LEXICON).orderBy("word", "day")
+    return sent.word_sentiment_by_date(V.posts(spark, sf), V.WORDS, V.LEXICON).orderBy("word", "day")
+
+
+@query
+def word_sentiment_by_date_sampled(spark, sf):
+    return sent.word_sentiment_by_date(V.posts(spark, sf), V.WORDS, V.LEXICON, max_samples=S.SAMPLES_PER_WORD_DAY)
 
 
 @query
@@ -378,7 +396,7 @@ def trend_sides(spark, sf):
 
 @query
 def trend_summary(spark, sf):
-    return sent.trend_summary(sent.word_sentiment_by_date(_range(V.posts(spark, sf)), V.WORDS, V.LEXICON))
+    return sent.trend_summary(sent.word_sentiment_by_date(V.posts(spark, sf), V.WORDS, V.LEXICON))
 
 
 # --- Naive Bayes -----------------------------------------------------------------------

@@ -22,10 +22,11 @@ def word_frequency(
     cjk: str = "bigram",
     tokenizer: Tokenizer | None = None,
     content: str = "content",
+    missing: str | None = S.UNKNOWN_DATE,
 ) -> DataFrame:
     """``date, word, n`` or ``word, n``; no posts or no words give no rows.
 
-    Dates group as written; a missing date counts under ``unknown``. Counting
+    Dates group as written; a missing date counts under ``missing``. Counting
     starts inside each task, so a word holding a third of all tokens reaches
     the shuffle as one row per task.
     """
@@ -33,20 +34,27 @@ def word_frequency(
         posts = posts.withColumn("date", F.lit(None).cast("string"))
     in_rows = () if isinstance(stopwords, DataFrame) else stopwords
     keep = ["date"] if by_date else []
-    counts = count_rows(word_rows(posts, keep, in_rows, min_len, cjk, tokenizer, content))
+    counts = count_rows(word_rows(posts, keep, in_rows, min_len, cjk, tokenizer, content), missing)
     # A stopword table meets the counts, not the far more numerous tokens.
     return remove_stopwords(counts, stopwords) if isinstance(stopwords, DataFrame) else counts
 
 
-def count_rows(rows: DataFrame) -> DataFrame:
+def count_rows(rows: DataFrame, missing: str | None = S.UNKNOWN_DATE) -> DataFrame:
     """Count token rows per word, and per date if they have one."""
     keys = [F.col("word")]
     if "date" in rows.columns:
-        day = F.coalesce(F.col("date").cast("string"), F.lit(S.UNKNOWN_DATE))
+        day = F.coalesce(F.col("date").cast("string"), F.lit(missing))
         keys = [day.alias("date"), *keys]
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+def name_missing_dates(dated: DataFrame, missing: str = S.UNKNOWN_DATE) -> DataFrame:
+    """Counts whose missing dates are null, with these under a name; posts dated by
+    that very text count with them."""
+    day = F.coalesce("date", F.lit(missing)).alias("date")
+    return dated.groupBy(day, "word").agg(F.sum("n").alias("n"))
+
+
 def roll_up(dated: DataFrame) -> DataFrame:
     """Per-word totals of a dated count table."""
     return dated.groupBy("word").agg(F.sum("n").alias("n"))
@@ -71,15 +79,15 @@ def top_words_by_date(dated: DataFrame, top_n: int | None = S.TOP_N) -> DataFram
 
     Groups are cut before they are shuffled, so a date holding a third of all
     words is no hot spot. A table without dates ranks under the single key
-    ``all``; words counted under ``unknown`` belong to no date.
+    ``all``. Every date of the table is ranked, ``unknown`` like any other: to
+    leave out posts without a date, count those with one.
     """
     top_n = top_n or S.TOP_N
     if "date" not in dated.columns:
         return with_rank(top_words(dated, top_n)).select(
             F.lit("all").alias("date"), "rank", "word", "n"
         )
-    known = dated.where(F.col("date") != S.UNKNOWN_DATE)
-    ranked = first_per_group(known, ["date"], [F.desc("n"), "word"], top_n, "rank", ["word"])
+    ranked = first_per_group(dated, ["date"], [F.desc("n"), "word"], top_n, "rank", ["word"])
     return ranked.select("date", "rank", "word", "n")
 
 

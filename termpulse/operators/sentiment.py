@@ -112,26 +112,33 @@ def distribution_shares(distribution: DataFrame) -> DataFrame:
 def word_sentiment(
     hits: DataFrame,
     words: DataFrame,
-    max_samples: int | None = S.SAMPLES_PER_WORD,
+    max_samples: int | None = None,
     seed: int = S.SAMPLE_SEED,
 ) -> DataFrame:
     """Sentiment of each word from its matches ``word, id, cents, sentiment``.
 
-    ``total_count`` covers all matching posts, the other figures a sample of
-    ``max_samples`` (None for all). ``words`` supplies the words to report and
-    may carry more columns; a word without matches is neutral with zeros.
+    All matching posts count, in one aggregate with one row per word and task.
+    With ``max_samples`` only ``total_count`` covers them all, and the other
+    figures a sample, for which the matches are worked out twice. ``words``
+    supplies the words to report and may carry more columns; a word without
+    matches is neutral with zeros.
     """
-    totals = hits.groupBy("word").agg(F.count(F.lit(1)).alias("total_count"))
-    sums = sample_per_group(hits, ["word"], max_samples, seed).groupBy("word").agg(
+    figures = [
         F.count(F.lit(1)).alias("_n"),
         F.sum("cents").alias("_cents"),
         *[F.count_if(F.col("sentiment") == c).alias(f"_{c}") for c in S.SENTIMENT_TITLES],
-    )
+    ]
+    sums = sample_per_group(hits, ["word"], max_samples, seed).groupBy("word").agg(*figures)
+    if max_samples is None:
+        sums = sums.withColumn("total_count", F.col("_n"))
+    else:
+        totals = hits.groupBy("word").agg(F.count(F.lit(1)).alias("total_count"))
+        sums = totals.join(sums, "word", "left")
     zero = F.lit(0).cast("bigint")
     n, cents, pos, neg, neu = (
         F.coalesce(F.col(c), zero) for c in ("_n", "_cents", "_positive", "_negative", "_neutral")
     )
-    joined = words.join(totals, "word", "left").join(sums, "word", "left")
+    joined = words.join(sums, "word", "left")
     return joined.select(
         *words.columns,
         F.coalesce("total_count", zero).alias("total_count"),
@@ -150,7 +157,7 @@ def analyze_words(
     words: Sequence[str],
     lexicon: Lexicon = DEFAULT_LEXICON,
     content: str = "content",
-    max_samples: int | None = S.SAMPLES_PER_WORD,
+    max_samples: int | None = None,
     seed: int = S.SAMPLE_SEED,
     regex: bool = False,
 ) -> DataFrame:
@@ -166,17 +173,26 @@ def top_words_sentiment(
     ranked: DataFrame,
     lexicon: Lexicon = DEFAULT_LEXICON,
     content: str = "content",
-    max_samples: int | None = S.SAMPLES_PER_WORD,
+    max_samples: int | None = None,
     seed: int = S.SAMPLE_SEED,
 ) -> DataFrame:
     """Sentiment of the words of a top-N table ``word, n``, next to ``word_count``.
 
     ``word_count`` counts token occurrences, ``total_count`` posts holding the
-    word as a substring.
+    word as a substring. The ranking runs at once, for its first
+    ``INLINE_WORDS + 1`` rows. If that is all of it, its words travel inside the
+    plan; a longer table meets the posts in a join.
     """
     scored = narrow_scores(posts, lexicon, content)
-    hits = word_post_matches(scored, ranked, ("id", "cents", "sentiment"), content, ranked=True)
-    words = ranked.select("word", F.col("n").alias("word_count"))
+    first = ranked.select("word", "n").limit(S.INLINE_WORDS + 1).collect()
+    if len(first) > S.INLINE_WORDS:
+        words = ranked.select("word", F.col("n").alias("word_count"))
+        hits = word_post_matches(scored, words, ("id", "cents", "sentiment"), content)
+    else:
+        rows = [F.struct(F.lit(r.word).alias("word"), F.lit(r.n).alias("word_count")) for r in first]
+        rows = F.array(*rows).cast("array<struct<word:string,word_count:bigint>>")
+        words = posts.sparkSession.range(1).select(F.inline(rows))
+        hits = word_post_matches(scored, [r.word for r in first], ("id", "cents", "sentiment"), content)
     return word_sentiment(hits, words, max_samples, seed)
 
 
@@ -189,7 +205,7 @@ def word_sentiment_by_date(
     lexicon: Lexicon = DEFAULT_LEXICON,
     content: str = "content",
     date_col: str = "date",
-    max_samples: int | None = S.SAMPLES_PER_WORD_DAY,
+    max_samples: int | None = None,
     seed: int = S.SAMPLE_SEED,
     regex: bool = False,
 ) -> DataFrame:

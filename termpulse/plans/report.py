@@ -60,19 +60,23 @@ def hot_word_report(
     lexicon: Lexicon = DEFAULT_LEXICON,
     tokenizer: Tokenizer | None = None,
     end_of_day: bool = False,
+    max_samples: int | None = None,
 ) -> HotWordReport:
     """Count, rank and score the words of a date range.
 
+    Every post with a hot word is scored; ``max_samples`` scores a sample per word.
+
     Raises ``ValueError`` for an unreadable bound; an empty range gives empty
-    tables. The texts are read twice in all: once to count words and once, when
-    the hot words are known, to score posts and find the words in them. What
-    several tables need is kept on the executors in narrow form: the counts, and
-    per post its id, score, class and hot words, without the text.
+    tables. The texts are read once to count words, once, when the hot words are
+    known, to score posts and find the words in them, and once for
+    ``distribution``, which waits for no ranking. What several tables need is
+    kept on the executors in narrow form: the counts, and per post its id, score,
+    class and hot words, without the text.
     """
     top_n = top_n or S.TOP_N
     posts = filter_by_date(posts, start, end, end_of_day=end_of_day, strict=True)
 
-    dated = freq.word_frequency(posts, True, stopwords, tokenizer=tokenizer)
+    dated = freq.word_frequency(posts, True, stopwords, tokenizer=tokenizer, missing=None)
     dated = dated.persist(StorageLevel.MEMORY_AND_DISK)
     ranked = freq.top_words(freq.roll_up(dated), top_n)
 
@@ -88,14 +92,14 @@ def hot_word_report(
         scored = scored.select("id", "cents", "sentiment").persist(StorageLevel.MEMORY_AND_DISK)
 
     numbered = freq.with_rank(ranked).withColumnRenamed("n", "word_count")
-    words = word_sentiment(hits, numbered).select(
+    words = word_sentiment(hits, numbered, max_samples).select(
         "rank", "word", "word_count", "total_count", "avg_score", "sentiment",
         "positive_ratio", "negative_ratio",
     )
     return HotWordReport(
         words=words,
-        daily=freq.top_words_by_date(dated, top_n),
-        distribution=sentiment_distribution(scored),
-        frequencies=dated,
+        daily=freq.top_words_by_date(dated.where(F.col("date").isNotNull()), top_n),
+        distribution=sentiment_distribution(narrow_scores(posts, lexicon)),
+        frequencies=freq.name_missing_dates(dated),
         _kept=(scored, dated),
     )
