@@ -302,6 +302,32 @@ WHERE word <> ''"""
     sql["parse_dates"] = _with(POSTS) + (
         "SELECT id, strftime(try_cast(date AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS ts FROM posts"
     )
+    form = " ".join(
+        f"WHEN {k} THEN {moment}"
+        for k, moment in ((0, "day"), (7, "day + INTERVAL '13 hours 45 minutes'"))
+    )
+    sql["parse_date_forms"] = _with(POSTS) + f"""
+SELECT id, strftime(CASE id % 8 {form} ELSE day END, '%Y-%m-%d %H:%M:%S') AS ts
+FROM (SELECT id, TIMESTAMP '2020-01-20' + to_days(CAST(id % 102 AS INTEGER)) AS day FROM posts)"""
+    sql["strict_bounds"] = _with(POSTS) + "SELECT 'refused' AS strict, count(*) AS posts FROM posts"
+    sql["required_columns"] = _with(POSTS) + """
+SELECT "case", columns, (SELECT count(*) FROM posts) AS posts FROM (VALUES
+  ('as named', 'id,date,content,label,source'), ('aliases', 'id,date,content,label,source'),
+  ('no content', 'refused'), ('no date', 'refused')) cases("case", columns)"""
+    missing = ", ".join(f"'{t}'" for t in S.MISSING_TEXTS)
+    present = lambda c: f"CASE WHEN {c} IN ({missing}) THEN NULL ELSE {c} END AS {c}"
+    sql["csv_labelled"] = _with(POSTS) + (
+        f"SELECT {present('date')}, {present('content')}, CAST(id % 3 AS INTEGER) AS label, {present('emotion')}, "
+        f"{emotion}, '{S.LABELLED_SOURCE}' AS source FROM posts"
+    )
+    sql["csv_custom"] = _with(POSTS) + (
+        f"SELECT {present('date')}, {present('content')}, CAST(id % 4 AS INTEGER) AS label, "
+        f"'{S.CUSTOM_SOURCE}' AS source FROM posts"
+    )
+    sql["posts_by_day"] = _with(POSTS, RANGE) + (
+        "SELECT id, strftime(try_cast(date AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS ts, "
+        "strftime(try_cast(date AS TIMESTAMP), '%Y-%m-%d') AS day FROM ranged"
+    )
     sql["date_range"] = _with(POSTS) + (
         "SELECT strftime(min(try_cast(date AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS first_ts, "
         "strftime(max(try_cast(date AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS last_ts FROM posts"
@@ -511,4 +537,12 @@ SELECT word, day, avg_score, {_SIDE}, points, mean_score,
   CAST(day = max_day AS INTEGER) AS is_max, CAST(day = min_day AS INTEGER) AS is_min
 FROM series JOIN summary USING (word)"""
     sql["export_trend"] = trend + 'SELECT day AS "日期", avg_score AS "情感评分" FROM series'
+    # Whole numbers of a DOUBLE column are written with one decimal by both engines.
+    sql["export_trend_file"] = trend + f"""
+SELECT day || ',' || CAST(avg_score AS VARCHAR) AS line FROM series
+UNION ALL SELECT chr(65279) || '{S.TREND_HEADERS[0]},{S.TREND_HEADERS[1]}'"""
+    cells = ["CAST(rank AS VARCHAR)", "word", *(f"CAST({c} AS VARCHAR)" for c in ("word_count", "avg_score", "sentiment", "positive_ratio", "negative_ratio"))]
+    sql["export_report_file"] = stats + f"""
+SELECT {" || ',' || ".join(cells)} AS line FROM stats
+UNION ALL SELECT chr(65279) || '{','.join(S.REPORT_HEADERS)}'"""
     return sql

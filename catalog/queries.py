@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +20,11 @@ from termpulse.operators.matching import word_post_matches
 from termpulse.plans.drilldown import word_trend
 from termpulse.plans.report import hot_word_report
 from termpulse.plans.summary import corpus_summary, date_range
-from termpulse.sinks.reports import report_table, trend_table
+from termpulse.sinks.posts import write_posts
+from termpulse.sinks.reports import report_table, trend_file_name, trend_table, write_report, write_trend
 from termpulse.sources import posts as src
 from termpulse.sources.stopwords import stopwords_of_lines
+from termpulse.storage import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -62,6 +65,40 @@ def load_posts(spark, sf):
     return src.normalize_labelled(raw)
 
 
+def _written_csv(posts: DataFrame, label: str) -> str:
+    folder = new_folder(posts.sparkSession, label) + "/posts"
+    posts.write.csv(
+        folder, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    return folder
+
+
+@query
+def csv_labelled(spark, sf):
+    """Posts written to CSV files and read back."""
+    raw = V.raw_posts(spark, sf).select(
+        F.col("content").alias("text"), (F.col("id") % 3).alias("label"), F.col("emotion").alias("label_name"), "date"
+    )
+    return src.read_labelled_posts(spark, _written_csv(raw, "labelled")).drop("id")
+
+
+@query
+def csv_custom(spark, sf):
+    """Posts written to CSV in a folder per source and read back."""
+    posts = V.posts(spark, sf).select("content", F.col("date").alias("时间"), (F.col("id") % 4).alias("label"))
+    return src.read_custom_posts(spark, _written_csv(posts, "custom")).drop("id")
+
+
+@query
+def posts_by_day(spark, sf):
+    """Posts stored by day, and a range of days read back."""
+    folder = new_folder(spark, "days") + "/posts"
+    write_posts(V.posts(spark, sf).select("id", "date"), folder)
+    stored = spark.read.parquet(folder)
+    chosen = filters.filter_by_date(stored, V.START, V.END, "ts", day_col="day")
+    return chosen.select("id", _moment("ts"), F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
 @query
 def load_custom_posts(spark, sf):
     raw = V.posts(spark, sf).select(
@@ -97,6 +134,52 @@ def parse_dates(spark, sf):
     return V.posts(spark, sf).select("id", parse_timestamp(F.col("date")).alias("ts")).select("id", _moment("ts"))
 
 
+@query
+def parse_date_forms(spark, sf):
+    """One day of each post, written in eight ways by turns."""
+    day = F.expr("date_add(date'2020-01-20', cast(id % 102 as int))")
+    form = lambda f: F.date_format(day, f)
+    texts = F.array(
+        form("yyyy-MM-dd HH:mm:ss"), form("yyyyMMdd"), form("yyyy/M/d"), form("yyyy.MM.dd"), form("yyyy年M月d日"),
+        form("MM/dd/yyyy"), form("d MMM yyyy"), F.concat(form("EEE MMM dd"), F.lit(" 13:45:00 +0800 "), form("yyyy")),
+    )
+    posts = V.posts(spark, sf).select("id", F.element_at(texts, (F.col("id") % 8 + 1).cast("int")).alias("date"))
+    return posts.select("id", parse_timestamp(F.col("date")).alias("ts")).select("id", _moment("ts"))
+
+
+@query
+def strict_bounds(spark, sf):
+    """What strict and tolerant filters make of an unreadable bound."""
+    posts = V.posts(spark, sf)
+    rows = filters.filter_by_date(posts, "not-a-date").agg(F.count(F.lit(1)).alias("posts"))
+    try:
+        filters.filter_by_date(posts, "not-a-date", strict=True)
+        outcome = "taken"
+    except ValueError:
+        outcome = "refused"
+    return rows.select(F.lit(outcome).alias("strict"), "posts")
+
+
+@query
+def required_columns(spark, sf):
+    """Which layouts are read, one row per case."""
+    posts = V.posts(spark, sf).select("id", "content", "date")
+    cases = {
+        "as named": posts,
+        "aliases": posts.withColumnsRenamed({"content": "review", "date": "time"}),
+        "no content": posts.drop("content"),
+        "no date": posts.drop("date"),
+    }
+    found = []
+    for name, case in cases.items():
+        try:
+            columns = ",".join(src.normalize_custom(case).columns)
+        except ValueError:
+            columns = "refused"
+        found.append(case.agg(F.count(F.lit(1)).alias("posts")).select(F.lit(name).alias("case"), F.lit(columns).alias("columns"), "posts"))
+    return reduce(DataFrame.unionByName, found)
+
+
 @query
 def filter_by_date(spark, sf):
     return _range(V.posts(spark, sf)).select("id", "date")
@@ -484,4 +567,24 @@ def word_trend_(spark, sf):
 
 @query
 def export_trend(spark, sf):
-    return trend_table(_trend(spark, sf).series)
+    return trend_table(_trend(spark, sf).series, TREND_WORD)
+
+
+def _lines(spark, path: str) -> DataFrame:
+    whole = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("text"))
+    return whole.select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+
+
+@query
+def export_trend_file(spark, sf):
+    """The file itself, byte-order mark included, line by line."""
+    path = f"{new_folder(spark, 'trend')}/{trend_file_name(TREND_WORD)}"
+    write_trend(_trend(spark, sf).series, path, TREND_WORD)
+    return _lines(spark, path)
+
+
+@query
+def export_report_file(spark, sf):
+    path = f"{new_folder(spark, 'report')}/report.csv"
+    write_report(report(spark, sf).words, path)
+    return _lines(spark, path)

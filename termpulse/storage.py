@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,13 +15,27 @@ from termpulse import settings as S
 def scratch_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session without that setting, as in a local test, gets a temporary
-    folder of this machine.
+    Only a local session without that setting, as in a test, gets a temporary
+    folder of this machine; on a cluster other executors would not see it.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
-    return shared or tempfile.mkdtemp(prefix="termpulse-")
+    if shared:
+        return shared
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="termpulse-")
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """The name of a new folder in the scratch folder, removed when the driver ends."""
+    folder = f"{scratch_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
 
 
 def fits_broadcast(
