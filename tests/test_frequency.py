@@ -18,7 +18,7 @@ def as_dict(df, *keys):
 
 
 def test_counting_by_date(make_posts):
-    posts = make_posts("今天天气真好", "天气不错，心情好", "明天天气怎么样", dates=["2024-01-01"] * 2 + ["2024-01-02"])
+    posts = make_posts("北方天气转凉", "天气预报说有雨", "周末天气晴朗", dates=["2024-01-01"] * 2 + ["2024-01-02"])
     counts = as_dict(freq.word_frequency(posts), "date", "word")
     assert counts[("2024-01-01", "天气")] == 2
     assert counts[("2024-01-02", "天气")] == 1
@@ -30,7 +30,10 @@ def test_missing_dates_count_as_unknown(make_posts):
         ("unknown", "aa"): 1, ("d", "aa"): 1, ("d", "bb"): 1,
     }
     assert {r.date for r in freq.word_frequency(posts.drop("date")).collect()} == {"unknown"}
-    assert {r.date for r in freq.top_words_by_date(freq.word_frequency(posts)).collect()} == {"d"}
+    assert {r.date for r in freq.top_words_by_date(freq.word_frequency(posts)).collect()} == {"d", "unknown"}
+    kept = freq.word_frequency(posts, missing=None)
+    assert {r.date for r in kept.collect()} == {"d", None}
+    assert as_dict(freq.name_missing_dates(kept), "date", "word")[("unknown", "aa")] == 1
 
 
 @pytest.mark.parametrize("by_date, columns", [(True, ["date", "word", "n"]), (False, ["word", "n"])])

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import physical
 from termpulse import read_custom_posts, read_labelled_posts
 from termpulse.functions.dates import parse_bound, parse_timestamp
 from termpulse.plans.drilldown import word_trend
@@ -12,6 +13,7 @@ from termpulse.plans.report import hot_word_report
 from termpulse.plans.summary import corpus_summary, date_range
 from termpulse.operators.filters import filter_by_date, non_empty, word_context
 from termpulse.sinks import reports
+from termpulse.sinks.posts import write_posts
 from termpulse.sources import posts as src
 from termpulse.sources.stopwords import default_stopwords, read_stopwords
 
@@ -235,15 +237,10 @@ def test_word_context(make_posts):
 # --- report files --------------------------------------------------------------------
 
 
-def only_csv(path):
-    (part,) = path.glob("part-*.csv")
-    return part.read_bytes()
-
-
 def test_report_file(spark, tmp_path, make_posts):
     with hot_word_report(make_posts("好天气 好天气", "天气差"), top_n=2) as report:
         reports.write_report(report.words, str(tmp_path / "r"))
-    data = only_csv(tmp_path / "r")
+    data = (tmp_path / "r").read_bytes()
     assert data.startswith(codecs.BOM_UTF8) and not data.startswith(codecs.BOM_UTF8 * 2)
     assert data.decode("utf-8-sig").splitlines() == [
         "排名,热词,词频,情感评分,情感倾向,正面比例,负面比例",
@@ -262,7 +259,90 @@ def test_trend_file(tmp_path, make_posts):
     posts = make_posts("好天", "天差", "天", dates=["2024-01-02", "2024-01-01", "bad"])
     trend = word_trend(posts, "天")
     reports.write_trend(trend.series, str(tmp_path / "t"))
-    assert only_csv(tmp_path / "t").decode("utf-8-sig").splitlines() == [
-        "日期,情感评分", "2024-01-01,1.0", "2024-01-02,10.0",
-    ]
+    rows = ["2024-01-01,1.0", "2024-01-02,10.0"]
+    lines = (tmp_path / "t").read_bytes().decode("utf-8-sig").splitlines()
+    assert lines == ["日期,情感评分,热词", *(f"{r},天" for r in rows)]
+    reports.write_trend(trend.series, str(tmp_path / "t"), "天")
+    assert (tmp_path / "t").read_bytes().decode("utf-8-sig").splitlines() == ["日期,情感评分", *rows]
+    assert not list(tmp_path.glob("*.writing"))
     assert reports.trend_file_name("天") == "天_sentiment_trend.csv"
+
+
+def test_another_header_is_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("date,content\n2020-01-01,hello\n")
+    (tmp_path / "b.csv").write_text("content,date\nworld,2020-01-02\n")
+    with pytest.raises(Exception, match="header"):
+        read_custom_posts(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("utf8", [True, False])
+def test_partition_folders_give_columns(spark, tmp_path, utf8):
+    for day in ("2020-01-01", "2020-01-02"):
+        (tmp_path / f"date={day}").mkdir()
+        (tmp_path / f"date={day}" / "p.csv").write_text(f"content,label\nof {day},1\n")
+    rows = read_custom_posts(spark, str(tmp_path), utf8=utf8).collect()
+    assert {(r.date, r.content, r.label) for r in rows} == {(d, f"of {d}", 1) for d in ("2020-01-01", "2020-01-02")}
+
+
+def test_partition_folders_with_gbk(spark, tmp_path):
+    for day, code in (("2020-01-01", "gbk"), ("2020-01-02", "utf-8")):
+        (tmp_path / f"date={day}").mkdir()
+        (tmp_path / f"date={day}" / "p.csv").write_bytes("content\n好天\n".encode(code))
+    rows = read_custom_posts(spark, str(tmp_path)).collect()
+    assert {(r.date, r.content) for r in rows} == {("2020-01-01", "好天"), ("2020-01-02", "好天")}
+
+
+def test_labels_are_whole_numbers(spark):
+    given = spark.createDataFrame([("a", "2020-01-01", "1"), ("b", "2020-01-01", "x")], "content string, date string, label string")
+    assert dict(src.normalize_custom(given).dtypes)["label"] == "int"
+    assert [r.label for r in src.normalize_custom(given).orderBy("content").collect()] == [1, None]
+
+
+@pytest.mark.parametrize("arrow", ["true", "false"])
+def test_pandas_integers_with_gaps(spark, arrow):
+    before = spark.conf.get("spark.sql.execution.arrow.pyspark.enabled")
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", arrow)
+    try:
+        table = pd.DataFrame({"id": [1, 2], "content": ["a", None], "label": [1, None]})
+        assert [tuple(r) for r in src.posts_from_pandas(spark, table).collect()] == [(1, "a", 1), (2, None, None)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", before)
+
+
+def test_numbering_moves_no_texts(spark, sf):
+    numbered = src.with_sequential_id(src.with_file_position(spark.read.parquet(f"{sf}/documents.parquet")))
+    numbered.collect()
+    plan = physical(numbered)
+    assert "BroadcastHashJoin" in plan
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line or "Exchange Single" in line]
+    assert shuffles and not any("text" in line for line in shuffles)
+
+
+@pytest.mark.parametrize(
+    "text, day",
+    [
+        ("Mon Jan 20 13:45:00 +0800 2020", "2020-01-20 13:45:00"), ("01/20/2020", "2020-01-20 00:00:00"),
+        ("20/01/2020 07:05", "2020-01-20 07:05:00"), ("20 Jan 2020", "2020-01-20 00:00:00"),
+        ("5 September 2020 10:00:01", "2020-09-05 10:00:01"), ("2020年1月20日", "2020-01-20 00:00:00"),
+        ("2020.01.20 01:02:03", "2020-01-20 01:02:03"), ("2020/1/2", "2020-01-02 00:00:00"),
+        ("20200120", "2020-01-20 00:00:00"), ("20 Foo 2020", None), ("13/13/2020", None), ("tomorrow", None),
+    ],
+)
+def test_forms_of_dates(spark, text, day):
+    df = spark.createDataFrame([(text,)], "t string").select(parse_timestamp(F.col("t")).cast("string").alias("ts"))
+    assert df.first().ts == day
+    if day is None:
+        with pytest.raises(ValueError):
+            parse_bound(text)
+    else:
+        assert str(parse_bound(text)) == day
+
+
+def test_stored_days_prune(spark, tmp_path, make_posts):
+    given = make_posts("a", "b", "c", dates=["2024-01-01 10:00:00", "2024-01-02", "bad"])
+    write_posts(given, str(tmp_path / "days"))
+    stored = spark.read.parquet(str(tmp_path / "days"))
+    assert stored.count() == 3
+    chosen = filter_by_date(stored, "2024-01-02", None, "ts", day_col="day")
+    assert [r.content for r in chosen.collect()] == ["b"]
+    assert "PartitionFilters: [isnotnull(day" in physical(chosen)
