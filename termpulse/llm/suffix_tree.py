@@ -10,7 +10,7 @@ follows it; three things keep the trees small.
   only anchors that stand in several documents.
 * **Prefixes of variable length.** Suffixes are dealt out by their first ``PREFIX``
   words, the anchor, so each group fits into memory. A prefix with more than
-  ``GROUP`` documents is too short: there the prefix is the whole window, and each
+  ``GROUP`` windows is too short: there the prefix is the whole window, and each
   task sends on one document per window, the smallest. Such prefixes are at most
   ``MAX_LONG``, the most frequent ones.
 * **Subtrees.** A group's tree is built top down, a word at a time, for all groups
@@ -45,8 +45,9 @@ WINDOW = 13
 PREFIX = 6
 #: Runs of PREFIX words in a window.
 STARTS = WINDOW - PREFIX + 1
-GROUP = 10_000
+GROUP = 50_000
 MAX_LONG = 100_000
+_SEVERAL = np.uint32(1 << 31)  # marks a count over several documents
 #: Anchors that a task sorts at once, and suffixes whose trees it builds at once.
 CHUNK = 400_000
 SUFFIXES = 50_000
@@ -102,9 +103,9 @@ def _packed_anchors(rows: DataFrame, bits: int) -> DataFrame:
     def packed(bucket, known, hashes, docs, counts):
         return bucket, known, _planes(hashes), _planes(docs), _planes(counts)
 
-    def flush(hashes, docs):
+    def flush(hashes, docs, counts):
         order = np.lexsort((docs, hashes))
-        hashes, docs = hashes[order], docs[order]
+        hashes, docs, counts = hashes[order], docs[order], counts[order]
         first = _firsts(hashes)
         last = np.append(first[1:], len(hashes))
         several = docs[first] != docs[last - 1]
@@ -115,7 +116,8 @@ def _packed_anchors(rows: DataFrame, bits: int) -> DataFrame:
         for at in range(0, int(shared.sum()), 1 << 16):
             h, d = hashes[shared][at : at + (1 << 16)], docs[shared][at : at + (1 << 16)]
             rows.append(packed(int(d[0]) % (1 << bits), True, h, d, np.empty(0, np.uint32)))
-        h, d, n = hashes[first], docs[first], np.where(several, lengths, 1).astype(np.uint32)
+        n = np.minimum(np.add.reduceat(counts, first), _SEVERAL - np.uint32(1)).astype(np.uint32)
+        h, d, n = hashes[first], docs[first], n | np.where(several, _SEVERAL, np.uint32(0))
         bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
         edges = np.append(_firsts(bucket), len(h))
         for a, b in zip(edges, edges[1:], strict=False):
@@ -123,19 +125,18 @@ def _packed_anchors(rows: DataFrame, bits: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
 
     def run(batches):
-        hashes, docs, waiting = [], [], 0
+        waiting, n_waiting = [], 0
         for batch in text_batches(batches):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = np.unique(anchors(wordhash.words((text or "").encode())[2])[1])
+                found, windows = np.unique(anchors(wordhash.words((text or "").encode())[2])[1], return_counts=True)
                 if len(found):
-                    hashes.append(found)
-                    docs.append(np.full(len(found), i, np.int64))
-                    waiting += len(found)
-            if waiting >= CHUNK:
-                yield flush(np.concatenate(hashes), np.concatenate(docs))
-                hashes, docs, waiting = [], [], 0
+                    waiting.append((found, np.full(len(found), i, np.int64), windows))
+                    n_waiting += len(found)
+            if n_waiting >= CHUNK:
+                yield flush(*map(np.concatenate, zip(*waiting, strict=True)))
+                waiting, n_waiting = [], 0
         if waiting:
-            yield flush(np.concatenate(hashes), np.concatenate(docs))
+            yield flush(*map(np.concatenate, zip(*waiting, strict=True)))
 
     return rows.select("id", "text").mapInArrow(run, _PACKED)
 
@@ -164,7 +165,7 @@ def _by_key(batches, key: str, enough: int = 0):
 
 def shared_anchors(rows: DataFrame, group: int = GROUP) -> DataFrame:
     """``id, anchor``: anchors that stand in several documents, for each of these;
-    and ``null, anchor, n`` for the anchors of more than ``group`` documents."""
+    and ``null, anchor, n`` for the anchors of more than ``group`` windows."""
     bits = min(20, max(6, ceil(log2(max(1, rows.count() / BUCKET_DOCS)))))
     dealt = _packed_anchors(rows, bits).repartition("bucket").sortWithinPartitions("bucket")
 
@@ -185,13 +186,14 @@ def shared_anchors(rows: DataFrame, group: int = GROUP) -> DataFrame:
                 continue
             hashes, docs, counts = (np.concatenate(p) for p in zip(*parts, strict=True))
             order = np.lexsort((docs, hashes))
-            hashes, docs, counts = hashes[order], docs[order], counts[order].astype(np.int64)
+            hashes, docs, counts = hashes[order], docs[order], counts[order]
+            listed = counts >= _SEVERAL
             first = _firsts(hashes)
             last = np.append(first[1:], len(hashes))
-            total = np.add.reduceat(counts, first)
-            shared = (docs[first] != docs[last - 1]) | (total > last - first)
-            # Those counted more than once have been listed by the task that saw them.
-            new = np.repeat(shared, last - first) & (counts == 1)
+            total = np.add.reduceat((counts & (_SEVERAL - np.uint32(1))).astype(np.int64), first)
+            shared = (docs[first] != docs[last - 1]) | np.logical_or.reduceat(listed, first)
+            # A task that saw several documents has listed them.
+            new = np.repeat(shared, last - first) & ~listed
             yield result(docs[new], hashes[new])
             long = total > group
             yield result(None, hashes[first][long], total[long])
@@ -354,17 +356,19 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, group: int) -> DataFram
     """``id, text, marks`` of every row; the texts are shuffled once."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("twin", F.hash("text"))
-    found = written(shared_anchors(rows.filter("id IS NOT NULL"), group), "anchors")
+    nameless = rows.filter("id IS NULL").select("id", "text", F.lit(None).cast("array<bigint>").alias("marks"))
+    rows = rows.filter("id IS NOT NULL")
+    found = written(shared_anchors(rows, group), "anchors")
     long = found.filter("id IS NULL").orderBy(F.desc("n"), "anchor").limit(MAX_LONG).select("anchor")
     long = np.sort(np.array([r.anchor for r in long.collect()], np.int64).view(np.uint64))
     wanted = found.filter("id IS NOT NULL").groupBy("id").agg(F.collect_list("anchor").alias("anchors"))
     # Both joins deal the same rows out by the same key: Spark reuses the exchange.
     suffixes = _suffixes(rows.join(wanted.hint("shuffle_hash"), "id"), long)
-    marks = _repeated(suffixes).groupBy("id", "twin").agg(F.collect_list("mark").alias("marks"))
-    marks = marks.groupBy("id").agg(F.collect_list(F.struct("twin", "marks")).alias("twins"))
+    marks = _repeated(suffixes).groupBy("id").agg(F.collect_list(F.struct("twin", "mark")).alias("twins"))
     joined = rows.join(marks.hint("shuffle_hash"), "id", "left")
     own = F.filter("twins", lambda t: t["twin"] == F.col("twin"))
-    return joined.select("id", "text", F.flatten(F.transform(own, lambda t: t["marks"])).alias("marks"))
+    marked = joined.select("id", "text", F.transform(own, lambda t: t["mark"]).alias("marks"))
+    return marked.unionByName(nameless)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
