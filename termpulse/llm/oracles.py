@@ -4,7 +4,51 @@ from __future__ import annotations
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+# Words are runs without ASCII white space.
+SPLIT = "list_filter(string_split_regex({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
 _SQL = {
+    "op3_suffix_trees": f"""
+        WITH docs AS MATERIALIZED (
+          SELECT doc_id, {SPLIT.format(text="coalesce(text, '')")} AS ws FROM documents),
+        words AS MATERIALIZED (
+          SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM docs),
+        windows AS MATERIALIZED (
+          SELECT doc_id, begins, array_to_string(ws[begins : begins + 12], ' ') AS run
+          FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS begins FROM docs WHERE len(ws) >= 13)),
+        firsts AS (SELECT run, min(doc_id) AS low FROM windows GROUP BY run),
+        gone AS MATERIALIZED (
+          SELECT DISTINCT doc_id, begins + unnest(range(13)) AS pos
+          FROM windows JOIN firsts USING (run) WHERE low < doc_id),
+        kept AS (
+          SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.pos) AS text FROM words w ANTI JOIN gone USING (doc_id, pos)
+          GROUP BY w.doc_id),
+        counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+               sha256(coalesce(text, '')) AS kept_sha256
+        FROM docs LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
+    "op7_minhash_near_dedup": f"""
+        WITH RECURSIVE docs AS MATERIALIZED (
+          SELECT doc_id, {SPLIT.format(text=LOWERED)} AS ws FROM documents),
+        sets AS MATERIALIZED (
+          SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4
+            THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' '))
+            WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM docs),
+        sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+        pairs AS (
+          SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+          FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS MATERIALIZED (
+          SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+          WHERE 100 * common >= 80 * (x.n + y.n - common)),
+        reached AS (
+          SELECT doc_id AS a, doc_id AS b FROM docs
+          UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b)
+        SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r.b) AS component_id,
+               d.doc_id = min(r.b) AS kept
+        FROM docs d JOIN reached r ON r.a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+    """,
     "op9_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
