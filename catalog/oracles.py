@@ -489,25 +489,29 @@ joined AS (SELECT p.*, m FROM posts p LEFT JOIN margins USING (id))""",
         + f"SELECT {_SCORE_COLUMNS} FROM scored"
     )
 
+    pieces = rf"""
+tokens AS MATERIALIZED (
+  SELECT id, date, word FROM (
+    SELECT id, date, unnest(regexp_extract_all(content, '[^{SPACE}]+')) AS word FROM posts)
+  WHERE length(word) >= 2 AND word NOT IN ({_list(V.STOPWORDS)}))"""
+    sql["nb_train_whitespace"] = _with(POSTS, LABELLED, pieces) + """
+SELECT word, count(*) FILTER (train_label = 1) AS pos_n, count(*) FILTER (train_label = 0) AS neg_n
+FROM tokens JOIN labelled USING (id) WHERE train_label IN (0, 1) GROUP BY word"""
+
     # keywords
     sql["keywords_freq"] = (
         _with(POSTS, _tokens(), "weighted AS (SELECT id, word, count(*) AS weight FROM tokens GROUP BY ALL)") + _TOP_K
     )
-    sql["keywords_tfidf"] = (
-        _with(
-            POSTS,
-            _tokens(),
-            """
+    tf_idf = """
 tf AS (SELECT id, word, count(*) AS tf FROM tokens GROUP BY ALL),
 lens AS (SELECT id, count(*) AS n FROM tokens GROUP BY id),
 df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
 weighted AS (
   SELECT id, word, round_even(tf::DOUBLE / n * ln(
       ((SELECT count(*) FROM posts WHERE content IS NOT NULL AND content <> '') + 1)::DOUBLE / (df + 1)), 6) AS weight
-  FROM tf JOIN lens USING (id) JOIN df USING (word))""",
-        )
-        + _TOP_K
-    )
+  FROM tf JOIN lens USING (id) JOIN df USING (word))"""
+    sql["keywords_tfidf"] = _with(POSTS, _tokens(), tf_idf) + _TOP_K
+    sql["keywords_tfidf_whitespace"] = _with(POSTS, pieces, tf_idf) + _TOP_K
     sql["keywords_textrank"] = _textrank()
 
     # reports

@@ -514,6 +514,20 @@ def keywords_tfidf(spark, sf):
     return keywords.keywords_by_tfidf(posts, keywords.fit_idf(posts, V.STOPWORDS), stopwords=V.STOPWORDS)
 
 
+@query
+def keywords_tfidf_whitespace(spark, sf):
+    """The same with a tokeniser of the caller's."""
+    posts = V.posts(spark, sf)
+    idf = keywords.fit_idf(posts, V.STOPWORDS, tokenizer=X.tokenize_whitespace)
+    return keywords.keywords_by_tfidf(posts, idf, stopwords=V.STOPWORDS, tokenizer=X.tokenize_whitespace)
+
+
+@query
+def nb_train_whitespace(spark, sf):
+    posts = V.labelled_posts(spark, sf)
+    return bayes.train_counts(posts, stopwords=V.STOPWORDS, tokenizer=X.tokenize_whitespace)
+
+
 @query
 def keywords_textrank(spark, sf):
     return keywords.keywords_by_textrank(V.posts(spark, sf), stopwords=V.STOPWORDS)

@@ -19,6 +19,8 @@ from termpulse import settings as S
 SPACE = r"\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}"
 WORD = r"\p{L}\p{N}_"
 CJK = r"\x{4E00}-\x{9FFF}"
+# The same for patterns of this process, which writes code points in another way.
+_CJK_HERE = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), CJK)
 
 # Code points that count as digits although they are not \p{Nd}
 # (superscripts, circled and other enclosed digits).
@@ -133,10 +135,12 @@ def lexicon_tokenizer(
     """A tokeniser that cuts CJK runs into the given terms, longest match first.
 
     Unmatched CJK characters stand alone, other runs stay whole, and the usual
-    word filters follow. The terms become one regular expression, which suits
-    some hundreds of them; ``operators.segment`` takes term tables of any size.
+    word filters follow. Only terms of CJK characters alone can be found, as runs
+    end where another script begins. The terms become one regular expression,
+    which suits some hundreds of them; ``operators.segment`` gives the same words
+    for term tables of any size.
     """
-    longest_first = sorted({t for t in terms if t}, key=lambda t: (-len(t), t))
+    longest_first = sorted({t for t in terms if re.fullmatch(f"[{_CJK_HERE}]+", t)}, key=lambda t: (-len(t), t))
     if len(longest_first) > S.INLINE_WORDS:
         raise ValueError(f"more than {S.INLINE_WORDS} terms: use operators.segment with a table")
     known = "".join(re.escape(t) + "|" for t in longest_first)
@@ -149,6 +153,17 @@ def lexicon_tokenizer(
     return words
 
 
+def tokens_of(
+    text: Column, stopwords: Iterable[str] = (), tokenizer: Tokenizer | None = None
+) -> Column:
+    """Tokens by a tokeniser of the caller's, less the stopwords, or by ``tokenize``."""
+    if tokenizer is None:
+        return tokenize(text, stopwords)
+    words = F.coalesce(tokenizer(text), F.array().cast(T.ArrayType(T.StringType())))
+    stop = sorted(set(stopwords))
+    return F.filter(words, lambda w: ~w.isin(stop)) if stop else words
+
+
 def tokenize_whitespace(text: Column, min_len: int = S.MIN_WORD_LENGTH) -> Column:
     """Split on whitespace and keep long enough pieces; no cleaning, no stopwords."""
     pieces = F.filter(F.split(text, rf"[{SPACE}]+"), lambda w: F.length(w) >= max(min_len, 1))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from termpulse import settings as S
 from termpulse.functions.score import sentiment_columns
+from termpulse.functions.text import Tokenizer
 from termpulse.operators.lookup import WordTable, lookup_words
 from termpulse.operators.tokens import word_rows
 
@@ -30,12 +31,16 @@ class BayesModel:
 
 
 def train_counts(
-    posts: DataFrame, label: str = "train_label", stopwords: Iterable[str] = (), content: str = "content"
+    posts: DataFrame,
+    label: str = "train_label",
+    stopwords: Iterable[str] = (),
+    content: str = "content",
+    tokenizer: Tokenizer | None = None,
 ) -> DataFrame:
     """Token counts per word and class; posts labelled neither 1 nor 0 are left out."""
     labelled = posts.where(F.col(label).isin(0, 1))
     return (
-        word_rows(labelled, (label,), stopwords, content=content)
+        word_rows(labelled, (label,), stopwords, content=content, tokenizer=tokenizer)
         .groupBy("word")
         .agg(
             F.count_if(F.col(label) == 1).alias("pos_n"),
@@ -61,7 +66,11 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
 
 
 def train(
-    posts: DataFrame, label: str = "train_label", stopwords: Iterable[str] = (), content: str = "content"
+    posts: DataFrame,
+    label: str = "train_label",
+    stopwords: Iterable[str] = (),
+    content: str = "content",
+    tokenizer: Tokenizer | None = None,
 ) -> BayesModel:
     """Fit a model; raises ``ValueError`` unless both classes occur."""
     sizes = posts.agg(
@@ -70,14 +79,19 @@ def train(
     pos, neg = sizes.first()
     if not pos or not neg:
         raise ValueError("training needs posts of both classes")
-    fitted = log_probabilities(train_counts(posts, label, stopwords, content)).withColumn(
+    fitted = log_probabilities(train_counts(posts, label, stopwords, content, tokenizer)).withColumn(
         "n", F.col("pos_n") + F.col("neg_n")
     )
     return BayesModel(WordTable.fit(fitted, "n"), math.log(pos / neg))
 
 
 def raw_scores(
-    posts: DataFrame, model: BayesModel, stopwords: Iterable[str] = (), key: str = "id", content: str = "content"
+    posts: DataFrame,
+    model: BayesModel,
+    stopwords: Iterable[str] = (),
+    key: str = "id",
+    content: str = "content",
+    tokenizer: Tokenizer | None = None,
 ) -> DataFrame:
     """``key, raw``: probability of the positive class; unknown words are skipped.
 
@@ -85,7 +99,7 @@ def raw_scores(
     ratio; sums are partial inside each task when the model is broadcast.
     """
     known = lookup_words(
-        word_rows(posts, (key,), stopwords, content=content), model.table, ["log_pos", "log_neg"], key
+        word_rows(posts, (key,), stopwords, content=content, tokenizer=tokenizer), model.table, ["log_pos", "log_neg"], key
     )
     margin = F.sum(F.col("log_neg") - F.col("log_pos")) - F.lit(model.log_prior)
     clamped = F.greatest(F.least(margin, F.lit(EXPONENT_LIMIT)), F.lit(-EXPONENT_LIMIT))
@@ -93,13 +107,18 @@ def raw_scores(
 
 
 def predict(
-    posts: DataFrame, model: BayesModel, stopwords: Iterable[str] = (), key: str = "id", content: str = "content"
+    posts: DataFrame,
+    model: BayesModel,
+    stopwords: Iterable[str] = (),
+    key: str = "id",
+    content: str = "content",
+    tokenizer: Tokenizer | None = None,
 ) -> DataFrame:
     """``key`` and the four sentiment columns, one row per post.
 
     Neutral where a post has no known word, as blank posts have none. Texts are
     not part of the final join: only keys and scores are.
     """
-    raw = raw_scores(posts, model, stopwords, key, content)
+    raw = raw_scores(posts, model, stopwords, key, content, tokenizer)
     scored = posts.select(key).join(raw, key, "left")
     return scored.select(key, *sentiment_columns(F.coalesce("raw", F.lit(S.NEUTRAL_RAW))))

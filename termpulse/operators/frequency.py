@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from termpulse import settings as S
 from termpulse.functions.text import Tokenizer
 from termpulse.operators.ranking import first_per_group
+from termpulse.operators.segment import segmented_rows
 from termpulse.operators.tokens import Stopwords, remove_stopwords, word_rows
 
 
@@ -23,10 +24,13 @@ def word_frequency(
     tokenizer: Tokenizer | None = None,
     content: str = "content",
     missing: str | None = S.UNKNOWN_DATE,
+    terms: DataFrame | None = None,
 ) -> DataFrame:
     """``date, word, n`` or ``word, n``; no posts or no words give no rows.
 
-    Dates group as written; a missing date counts under ``missing``. Counting
+    Dates group as written; a missing date counts under ``missing``. With a table
+    ``terms`` (column ``term``) CJK runs are cut into its terms; posts then need
+    an ``id``. Counting
     starts inside each task, so a word holding a third of all tokens reaches
     the shuffle as one row per task.
     """
@@ -34,7 +38,11 @@ def word_frequency(
         posts = posts.withColumn("date", F.lit(None).cast("string"))
     in_rows = () if isinstance(stopwords, DataFrame) else stopwords
     keep = ["date"] if by_date else []
-    counts = count_rows(word_rows(posts, keep, in_rows, min_len, cjk, tokenizer, content), missing)
+    if terms is None:
+        rows = word_rows(posts, keep, in_rows, min_len, cjk, tokenizer, content)
+    else:
+        rows = segmented_rows(posts, terms, keep, in_rows, min_len, content=content)
+    counts = count_rows(rows, missing)
     # A stopword table meets the counts, not the far more numerous tokens.
     return remove_stopwords(counts, stopwords) if isinstance(stopwords, DataFrame) else counts
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from termpulse import settings as S
 from termpulse.functions.arrays import count_words, heaviest, let, word_positions
-from termpulse.functions.text import tokenize
+from termpulse.functions.text import Tokenizer, tokens_of
 from termpulse.operators.filters import non_empty
 from termpulse.operators.lookup import WordTable, lookup_words
 from termpulse.operators.ranking import first_per_group
@@ -35,12 +35,13 @@ def keywords_by_frequency(
     stopwords: Iterable[str] = (),
     key: str = "id",
     content: str = "content",
+    tokenizer: Tokenizer | None = None,
 ) -> DataFrame:
     """``key, rank, word, weight`` with the count as weight.
 
     A post's words are counted and ranked inside its row: no shuffle at all.
     """
-    counts = count_words(tokenize(F.col(content), stopwords))
+    counts = count_words(tokens_of(F.col(content), stopwords, tokenizer))
     weighted = F.transform(counts, lambda c: F.struct(c["word"].alias("word"), c["tf"].alias("weight")))
     return _ranked(posts, heaviest(weighted, k), key)
 
@@ -49,7 +50,11 @@ def keywords_by_frequency(
 
 
 def fit_idf(
-    posts: DataFrame, stopwords: Iterable[str] = (), key: str = "id", content: str = "content"
+    posts: DataFrame,
+    stopwords: Iterable[str] = (),
+    key: str = "id",
+    content: str = "content",
+    tokenizer: Tokenizer | None = None,
 ) -> WordTable:
     """Document frequency and ``ln((D + 1) / (df + 1))`` of every word of a corpus.
 
@@ -57,7 +62,7 @@ def fit_idf(
     post's row, so only one partial count per word and task is shuffled.
     """
     docs = non_empty(posts, content).agg(F.count(F.lit(1)).alias("d")).scalar()
-    distinct = F.array_distinct(tokenize(F.col(content), stopwords))
+    distinct = F.array_distinct(tokens_of(F.col(content), stopwords, tokenizer))
     df = (
         posts.select(F.explode(distinct).alias("word"))
         .groupBy("word")
@@ -76,16 +81,17 @@ def keywords_by_tfidf(
     stopwords: Iterable[str] = (),
     key: str = "id",
     content: str = "content",
+    tokenizer: Tokenizer | None = None,
 ) -> DataFrame:
     """``key, rank, word, weight`` with ``tf / length * idf``, six decimals.
 
-    Use the stopwords the table was fitted with; words it lacks are skipped.
+    Use the stopwords and the tokeniser the table was fitted with; words it lacks are skipped.
     Words are counted inside the post's row. With a table small enough to
     broadcast the only shuffle is the ranking's, and each task sends at most
     ``k`` rows per post into it.
     """
     counted = let(
-        tokenize(F.col(content), stopwords),
+        tokens_of(F.col(content), stopwords, tokenizer),
         lambda ts: F.transform(
             count_words(ts),
             lambda c: F.struct(c["word"].alias("word"), (c["tf"] / F.size(ts)).alias("share")),
@@ -111,6 +117,7 @@ def keywords_by_textrank(
     rounds: int = ROUNDS,
     key: str = "id",
     content: str = "content",
+    tokenizer: Tokenizer | None = None,
 ) -> DataFrame:
     """``key, rank, word, weight`` from each post's own co-occurrence graph.
 
@@ -125,7 +132,7 @@ def keywords_by_textrank(
     """
     return _ranked(
         posts,
-        heaviest(textrank(tokenize(F.col(content), stopwords), window, damping, rounds), k),
+        heaviest(textrank(tokens_of(F.col(content), stopwords, tokenizer), window, damping, rounds), k),
         key,
     )
 
@@ -203,13 +210,15 @@ def extract_keywords(
     method: str = "tfidf",
     stopwords: Iterable[str] = (),
     idf: WordTable | None = None,
+    tokenizer: Tokenizer | None = None,
 ) -> DataFrame:
     """Keywords by ``method``: ``textrank``, ``frequency``, and TF-IDF for any other name.
 
     Without a fitted ``idf`` the posts themselves are the corpus.
     """
     if method == "textrank":
-        return keywords_by_textrank(posts, k, stopwords)
+        return keywords_by_textrank(posts, k, stopwords, tokenizer=tokenizer)
     if method == "frequency":
-        return keywords_by_frequency(posts, k, stopwords)
-    return keywords_by_tfidf(posts, idf or fit_idf(posts, stopwords), k, stopwords)
+        return keywords_by_frequency(posts, k, stopwords, tokenizer=tokenizer)
+    idf = idf or fit_idf(posts, stopwords, tokenizer=tokenizer)
+    return keywords_by_tfidf(posts, idf, k, stopwords, tokenizer=tokenizer)

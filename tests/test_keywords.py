@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import physical
-from termpulse.functions.text import lexicon_tokenizer
+from termpulse.functions.text import lexicon_tokenizer, tokenize_whitespace
 from termpulse.operators import bayes, keywords, matching, segment
 from termpulse.operators import frequency as freq
 from termpulse.operators.lookup import WordTable
+from termpulse.plans.report import hot_word_report
 
 TEXTS = ["aa bb aa cc dd bb aa", "bb cc", "ee", None, "", "aa ff gg hh ii jj kk aa ll"]
 
@@ -191,7 +192,33 @@ def test_lexicon_tokenizer_against_a_walk(spark, make_posts):
     rows = make_posts(*runs).select("id", words.alias("w")).orderBy("id").collect()
     assert [r.w for r in rows] == [walk(r, terms) for r in runs]
     with pytest.raises(ValueError):
-        lexicon_tokenizer([f"t{i}" for i in range(501)])
+        lexicon_tokenizer([f"天{chr(0x4E00 + i)}" for i in range(501)])
+
+
+def test_a_list_and_a_table_of_terms_agree(spark, make_posts):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("天地玄黄Ab股") for _ in range(rng.randint(1, 25))) for _ in range(60)]
+    terms = ["天气", "A股", "abc", "玄黄天", "天地", "b", "股"]
+    posts = make_posts("A股天气abcd", *texts)
+    table = spark.createDataFrame([(t,) for t in terms], "term string")
+    for min_len in (1, 2):
+        listed = freq.word_frequency(posts, False, tokenizer=lexicon_tokenizer(terms, min_len=min_len))
+        tabled = freq.word_frequency(posts, False, min_len=min_len, terms=table)
+        assert {(r.word, r.n) for r in listed.collect()} == {(r.word, r.n) for r in tabled.collect()}
+
+
+def test_terms_reach_the_report(spark, make_posts):
+    posts = make_posts("北京天气好", "天气差")
+    table = spark.createDataFrame([("北京",), ("天气",)], "term string")
+    with hot_word_report(posts, terms=table) as report:
+        assert {r.word: r.word_count for r in report.words.collect()} == {"天气": 2, "北京": 1}
+
+
+def test_keywords_by_a_tokeniser(make_posts):
+    posts = make_posts("x-y x-y b", "b")
+    for method in ("frequency", "tfidf"):
+        found = keywords.extract_keywords(posts, 1, method, tokenizer=tokenize_whitespace).where("id = 1").first()
+        assert found.word == "x-y"
 
 
 def test_no_terms(spark, make_posts):
