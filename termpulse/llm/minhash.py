@@ -10,8 +10,8 @@ verification, exact confirmation, connected components.
 3. First, each member of a bucket is compared with the smallest and the largest
    member. Then, in buckets whose members are not yet one component, the members of
    different components are compared in blocks of ``BLOCK``, inside the tasks: a
-   bucket never meets in one task, and no pair leaves a task before it has been
-   judged. A pair is judged in the first band it shares.
+   bucket never meets in one task, and no pair leaves a task but a confirmed link
+   that connects what was apart. A pair is judged in the first band it shares.
 4. Judging is sequential: signatures are compared batch by batch, and a pair is
    dropped once the posterior probability that its similarity reaches the threshold
    falls below ``MISS``. With a uniform prior that probability after m matches in n
@@ -49,7 +49,7 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 BATCH = 16
 MISS = 1e-7
-BLOCK = 1024
+BLOCK = 512
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _FACTORS = _rng.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -187,11 +187,13 @@ def _groups(batches, key: str):
         yield pa.Table.from_batches(waiting)
 
 
-def _judge_blocks(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs ``u, v`` of one bucket and different components that survive.
+def _link_blocks(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Confirmed links ``u, v`` inside buckets, enough to connect their components.
 
-    ``members`` has ``class, band, bucket, size, root``. A bucket is dealt into
-    blocks; a task gets two of them, or one and itself.
+    ``members`` has ``class, band, bucket, size, root``, ``texts`` has ``class,
+    text``. A bucket is dealt into blocks; a task gets two of them, or one and
+    itself. Survivors are confirmed there, the most similar first, and no pair is
+    looked at whose members are connected by then.
     """
     n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("class"), n_blocks).cast("int")
@@ -204,7 +206,7 @@ def _judge_blocks(members: DataFrame, classes: DataFrame) -> DataFrame:
         "class",
         "root",
         "band",
-    ).join(classes.select("class", "n", "sig"), "class")
+    ).join(classes.select("class", "n", "sig").join(texts, "class"), "class")
     rows = rows.repartition("meeting").sortWithinPartitions("meeting")
 
     def run(batches):
@@ -213,6 +215,14 @@ def _judge_blocks(members: DataFrame, classes: DataFrame) -> DataFrame:
             n, root, first = (group.column(c).to_numpy() for c in ("n", "root", "first"))
             alone, band = group.column("alone")[0].as_py(), group.column("band")[0].as_py()
             found_u, found_v = [], []
+            text, sets = group.column("text"), {}
+            root = np.unique(root, return_inverse=True)[1]
+
+            def set_of(k, text=text, sets=sets):
+                if k not in sets:
+                    sets[k] = shingles(text[k].as_py())
+                return sets[k]
+
             for i in np.flatnonzero(first) if not alone else range(len(n)):
                 others = np.arange(i + 1, len(n)) if alone else np.flatnonzero(~first)
                 others = others[(root[others] != root[i]) & similar_sizes(n[others], n[i])]
@@ -221,21 +231,36 @@ def _judge_blocks(members: DataFrame, classes: DataFrame) -> DataFrame:
                 # The pair belongs to the first band that it shares.
                 same = (sig[others] == sig[i]).reshape(len(others), BANDS, ROWS).all(axis=2)
                 others = others[same.argmax(axis=1) == band]
-                found_u += [i] * len(others)
-                found_v += others.tolist()
+                order = np.argsort(-(sig[others] == sig[i]).sum(axis=1), kind="stable")
+                for j in others[order].tolist():
+                    if root[j] != root[i] and linked(set_of(i), set_of(j)):
+                        root[root == root[j]] = root[i]
+                        found_u.append(i)
+                        found_v.append(j)
             ids = group.column("class").combine_chunks()
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(x, pa.int64())) for x in (found_u, found_v)], names=["u", "v"])
 
     kind = classes.schema["class"].dataType.simpleString()
-    columns = rows.select("meeting", "alone", "first", "class", "root", "band", "n", "sig")
+    columns = rows.select("meeting", "alone", "first", "class", "root", "band", "n", "sig", "text")
     return columns.mapInArrow(run, f"u {kind}, v {kind}")
 
 
+def linked(left: np.ndarray, right: np.ndarray) -> bool:
+    """Whether two full sets reach the threshold."""
+    both = len(np.intersect1d(left, right, assume_unique=True))
+    return DENOMINATOR * both >= NUMERATOR * (len(left) + len(right) - both)
+
+
+def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``class, text`` of the given classes, in the shared folder."""
+    texts = docs.select(F.col(id_col).alias("class"), F.col(text_col).alias("text"))
+    return written(texts.join(broadcast_if_small(ids), "class"), "texts")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Of pairs ``u, v`` those whose full sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("_id")).distinct()
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(broadcast_if_small(ids), "_id")
-    texts = written(texts, "texts")
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct()
+    texts = texts_of(ids, docs, id_col, text_col)
     joined = pairs.join(texts.toDF("u", "text_u"), "u").join(texts.toDF("v", "text_v"), "v")
 
     def run(batches):
@@ -245,9 +270,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
             for i, (v, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("v", "text_u", "text_v")), strict=True)):
                 if known[0] != v:  # neighbours often share one side
                     known = (v, shingles(b))
-                left, right = shingles(a), known[1]
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                if DENOMINATOR * both >= NUMERATOR * (len(left) + len(right) - both):
+                if linked(shingles(a), known[1]):
                     keep.append(i)
             yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
 
@@ -270,8 +293,9 @@ def _linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) ->
     members = members.filter("size > 2").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     members = written(members.select("class", "band", "bucket", "size", "root"), "members")
     split = members.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("other")).filter("one < other")
-    judged = written(_judge_blocks(members.join(split.select("bucket"), "bucket"), classes), "pairs")
-    return links.unionByName(confirm(judged, docs, id_col, text_col))
+    apart = written(members.join(split.select("bucket"), "bucket"), "apart")
+    texts = texts_of(apart.select("class").distinct(), docs, id_col, text_col)
+    return links.unionByName(written(_link_blocks(apart, classes, texts), "links"))
 
 
 def find_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
