@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termpulse.sources.posts import read_table
+from termpulse.storage import broadcast_if_small
 
 START, END = "2020-01-25", "2020-03-31"
 STOPWORDS = (
@@ -76,7 +77,8 @@ def labelled_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("id"),
         F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 1).otherwise(-1).alias("train_label"),
     )
-    return posts(spark, sf_dir).join(labels, "id", "left")
+    # Measured first: texts are shuffled only for labels too many to broadcast.
+    return posts(spark, sf_dir).join(broadcast_if_small(labels), "id", "left")
 
 
 def han_posts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,9 +17,10 @@ def sample_per_group(
     """At most ``k`` rows per group: those with the smallest hash of key and seed.
 
     The draw depends on the data only, not on partitioning, and groups of up to
-    ``k`` rows are kept whole. ``k=None`` keeps everything.
+    ``k`` rows are kept whole. ``k=None`` keeps everything. A frequent word is drawn
+    in slices first, so no task gets the candidates of all tasks.
     """
     if k is None:
         return rows
     draw = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")).cast("binary"))
-    return first_per_group(rows, group, [draw, key], k, "_draw", [key]).drop("_draw")
+    return first_per_group(rows, group, [draw, key], k, "_draw", [key], sliced=True).drop("_draw")

@@ -29,13 +29,13 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """The name of a new folder in the scratch folder, removed when the driver ends."""
+    """A new folder in the scratch folder, by its full URI; removed when the driver ends."""
     folder = f"{scratch_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(path)
     fs.deleteOnExit(path)
-    return folder
+    return fs.makeQualified(path).toString()
 
 
 def fits_broadcast(
