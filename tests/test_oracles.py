@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from catalog import oracles, queries
 from catalog.check import compare, oracle_connection
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = queries.all_queries()
+SQL = oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +17,7 @@ def con(sf):
 
 def test_every_query_has_an_oracle():
     assert sorted(QUERIES) == sorted(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
