@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termpulse.storage import broadcast_if_small, scratch_dir
+from termpulse.storage import broadcast_if_small, new_folder
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word is a run without ASCII white space.
@@ -27,16 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the shared scratch folder, removed when the driver ends."""
-    folder = f"{scratch_dir(spark).rstrip('/')}/llm-{label}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(path)
-    fs.deleteOnExit(path)
-    return str(fs.makeQualified(path).toString())
-
-
 def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write a table to the shared folder and read it back: no lineage, and no
     executor's disk is needed to read it again."""
@@ -57,7 +46,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 def text_batches(
-    batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 16 << 20
+    batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 4 << 20
 ) -> Iterator[pa.RecordBatch]:
     """Cut (id, text) batches so that each holds few rows and few bytes of text.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 #: A text is hashed in blocks of about so many bytes, cut at white space.
@@ -43,6 +45,11 @@ def words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = 0
     while first < len(starts):
         base = starts[first]
+        if ends[first] - base > BLOCK:  # a longer word would need longer tables
+            digest = hashlib.blake2b(raw[base : ends[first]], digest_size=8).digest()
+            hashes[first] = int.from_bytes(digest, "little")
+            first += 1
+            continue
         last = max(first + 1, int(np.searchsorted(ends, base + BLOCK, "right")))
         n = int(ends[last - 1] - base)
         power = _power(n)
