@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termpulse.llm.common import text_batches, written
+from termpulse.llm.common import written
 from termpulse.storage import broadcast_if_small
 
 #: Texts of each language, by the smallest hashes, that train the text model.
@@ -158,21 +158,23 @@ def evidence(docs: DataFrame, row: Column, text: Column, declared: Column, host:
 
 
 def _text_scores(rows: DataFrame, model: TextModel) -> DataFrame:
-    """The narrow columns and the text's score per language."""
-
-    def run(batches):
-        for batch in text_batches(batches):
-            found = [model.score(t) for t in batch.column(1).to_pylist()]
-            scores = pa.array([s.tolist() for s, _ in found], pa.list_(pa.float64()))
-            letters = pa.array([n for _, n in found], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *batch.columns[2:], scores, letters],
-                names=["_row", "_declared", "_host", "_suffix", "_scores", "_letters"],
-            )
-
-    kind = rows.schema["_row"].dataType.simpleString()
-    return rows.select("_row", "_text", "_declared", "_host", "_suffix").mapInArrow(
-        run, f"_row {kind}, _declared string, _host string, _suffix string, _scores array<double>, _letters long"
+    """The narrow columns and the text's score per language.
+
+    Only texts go to Python; ``_row``, which may be a whole row, stays behind.
+    """
+
+    @F.arrow_udf("struct<scores:array<double>,letters:bigint>")
+    def score(texts: pa.Array) -> pa.Array:
+        found = []
+        for at in range(0, len(texts), 64):  # few texts at a time as Python strings
+            found += [model.score(t) for t in texts.slice(at, 64).to_pylist()]
+        scores = pa.array([s.tolist() for s, _ in found], pa.list_(pa.float64()))
+        return pa.StructArray.from_arrays([scores, pa.array([n for _, n in found], pa.int64())], ["scores", "letters"])
+
+    # Not to be worked out again where it is used more than once.
+    scored = rows.withColumn("_s", score.asNondeterministic()("_text"))
+    return scored.select(
+        "_row", "_declared", "_host", "_suffix", F.col("_s.scores").alias("_scores"), F.col("_s.letters").alias("_letters")
     )
 
 

@@ -266,13 +266,15 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
     def run(batches):
         known: tuple = (None, None)
         for batch in batches:
-            keep = []
-            for i, (v, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("v", "text_u", "text_v")), strict=True)):
-                if known[0] != v:  # neighbours often share one side
-                    known = (v, shingles(b))
-                if linked(shingles(a), known[1]):
-                    keep.append(i)
-            yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
+            for at in range(0, batch.num_rows, 64):  # few texts at a time as Python strings
+                part, keep = batch.slice(at, 64), []
+                sides = (part.column(c).to_pylist() for c in ("v", "text_u", "text_v"))
+                for i, (v, a, b) in enumerate(zip(*sides, strict=True)):
+                    if known[0] != v:  # neighbours often share one side
+                        known = (v, shingles(b))
+                    if linked(shingles(a), known[1]):
+                        keep.append(i)
+                yield part.select(["u", "v"]).take(pa.array(keep, pa.int64()))
 
     kind = pairs.schema["u"].dataType.simpleString()
     return joined.select("u", "v", "text_u", "text_v").mapInArrow(run, f"u {kind}, v {kind}")
