@@ -42,8 +42,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and the digest of what they decode to beside that of the text."""
     ranks = public_tokenizers.path(RANKS)
-    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN, packed=True)
-    both = bpe.decode(ids, ranks, public_tokenizers.PATTERN)
+    both = bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN)
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -114,3 +114,31 @@ def decode(
     narrow = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     out = narrow.mapInArrow(run, f"id {kinds[0]}, ids {kinds[1]}, decoded binary")
     return out.withColumnsRenamed({"id": id_col, "ids": ids_col})
+
+
+def encode_and_decode(
+    docs: DataFrame,
+    ranks_path: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    part_chars: int = PART_CHARS,
+) -> DataFrame:
+    """``id_col, ids, decoded``: packed ids and the bytes they stand for.
+
+    The rows of ``decode(encode(...))`` from one Python process per task, not two:
+    for executors with little memory beside the heap.
+    """
+
+    def run(batches):
+        encoding = load(ranks_path, pattern)
+        for batch in text_batches(batches, 64, 1 << 20):
+            rows = [encode_text(encoding, t or "", part_chars) for t in batch.column(1).to_pylist()]
+            ids = pa.array([r.tobytes() for r in rows], pa.binary())
+            data = pa.array([encoding.decode_bytes(r.tolist()) for r in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, data], names=["id", "ids", "decoded"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = narrow.mapInArrow(run, f"id {kind}, ids binary, decoded binary")
+    return out.withColumnRenamed("id", id_col)

@@ -38,6 +38,13 @@ def test_round_trip(spark, odd):
         assert got == sorted((str(r[0]), (r[1] or "").encode()) for r in ODD)
 
 
+def test_one_pass_gives_the_same(odd):
+    one = bpe.encode_and_decode(odd, RANKS, public_tokenizers.PATTERN, part_chars=1000)
+    two = bpe.decode(bpe.encode(odd, RANKS, public_tokenizers.PATTERN, packed=True), RANKS, public_tokenizers.PATTERN)
+    rows = [sorted((str(r.doc_id), bytes(r.ids), bytes(r.decoded)) for r in df.collect()) for df in (one, two)]
+    assert rows[0] == rows[1] and len(rows[0]) == len(ODD)
+
+
 def test_ids_that_end_inside_a_character(spark):
     encoding = bpe.load(RANKS, public_tokenizers.PATTERN)
     cut = encoding.encode_ordinary("日本")[:-1]
