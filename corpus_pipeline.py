@@ -16,6 +16,8 @@ from termpulse.llm import bpe, decontam, exact_dedup, langid, minhash
 from termpulse.llm.common import kept_rows, let_workers_import, table, written
 
 RANKS = "byte_bpe_50k.tiktoken"
+#: Words of a run in the near-copies stage; the query op7 takes four.
+SHINGLE = 5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id."""
-    return kept_rows(docs, minhash.find_near_copies(docs), "doc_id")
+    return kept_rows(docs, minhash.find_near_copies(docs, size=SHINGLE), "doc_id")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Near-duplicate documents: banded MinHash candidates, sequential Bayesian
 verification, exact confirmation, connected components.
 
-1. A document's set holds the hashes of its distinct runs of ``SHINGLE`` words (A-Z
-   in lower case). Documents of the same set form one class; from here on a class
+1. A document's set holds the hashes of its distinct runs of ``size`` words (A-Z
+   in lower case; ``SHINGLE`` words unless the caller says otherwise). Documents of the same set form one class; from here on a class
    is one row, so copies cost nothing.
 2. The signature of a class is cut into ``BANDS`` bands of ``ROWS`` values. Classes
    that agree on a band share a bucket. At the threshold of 0.8 a pair shares no
@@ -116,14 +116,14 @@ def signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, HASHES)
 
 
-def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE) -> DataFrame:
     """``id, n, high, low, sig`` of every row; ``high, low`` name the set in 128 bits."""
 
     def run(batches):
         for batch in text_batches(batches):
             rows = []
             for text in batch.column(1).to_pylist():
-                s = shingles(text)
+                s = shingles(text, size)
                 if not len(s):
                     rows.append((0, None, None, None))
                     continue
@@ -187,7 +187,7 @@ def _groups(batches, key: str):
         yield pa.Table.from_batches(waiting)
 
 
-def _link_blocks(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+def _link_blocks(members: DataFrame, classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Confirmed links ``u, v`` inside buckets, enough to connect their components.
 
     ``members`` has ``class, band, bucket, size, root``, ``texts`` has ``class,
@@ -220,7 +220,7 @@ def _link_blocks(members: DataFrame, classes: DataFrame, texts: DataFrame) -> Da
 
             def set_of(k, text=text, sets=sets):
                 if k not in sets:
-                    sets[k] = shingles(text[k].as_py())
+                    sets[k] = shingles(text[k].as_py(), size)
                 return sets[k]
 
             for i in np.flatnonzero(first) if not alone else range(len(n)):
@@ -257,7 +257,7 @@ def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Dat
     return written(texts.join(broadcast_if_small(ids), "class"), "texts")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE) -> DataFrame:
     """Of pairs ``u, v`` those whose full sets reach the threshold."""
     ids = pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct()
     texts = texts_of(ids, docs, id_col, text_col)
@@ -271,8 +271,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
                 sides = (part.column(c).to_pylist() for c in ("v", "text_u", "text_v"))
                 for i, (v, a, b) in enumerate(zip(*sides, strict=True)):
                     if known[0] != v:  # neighbours often share one side
-                        known = (v, shingles(b))
-                    if linked(shingles(a), known[1]):
+                        known = (v, shingles(b, size))
+                    if linked(shingles(a, size), known[1]):
                         keep.append(i)
                 yield part.select(["u", "v"]).take(pa.array(keep, pa.int64()))
 
@@ -280,7 +280,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
     return joined.select("u", "v", "text_u", "text_v").mapInArrow(run, f"u {kind}, v {kind}")
 
 
-def _linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """Links ``u, v`` between classes, enough of them to connect every component."""
     placed = buckets_of(classes)
     shared = placed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("size"))
@@ -289,7 +289,7 @@ def _linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) ->
     pairs = members.select(F.col("class").alias("u"), ends.alias("v")).filter("u <> v")
     pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     judged = written(_judge_pairs(pairs, classes), "pairs")
-    links = written(confirm(judged, docs, id_col, text_col), "links")
+    links = written(confirm(judged, docs, id_col, text_col, size), "links")
 
     roots = components(links).toDF("class", "root")
     members = members.filter("size > 2").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
@@ -297,20 +297,20 @@ def _linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) ->
     split = members.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("other")).filter("one < other")
     apart = written(members.join(split.select("bucket"), "bucket"), "apart")
     texts = texts_of(apart.select("class").distinct(), docs, id_col, text_col)
-    return links.unionByName(written(_link_blocks(apart, classes, texts), "links"))
+    return links.unionByName(written(_link_blocks(apart, classes, texts, size), "links"))
 
 
-def find_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``id_col, n_shingles, component_id, kept``.
+def find_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """Per row: ``id_col, n_shingles, component_id, kept``; sets of runs of ``size`` words.
 
     ``component_id`` is the smallest id that can be reached by links; the row with
     that id stays.
     """
-    rows = written(sets_of(docs, id_col, text_col), "sets")
+    rows = written(sets_of(docs, id_col, text_col, size), "sets")
     named = rows.filter("n > 0 AND id IS NOT NULL")
     classes = named.groupBy("high", "low", "n", "sig").agg(F.min("id").alias("class"))
     classes = written(classes, "classes")
-    links = _linked(docs, classes, id_col, text_col)
+    links = _linked(docs, classes, id_col, text_col, size)
     roots = components(links).toDF("class", "root")
     placed = classes.select("high", "low", "class").join(roots, "class", "left")
     placed = placed.select("high", "low", F.coalesce("root", "class").alias("root"))

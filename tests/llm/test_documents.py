@@ -78,6 +78,50 @@ def test_near_copies(make_docs, monkeypatch, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+def _one_word_changed(n, changes, base):
+    """Two texts of ``n`` distinct words that differ in ``changes`` isolated ones."""
+    words = [f"b{base}w{i}" for i in range(n)]
+    other = list(words)
+    for c in range(changes):
+        other[n * (2 * c + 1) // (2 * changes)] = f"b{base}x{c}"
+    return " ".join(words), " ".join(other)
+
+
+def test_the_pipeline_compares_runs_of_five_words(spark, make_docs, sf):
+    pairs = [_one_word_changed(n, c, k) for k, (n, c) in enumerate([(40, 1), (80, 2), (200, 5), (60, 1)])]
+    docs = make_docs([(2 * k + j, t) for k, pair in enumerate(pairs) for j, t in enumerate(pair)])
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect()}
+    # Only 60 words with one change reach 0.8 with five words; with four words all do.
+    assert kept == {0, 1, 2, 3, 4, 5, 6}
+    by_four = {r.doc_id for r in minhash.find_near_copies(docs).filter("kept").collect()}
+    assert by_four == {0, 2, 4, 6}
+
+
+def near_components_by(rows, size):
+    """``near_components`` over runs of ``size`` words."""
+    sets = {}
+    for i, text in rows:
+        words = text.lower().split()
+        sets[i] = {tuple(words[k : k + size]) for k in range(len(words) - size + 1)} or ({tuple(words)} if words else set())
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            both = len(sets[i] & sets[j])
+            if j < i and both and 100 * both >= 80 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_near_copies_of_the_pipeline(spark, make_docs, sf, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rows = some_texts(4, 150)
+    root = near_components_by(rows, 5)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, make_docs(rows), sf).collect()}
+    assert kept == {i for i, r in root.items() if i == r}
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     for n in (16, 64, 128):
         fewest = minhash.fewest_matches(n)
@@ -228,3 +272,14 @@ def test_pipeline_is_its_stages_by_brute_force(spark, sf):
     found = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in found} == {i for i, _ in rows}
     assert all(r.n_tokens * 4 == len(r.ids) for r in found)
+
+
+def test_pipeline_by_brute_force_with_runs_of_five_words(spark, sf):
+    rows = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect() if any(c.isalpha() for c in r.text)]
+    lowered = {i: "".join(c.lower() if c.isascii() else c for c in t) for i, t in rows}
+    last = {t: i for i, t in sorted(lowered.items())}
+    rows = [(i, t) for i, t in rows if last[lowered[i]] == i]
+    root = near_components_by([(i, lowered[i]) for i, _ in rows], corpus_pipeline.SHINGLE)
+    items = [r.text for r in table(spark, sf, "benchmark").collect()]
+    want = {i for i, t in rows if root[i] == i and not any(x in t for x in items)}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == want
