@@ -7,10 +7,14 @@
    are hashed and joined with those of the benchmark, which is broadcast when
    measured small. An item with fewer tokens is one window of its own length.
 3. Windows of a document and an item with the same distance between their
-   positions are one occurrence. Its slots are consistent if the same value of the
-   item always stands for the same value in the document.
-4. An item has leaked into a document when its consistent occurrences hold at least
-   ``LEAK_WINDOWS`` windows (13 tokens in a row), or all windows of a shorter item.
+   positions stand in one place. Its slots are consistent if the same value of the
+   item always stands for the same value in the document. Places whose distances
+   differ by at most ``SHIFT`` tokens, as words put in or left out make them, are
+   one occurrence.
+4. An item has leaked into a document when one consistent occurrence holds windows
+   at ``LEAK_WINDOWS`` different positions of the item (13 tokens in a row), or at
+   all positions of a shorter item. Repeats of a phrase, and phrases scattered over
+   the text, do not add up.
 
 Nothing is grouped by window: a window that a third of all documents share costs a
 row per document.
@@ -23,7 +27,7 @@ empty table, an empty benchmark keeps everything; other columns are left out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termpulse.storage import broadcast_if_small
@@ -32,6 +36,7 @@ WINDOW = 8
 MIN_LITERALS = 5
 MIN_TOKENS = 4
 LEAK_WINDOWS = 6
+SHIFT = 8
 
 # --- fixed values: placeholders, from the private-use area, and units ------------
 NUMBER, NAME, UNIT = "\ue001", "\ue002", "\ue003"
@@ -106,18 +111,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     met = windows(rows, "_id", lengths).join(broadcast_if_small(wanted), ["length", "hash"])
     met = met.select("_id", "_item", "_at", (F.col("pos") - F.col("_at")).alias("_offset"), "slots", "_values")
     met = met.dropDuplicates(["_id", "_item", "_offset", "_at"])
-    # An occurrence has at most as many rows as its item has windows.
+    # A place has at most as many rows as its item has windows.
     pairs = F.transform(F.arrays_zip(F.col("_values").alias("b"), F.col("slots").alias("d")), lambda p: F.struct(p["b"].alias("b"), p["d"].alias("d")))
     seen = met.groupBy("_id", "_item", "_offset").agg(
-        F.count(F.lit(1)).alias("_windows"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("_pairs")
+        F.collect_list("_at").alias("_ats"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("_pairs")
     )
     values = F.array_distinct(F.transform("_pairs", lambda p: p["b"]))
     consistent = seen.filter(F.size(values) == F.size("_pairs"))
     changed = F.exists("_pairs", lambda p: p["b"] != p["d"])
-    total = consistent.groupBy("_id", "_item").agg(
-        F.sum("_windows").alias("windows"), F.max(F.size("_pairs")).alias("n_slots"), F.max(changed).alias("changed")
+    near = Window.partitionBy("_id", "_item").orderBy("_offset").rangeBetween(-SHIFT, SHIFT)
+    occurrences = consistent.select(
+        "_id",
+        "_item",
+        F.size(F.array_distinct(F.flatten(F.collect_list("_ats").over(near)))).cast("long").alias("_windows"),
+        F.max(F.size("_pairs")).over(near).alias("_slots"),
+        F.max(changed).over(near).alias("_changed"),
+    )
+    leaks = occurrences.join(broadcast_if_small(needed), "_item").filter("_windows >= _need").groupBy("_id", "_item").agg(
+        F.max("_windows").alias("windows"), F.max("_slots").alias("n_slots"), F.max("_changed").alias("changed")
     )
-    leaks = total.join(broadcast_if_small(needed), "_item").filter("windows >= _need")
     return leaks.select(F.col("_id").alias(id_col), F.col("_item").alias("item"), "windows", "n_slots", "changed")
 
 

@@ -204,6 +204,21 @@ def test_inconsistent_slots_are_no_leak(spark, make_docs):
     assert [(r.doc_id, r.changed) for r in found] == [(1, True)]
 
 
+def test_repeated_and_scattered_phrases_are_no_leak(spark, make_docs):
+    item = " ".join(f"w{chr(97 + i)}" for i in range(26)) + " " + " ".join(f"v{chr(97 + i)}" for i in range(26))
+    words, fill = item.split(), " filler" * 30 + " "
+    texts = [
+        (fill + " ".join(words[4:12])) * 9,
+        " ".join(words[4:12] * 9),
+        fill.join(" ".join(words[k : k + 8]) for k in range(0, 48, 8)),
+        fill + " ".join(words[4:17]) + fill,
+        fill + " ".join([*words[4:14], "one", "two", *words[14:24]]),
+    ]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r.doc_id: r.windows for r in decontam.find_leaks(make_docs(list(enumerate(texts))), bench).collect()}
+    assert found == {3: 6, 4: 6}
+
+
 def test_languages_of_held_out_documents(spark, sf):
     docs = table(spark, sf, "documents")
     # Without the declaration and the host of every other document the text must do.
