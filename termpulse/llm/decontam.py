@@ -5,7 +5,9 @@
    lower-cased. A question with other parameters has the same template.
 2. Windows of ``WINDOW`` template tokens, at least ``MIN_LITERALS`` of them words,
    are hashed and joined with those of the benchmark, which is broadcast when
-   measured small. An item with fewer tokens is one window of its own length.
+   measured small. Windows that hold a placeholder, whatever their number of words,
+   are joined by their exact lower-cased tokens, too: whether a word is a name
+   depends on what stands before it, on its case and on line breaks. An item with fewer tokens is one window of its own length.
 3. Windows of a document and an item with the same distance between their
    positions stand in one place. Its slots are consistent if the same value of the
    item always stands for the same value in the document. Places whose distances
@@ -66,10 +68,14 @@ def is_slot(token: Column) -> Column:
 
 
 def windows(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
-    """``key, pos, hash, slots``: every window of the given lengths; ``slots`` holds
-    the values in it, and is null without any."""
+    """``key, length, pos, hash, slots, exact, rich``: every window of the given
+    lengths, by its template if that is ``rich`` in words, and by its exact tokens
+    if they differ from the template. ``slots`` holds the values in a template, and
+    is null without any; ``exact`` tells that the hash stands for the tokens."""
+    literal = F.transform("_tokens", lambda t: F.when(is_slot(t), F.substring(t, 2, 1 << 30)).otherwise(t))
     kinds = F.transform("_tokens", lambda t: F.xxhash64(F.when(is_slot(t), F.substring(t, 1, 1)).otherwise(t)))
     rows = rows.withColumn("_kinds", kinds).withColumn("_any", F.exists("_tokens", is_slot))
+    rows = rows.withColumn("_plain", F.when(F.col("_any"), F.transform(literal, lambda t: F.xxhash64(t))))
 
     def of(length: int) -> Column:
         def window(i: Column) -> Column:
@@ -78,6 +84,7 @@ def windows(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
                 i.alias("pos"),
                 F.xxhash64(F.slice("_kinds", i, length)).alias("hash"),
                 F.when(F.col("_any"), values).alias("slots"),
+                F.when(F.col("_any"), F.xxhash64(F.slice("_plain", i, length))).alias("plain"),
             )
 
         enough = F.size("_tokens") >= length
@@ -87,8 +94,14 @@ def windows(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    few = F.size("slots") <= F.col("length") - F.least(F.lit(MIN_LITERALS), F.col("length"))
-    return found.filter(F.coalesce(few, F.lit(True)))
+    n_slots = F.coalesce(F.size("slots"), F.lit(0))
+    rich = n_slots <= F.col("length") - F.least(F.lit(MIN_LITERALS), F.col("length"))
+    by_template = F.struct("hash", "slots", (n_slots == 0).alias("exact"))
+    by_tokens = F.struct(F.col("plain").alias("hash"), F.lit(None).cast(found.schema["slots"].dataType).alias("slots"), F.lit(True).alias("exact"))
+    # A window without placeholders is the same in both.
+    forms = F.when(n_slots == 0, F.array(by_template)).when(rich, F.array(by_template, by_tokens)).otherwise(F.array(by_tokens))
+    found = found.select(key, "length", "pos", rich.alias("rich"), F.explode(forms).alias("f"))
+    return found.select(key, "length", "pos", "f.hash", "f.slots", "f.exact", "rich")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -103,31 +116,59 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     wanted = asked[0]
     for more in asked[1:]:
         wanted = wanted.unionByName(more)
-    wanted = wanted.toDF("_item", "length", "_at", "hash", "_values").dropDuplicates(["_item", "length", "_at"])
-    needed = wanted.groupBy("_item").agg(F.least(F.count(F.lit(1)), F.lit(LEAK_WINDOWS)).alias("_need"))
+    wanted = wanted.toDF("_item", "length", "_at", "hash", "_values", "_exact", "_rich").dropDuplicates(["_item", "length", "_at", "_exact"])
+    # By templates an item needs its windows rich in words, by its tokens any.
+    rich_at = F.when(F.col("_rich"), F.col("_at"))
+    needed = wanted.groupBy("_item").agg(
+        F.least(F.count_distinct(rich_at), F.lit(LEAK_WINDOWS)).alias("_need_rich"),
+        F.least(F.count_distinct("_at"), F.lit(LEAK_WINDOWS)).alias("_need"),
+    )
 
     rows = docs.filter(F.col(id_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("_id"), tokens(F.coalesce(F.col(text_col), empty)).alias("_tokens"))
-    met = windows(rows, "_id", lengths).join(broadcast_if_small(wanted), ["length", "hash"])
-    met = met.select("_id", "_item", "_at", (F.col("pos") - F.col("_at")).alias("_offset"), "slots", "_values")
-    met = met.dropDuplicates(["_id", "_item", "_offset", "_at"])
+    asked = wanted.withColumnRenamed("_exact", "exact")
+    met = windows(rows, "_id", lengths).drop("rich").join(broadcast_if_small(asked), ["length", "hash", "exact"])
+    met = met.select("_id", "_item", "_at", "_rich", "exact", (F.col("pos") - F.col("_at")).alias("_offset"), "slots", "_values")
+    met = met.dropDuplicates(["_id", "_item", "_offset", "_at", "exact"])
     # A place has at most as many rows as its item has windows.
     pairs = F.transform(F.arrays_zip(F.col("_values").alias("b"), F.col("slots").alias("d")), lambda p: F.struct(p["b"].alias("b"), p["d"].alias("d")))
     seen = met.groupBy("_id", "_item", "_offset").agg(
-        F.collect_list("_at").alias("_ats"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("_pairs")
+        F.collect_list(F.struct("_at", "_rich", "exact")).alias("_ats"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("_pairs")
     )
     values = F.array_distinct(F.transform("_pairs", lambda p: p["b"]))
-    consistent = seen.filter(F.size(values) == F.size("_pairs"))
-    changed = F.exists("_pairs", lambda p: p["b"] != p["d"])
+    # Where slots are inconsistent, windows that agree token by token still count.
+    consistent = F.size(values) == F.size("_pairs")
+    seen = seen.select(
+        "_id",
+        "_item",
+        "_offset",
+        F.when(consistent, F.col("_ats")).otherwise(F.filter("_ats", lambda a: a["exact"])).alias("_ats"),
+        F.when(consistent, F.size("_pairs")).otherwise(0).alias("_slots"),
+        (consistent & F.exists("_pairs", lambda p: p["b"] != p["d"])).alias("_changed"),
+    )
     near = Window.partitionBy("_id", "_item").orderBy("_offset").rangeBetween(-SHIFT, SHIFT)
-    occurrences = consistent.select(
+    ats = F.flatten(F.collect_list("_ats").over(near))
+    occurrences = seen.select(
+        "_id",
+        "_item",
+        ats.alias("_ats"),
+        F.max("_slots").over(near).alias("_slots"),
+        F.max("_changed").over(near).alias("_changed"),
+    )
+
+    def positions(kept) -> Column:
+        return F.size(F.array_distinct(F.transform(F.filter("_ats", kept), lambda a: a["_at"]))).cast("long")
+
+    occurrences = occurrences.select(
         "_id",
         "_item",
-        F.size(F.array_distinct(F.flatten(F.collect_list("_ats").over(near)))).cast("long").alias("_windows"),
-        F.max(F.size("_pairs")).over(near).alias("_slots"),
-        F.max(changed).over(near).alias("_changed"),
+        positions(lambda a: a["_rich"]).alias("_rich"),
+        positions(lambda a: a["exact"]).alias("_exact"),
+        positions(lambda a: F.lit(True)).alias("_windows"),
+        "_slots",
+        "_changed",
     )
-    leaks = occurrences.join(broadcast_if_small(needed), "_item").filter("_windows >= _need").groupBy("_id", "_item").agg(
+    leaks = occurrences.join(broadcast_if_small(needed), "_item").filter("(_need_rich > 0 AND _rich >= _need_rich) OR _exact >= _need").groupBy("_id", "_item").agg(
         F.max("_windows").alias("windows"), F.max("_slots").alias("n_slots"), F.max("_changed").alias("changed")
     )
     return leaks.select(F.col("_id").alias(id_col), F.col("_item").alias("item"), "windows", "n_slots", "changed")

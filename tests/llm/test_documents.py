@@ -219,6 +219,19 @@ def test_repeated_and_scattered_phrases_are_no_leak(spark, make_docs):
     assert found == {3: 6, 4: 6}
 
 
+def test_copies_are_found_wherever_names_begin(spark, make_docs):
+    items = [(1, "Paris lies on the river"), (2, "we heard that Anna Berta Clara Doris Emma and Frida never came back from there")]
+    texts = [
+        "and then Paris lies on the river as ever",
+        "x " + items[1][1].lower(),
+        items[1][1].replace(" ", "\n"),
+        "and then London lies on the bridge",
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item) for r in decontam.find_leaks(make_docs(list(enumerate(texts))), bench).collect()}
+    assert found == {(0, 1), (1, 2), (2, 2)}
+
+
 def test_languages_of_held_out_documents(spark, sf):
     docs = table(spark, sf, "documents")
     # Without the declaration and the host of every other document the text must do.
