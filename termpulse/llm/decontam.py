@@ -22,7 +22,10 @@ Nothing is grouped by window: a window that a third of all documents share costs
 row per document.
 
 Defined cases: a null or empty text has no windows and stays; an item with fewer
-than ``MIN_TOKENS`` tokens, or mostly placeholders, is not looked for; rows that
+than ``MIN_TOKENS`` tokens has leaked into a document that is, or has a line that is,
+these tokens and nothing else; an item whose windows are all poor in words is found
+by its exact tokens only; scripts written without spaces have a token per character;
+an item without tokens is not looked for; rows that
 repeat an id are one document; rows without an id stay; an empty table gives an
 empty table, an empty benchmark keeps everything; other columns are left out.
 """
@@ -52,7 +55,9 @@ UNITS = (
 _NAME = r"(?<=[\p{L}\p{N},;:]\x20)[A-Z][a-z]+(?![\p{L}\p{N}])"
 _NUMBER = r"(?<![\p{L}\p{N}.,])[0-9]++(?:[.,][0-9]++)*+"
 _UNIT = rf"({NUMBER}[0-9.,]*[0-9]\x20?+)({'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}\p{{N}}])"
-_TOKEN = rf"{NUMBER}[0-9.,]*[0-9]|[{NAME}{UNIT}]?[\p{{L}}\p{{N}}]+"
+# Scripts that are written without spaces.
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_TOKEN = rf"{NUMBER}[0-9.,]*[0-9]|[\p{{L}}&&[{_UNSPACED}]]|[{NAME}{UNIT}]?[\p{{L}}\p{{N}}&&[^{_UNSPACED}]]+"
 
 
 def tokens(text: Column) -> Column:
@@ -67,15 +72,19 @@ def is_slot(token: Column) -> Column:
     return token.between(NUMBER, UNIT + "\uffff")
 
 
+def plain(tokens: Column) -> Column:
+    """Tokens without their placeholders."""
+    return F.transform(tokens, lambda t: F.when(is_slot(t), F.substring(t, 2, 1 << 30)).otherwise(t))
+
+
 def windows(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
     """``key, length, pos, hash, slots, exact, rich``: every window of the given
     lengths, by its template if that is ``rich`` in words, and by its exact tokens
     if they differ from the template. ``slots`` holds the values in a template, and
     is null without any; ``exact`` tells that the hash stands for the tokens."""
-    literal = F.transform("_tokens", lambda t: F.when(is_slot(t), F.substring(t, 2, 1 << 30)).otherwise(t))
     kinds = F.transform("_tokens", lambda t: F.xxhash64(F.when(is_slot(t), F.substring(t, 1, 1)).otherwise(t)))
     rows = rows.withColumn("_kinds", kinds).withColumn("_any", F.exists("_tokens", is_slot))
-    rows = rows.withColumn("_plain", F.when(F.col("_any"), F.transform(literal, lambda t: F.xxhash64(t))))
+    rows = rows.withColumn("_plain", F.when(F.col("_any"), F.transform(plain(F.col("_tokens")), lambda t: F.xxhash64(t))))
 
     def of(length: int) -> Column:
         def window(i: Column) -> Column:
@@ -104,14 +113,26 @@ def windows(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
     return found.select(key, "length", "pos", "f.hash", "f.slots", "f.exact", "rich")
 
 
+def _short_leaks(docs: DataFrame, items: DataFrame, text: Column) -> DataFrame:
+    """``_id, _item, windows, n_slots, changed`` for items of a few tokens: each is
+    compared with whole lines and whole texts."""
+    passages = F.explode(F.array_append(F.split(text, r"\R"), text))
+    lines = docs.select("_id", passages.alias("_line")).select("_id", plain(tokens(F.col("_line"))).alias("_words"))
+    asked = items.select("_item", plain(F.col("_tokens")).alias("_words")).distinct()
+    lines = lines.filter(F.size("_words").between(1, MIN_TOKENS - 1))
+    met = lines.join(broadcast_if_small(asked), "_words").select("_id", "_item").distinct()
+    return met.select("_id", "_item", F.lit(1).cast("long").alias("windows"), F.lit(0).alias("n_slots"), F.lit(False).alias("changed"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``id_col, item, windows, n_slots, changed``: the items that leaked into each
     document. ``changed`` tells that some slot has another value than in the item."""
     empty = F.lit("")
     items = benchmark.select(F.col(item_col).alias("_item"), tokens(F.coalesce(F.col(item_text_col), empty)).alias("_tokens"))
-    items = items.withColumn("_length", F.least(F.size("_tokens"), F.lit(WINDOW))).filter(F.col("_length") >= MIN_TOKENS)
+    items = items.withColumn("_length", F.least(F.size("_tokens"), F.lit(WINDOW))).filter(F.col("_length") > 0)
     # At most WINDOW different lengths.
-    lengths = sorted(r[0] for r in items.select("_length").distinct().collect()) or [WINDOW]
+    found = sorted(r[0] for r in items.select("_length").distinct().collect())
+    lengths = [n for n in found if n >= MIN_TOKENS] or [WINDOW]
     asked = [windows(items.filter(F.col("_length") == n), "_item", [n]) for n in lengths]
     wanted = asked[0]
     for more in asked[1:]:
@@ -171,6 +192,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     leaks = occurrences.join(broadcast_if_small(needed), "_item").filter("(_need_rich > 0 AND _rich >= _need_rich) OR _exact >= _need").groupBy("_id", "_item").agg(
         F.max("_windows").alias("windows"), F.max("_slots").alias("n_slots"), F.max("_changed").alias("changed")
     )
+    if found and found[0] < MIN_TOKENS:
+        texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), empty).alias("_t"))
+        leaks = leaks.unionByName(_short_leaks(texts, items.filter(F.col("_length") < MIN_TOKENS), F.col("_t")))
+        leaks = leaks.groupBy("_id", "_item").agg(*(F.max(c).alias(c) for c in ("windows", "n_slots", "changed")))  # ids of items may repeat
     return leaks.select(F.col("_id").alias(id_col), F.col("_item").alias("item"), "windows", "n_slots", "changed")
 
 

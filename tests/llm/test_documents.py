@@ -232,6 +232,20 @@ def test_copies_are_found_wherever_names_begin(spark, make_docs):
     assert found == {(0, 1), (1, 2), (2, 2)}
 
 
+def test_items_poor_in_words_and_short_items(spark, make_docs):
+    items = [(1, "What is 12 plus seven"), (2, "3 4 5 6 7 8 9 10 11"), (3, "Capital of France?"), (4, "天气很好我们去公园")]
+    texts = [
+        "now what is 12 plus seven or so",
+        "count 3 4 5 6 7 8 9 10 11 up",
+        "Quiz\ncapital of france\nParis",
+        "今天天气很好我们去公园玩",
+        "the capital of France is big, what is 13 plus seven, 3 4 5 6 8",
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item) for r in decontam.find_leaks(make_docs(list(enumerate(texts))), bench).collect()}
+    assert found == {(0, 1), (1, 2), (2, 3), (3, 4)}
+
+
 def test_languages_of_held_out_documents(spark, sf):
     docs = table(spark, sf, "documents")
     # Without the declaration and the host of every other document the text must do.
