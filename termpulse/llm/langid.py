@@ -22,7 +22,8 @@ when no language reaches ``MIN_POSTERIOR``.
 
 Defined cases: a null or empty text, or one without letters, has no language
 (``und``) and is rejected; a null host or declaration is no evidence; repeated rows
-are judged row by row; without training rows all documents are ``und``; an empty
+are judged row by row; with more than ``max_languages`` declared languages, rows
+that declare one of the others are ``und`` and rejected; without training rows all documents are ``und``; an empty
 table gives an empty table; other columns are left out by ``identify`` and kept by
 ``keep_identified``.
 """
@@ -123,17 +124,23 @@ def prepared(text: str) -> tuple[np.ndarray, int]:
     return np.frombuffer(f" {plain} ".encode(), np.uint8), len(plain) - plain.count(" ")
 
 
-def sample(rows: DataFrame, per_language: int = TRAINING_ROWS, chars: int = TRAINING_CHARS) -> list[tuple[str, str]]:
+def sample(
+    rows: DataFrame, per_language: int = TRAINING_ROWS, chars: int = TRAINING_CHARS, max_languages: int = MAX_LANGUAGES
+) -> tuple[list[tuple[str, str]], bool]:
     """A bounded labelled sample: of each declared language the ``per_language``
     distinct texts with the smallest hashes, ``chars`` characters of each. At most
-    ``MAX_LANGUAGES`` languages, the most frequent ones."""
+    ``max_languages`` languages, those with the most distinct texts; the second
+    value tells whether there are more."""
     labelled = rows.filter(F.col("_declared").isNotNull() & F.col("_text").rlike(r"\p{L}"))
-    found = labelled.groupBy("_declared").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_declared")
+    key = F.xxhash64("_text")
+    # Copies count once: they leave one hash per task.
+    texts = labelled.select("_declared", key.alias("_key")).distinct()
+    found = texts.groupBy("_declared").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_declared")
+    most = found.limit(max_languages + 1).collect()
     share = F.lit(0.0)
-    for r in found.limit(MAX_LANGUAGES).collect():
-        # Hashes below this share hold twenty times the rows wanted, give or take little.
+    for r in most[:max_languages]:
+        # Hashes below this share hold twenty times the texts wanted, give or take little.
         share = F.when(F.col("_declared") == r._declared, min(1.0, 20 * per_language / r.n)).otherwise(share)
-    key = F.xxhash64("_text")
     place = F.shiftrightunsigned(key, 33) / float(1 << 31)
     few = (
         labelled.select("_declared", place.alias("_place"), key.alias("_key"), F.substring("_text", 1, chars).alias("_piece"))
@@ -143,7 +150,7 @@ def sample(rows: DataFrame, per_language: int = TRAINING_ROWS, chars: int = TRAI
     )
     order = Window.partitionBy("_declared").orderBy("_place", "_key")
     ranked = few.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_language)
-    return sorted((r._declared, r._piece) for r in ranked.collect())
+    return sorted((r._declared, r._piece) for r in ranked.collect()), len(most) > max_languages
 
 
 def evidence(docs: DataFrame, row: Column, text: Column, declared: Column, host: Column) -> DataFrame:
@@ -230,7 +237,7 @@ def declarations(counts: DataFrame, languages: list[str]) -> dict[str, list[floa
     return dict(zip(languages, np.log(table / table.sum(axis=0)).tolist(), strict=True))
 
 
-def _verdict(scored: DataFrame, hosts: DataFrame, overall: list[float], says: dict[str, list[float]], languages: list[str]) -> DataFrame:
+def _verdict(scored: DataFrame, hosts: DataFrame, overall: list[float], says: dict[str, list[float]], languages: list[str], capped: bool) -> DataFrame:
     zero = F.array(*[F.lit(0.0)] * len(languages))
     said = zero
     for code, values in says.items():
@@ -244,6 +251,8 @@ def _verdict(scored: DataFrame, hosts: DataFrame, overall: list[float], says: di
     norm = F.aggregate("_logs", F.lit(0.0), lambda a, x: a + F.exp(x - top))
     joined = joined.withColumn("_posterior", F.lit(1.0) / norm).withColumn("_at", _best(F.col("_logs")))
     sure = (F.col("_letters") >= MIN_LETTERS) & (F.col("_posterior") >= MIN_POSTERIOR)
+    if capped:  # a text in a language without a model would get another one
+        sure &= F.coalesce(F.col("_declared").isin(languages), F.lit(True))
     named = F.element_at(F.array(*map(F.lit, languages)), F.col("_at") + 1)
     return joined.select(
         "_row",
@@ -253,31 +262,41 @@ def _verdict(scored: DataFrame, hosts: DataFrame, overall: list[float], says: di
     )
 
 
-def _fitted(rows: DataFrame) -> tuple[TextModel, DataFrame, DataFrame]:
-    """The text model, the rows' scores by it, and the table of counts."""
-    model = TextModel.train(sample(rows))
-    scored = _text_scores(rows, model)
-    return model, scored, counts_of(scored)
+def _fitted(rows: DataFrame, bounds: tuple[int, int, int]) -> tuple[TextModel, bool, DataFrame]:
+    """The text model, whether languages were left out of it, and the rows' scores."""
+    texts, capped = sample(rows, *bounds)
+    model = TextModel.train(texts)
+    return model, capped, _text_scores(rows, model)
 
 
-def _judged(model: TextModel, scored: DataFrame, counts: DataFrame) -> DataFrame:
+def _judged(model: TextModel, capped: bool, scored: DataFrame, counts: DataFrame) -> DataFrame:
     """``_row, _language, _probability, _sure`` of scored rows."""
     if not model.languages:
         return scored.select("_row", F.lit(UNKNOWN).alias("_language"), F.lit(0.0).alias("_probability"), F.lit(False).alias("_sure"))
     counts = written(counts, "hosts")
     hosts, overall = priors(counts, len(model.languages))
-    return _verdict(scored, hosts, overall, declarations(counts, model.languages), model.languages)
-
-
-def identify(docs: DataFrame, text: Column, declared: Column, host: Column, id_col: str = "doc_id") -> DataFrame:
+    return _verdict(scored, hosts, overall, declarations(counts, model.languages), model.languages, capped)
+
+
+def identify(
+    docs: DataFrame,
+    text: Column,
+    declared: Column,
+    host: Column,
+    id_col: str = "doc_id",
+    per_language: int = TRAINING_ROWS,
+    chars: int = TRAINING_CHARS,
+    max_languages: int = MAX_LANGUAGES,
+) -> DataFrame:
     """``id_col, language, probability, kept`` of every row.
 
     ``declared`` and ``host`` may be null columns; ``declared_in(html)`` and
-    ``host_of(url)`` take them from raw pages.
+    ``host_of(url)`` take them from raw pages. The bounds are those of ``sample``.
     """
-    model, scored, _ = _fitted(evidence(docs, F.col(id_col), text, declared, host))
+    bounds = (per_language, chars, max_languages)
+    model, capped, scored = _fitted(evidence(docs, F.col(id_col), text, declared, host), bounds)
     scored = written(scored, "language")  # narrow: the texts are read once for scores
-    return _judged(model, scored, counts_of(scored)).select(
+    return _judged(model, capped, scored, counts_of(scored)).select(
         F.col("_row").alias(id_col),
         F.col("_language").alias("language"),
         F.col("_probability").alias("probability"),
@@ -285,13 +304,22 @@ def identify(docs: DataFrame, text: Column, declared: Column, host: Column, id_c
     )
 
 
-def keep_identified(docs: DataFrame, text: Column, declared: Column, host: Column) -> DataFrame:
+def keep_identified(
+    docs: DataFrame,
+    text: Column,
+    declared: Column,
+    host: Column,
+    per_language: int = TRAINING_ROWS,
+    chars: int = TRAINING_CHARS,
+    max_languages: int = MAX_LANGUAGES,
+) -> DataFrame:
     """The rows whose language is sure, with all columns of ``docs``.
 
     Rows are scored twice, for the counts and for the verdict, so that no text is
     shuffled.
     """
-    model, _, counts = _fitted(evidence(docs, F.lit(0), text, declared, host))
+    bounds = (per_language, chars, max_languages)
+    model, capped, counted = _fitted(evidence(docs, F.lit(0), text, declared, host), bounds)
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     scored = _text_scores(evidence(docs, whole, text, declared, host), model)
-    return _judged(model, scored, counts).filter("_sure").select("_row.*")
+    return _judged(model, capped, scored, counts_of(counted)).filter("_sure").select("_row.*")

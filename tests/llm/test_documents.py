@@ -281,6 +281,26 @@ def test_hosts_decide_where_texts_cannot(make_docs):
     assert got == {500: "fr", 501: "en"}
 
 
+def test_the_sample_counts_distinct_texts(spark):
+    rows = [("aa", f"text {chr(97 + i % 20)}{chr(97 + i // 20)} of many") for i in range(100)]
+    docs = spark.createDataFrame(rows, "_declared string, _text string")
+    copies = docs.crossJoin(spark.range(400)).drop("id")
+    texts, capped = langid.sample(copies, per_language=80)
+    assert len(set(texts)) == len(texts) == 80 and not capped
+
+
+def test_languages_beyond_the_bound_are_unknown(make_docs):
+    rows = [(i, f"bonjour le monde et la maison {i}", "fr") for i in range(30)]
+    rows += [(100 + i, f"hello the world and the house {i}", "en") for i in range(30)]
+    rows += [(200, "dobry den svete a dome", "cs")]
+    docs = make_docs(rows)
+    found = langid.identify(docs, F.col("text"), F.col("lang"), F.col("source"), max_languages=2)
+    got = {r.doc_id: (r.language, r.kept) for r in found.collect()}
+    assert got[200] == ("und", False) and got[0] == ("fr", True) and got[100] == ("en", True)
+    kept = langid.keep_identified(docs, F.col("text"), F.col("lang"), F.col("source"), max_languages=2)
+    assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {200}
+
+
 @pytest.mark.parametrize("k", [1, 7, 2_999, 3_000])
 def test_cut_is_the_kth_largest(spark, k):
     rng = random.Random(3)
