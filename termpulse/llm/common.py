@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,21 +46,30 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def text_edges(texts: pa.Array) -> np.ndarray:
+    """Where each text begins in the column's buffer of bytes, and where the last ends."""
+    if not len(texts):
+        return np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32
+    return np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+
+
 def text_batches(
     batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 4 << 20
 ) -> Iterator[pa.RecordBatch]:
     """Cut (id, text) batches so that each holds few rows and few bytes of text.
 
-    A batch is at least one row, however long its text is.
+    A batch is at least one row, however long its text is; with more rows it holds
+    ``size`` bytes at most.
     """
     for batch in batches:
-        start, total = 0, 0
-        lengths = batch.column(1).nbytes // max(1, batch.num_rows)
-        step = max(1, min(rows, size // max(1, lengths)))
+        edges = text_edges(batch.column(1))
+        start = 0
         while start < batch.num_rows:
-            total = min(step, batch.num_rows - start)
-            yield batch.slice(start, total)
-            start += total
+            fits = int(np.searchsorted(edges, edges[start] + size, "right")) - 1 - start
+            step = max(1, min(rows, fits))
+            yield batch.slice(start, step)
+            start += step
 
 
 def kept_rows(docs: DataFrame, verdicts: DataFrame, id_col: str) -> DataFrame:

@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termpulse.llm import arrow_tokens, bpe, decontam, exact_dedup, importance, langid, minhash, pii, suffix_tree, token_counts
+from termpulse.llm import (
+    arrow_tokens,
+    bpe,
+    conversation_repair,
+    conversation_trie,
+    decontam,
+    exact_dedup,
+    importance,
+    langid,
+    minhash,
+    pii,
+    suffix_array,
+    suffix_tree,
+    token_counts,
+)
 from termpulse.llm.common import let_workers_import, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +132,22 @@ def op9_exact_dedup(spark, sf):
 def op10_decontamination(spark, sf):
     found = decontam.flag(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select("doc_id", "n_items", F.array_join("items", ",").alias("items"), "kept")
+
+
+@query
+def op11_suffix_array(spark, sf):
+    found = suffix_array.remove_repeats(table(spark, sf, "documents"))
+    spans = (F.size("spans") / 2).cast("long").alias("n_spans")
+    return found.select("doc_id", "n_bytes", "n_removed", spans, "kept_sha256")
+
+
+@query
+def op12_conversation_repair(spark, sf):
+    rows = conversation_repair.damaged(table(spark, sf, "conversations"))
+    return conversation_repair.repair(rows, present=F.col("present"))
+
+
+@query
+def op13_conversation_trie(spark, sf):
+    found = conversation_trie.sequences(table(spark, sf, "conversations"))
+    return conversation_trie.prefix_trie(conversation_trie.sharing_heads(found))

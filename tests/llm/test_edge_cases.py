@@ -16,6 +16,7 @@ from termpulse.llm import (
     langid,
     minhash,
     pii,
+    suffix_array,
     suffix_tree,
     token_counts,
 )
@@ -42,6 +43,7 @@ PER_ROW = {
     "counts": lambda d: token_counts.count_tokens(d, PIECES),
     "exact copies": exact_dedup.find_copies,
     "leaks": lambda d: decontam.flag(d, _bench(d)),
+    "byte strings": suffix_array.remove_repeats,
 }
 
 

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from termpulse.llm import oracles, queries
 
-NUMBERS = range(1, 11)
+NUMBERS = range(1, 14)
 
 
 def test_all_operators_are_registered():
@@ -17,12 +17,12 @@ def test_all_operators_are_registered():
 
 @pytest.mark.parametrize("name", oracles.oracle_sql())
 def test_sql(name, spark, sf):
-    got = queries.all_queries()[name](spark, sf).toPandas()
+    got = queries.all_queries()[name](spark, sf)
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    want = con.sql(oracles.oracle_sql()[name]).df()
+    want = con.sql(oracles.oracle_sql()[name])
     assert sorted(got.columns) == sorted(want.columns)
     order = sorted(got.columns)
-    rows = [sorted(map(str, df[order].itertuples(index=False, name=None))) for df in (got, want)]
+    rows = [sorted(map(str, r)) for r in (map(tuple, got.select(order).collect()), want.select(", ".join(order)).fetchall())]
     assert rows[0] == rows[1]
