@@ -5,8 +5,9 @@ For every document and language the posterior is proportional to
     prior(language | host) * P(text | language)^(1 / tempering) * P(declared | language)
 
 * **Text**: a generative model of hashed byte n-grams per language, trained here on
-  a bounded sample of rows with a declared language. N-grams overlap and are not
-  independent, so the log-likelihood counts by ``TEMPERING`` only.
+  a bounded sample of the rows of every declared language. N-grams overlap and are not
+  independent, so the log-likelihood counts by ``TEMPERING`` only. The model takes
+  ``BINS`` numbers per language, whatever the number of rows; no language is left out.
 * **Declared language** (a column, or the ``lang`` attribute of markup): how often a
   page in one language declares another is estimated over all rows.
 * **Address**: the host's prior is a smoothed mixture of its own counts and those
@@ -22,10 +23,10 @@ when no language reaches ``MIN_POSTERIOR``.
 
 Defined cases: a null or empty text, or one without letters, has no language
 (``und``) and is rejected; a null host or declaration is no evidence; repeated rows
-are judged row by row; with more than ``max_languages`` declared languages, rows
-that declare one of the others are ``und`` and rejected; without training rows all documents are ``und``; an empty
-table gives an empty table; other columns are left out by ``identify`` and kept by
-``keep_identified``.
+are judged row by row; of equally likely languages the first in the alphabet counts;
+a very long text is counted in parts of ``PART`` bytes; without training rows all
+documents are ``und``; an empty table gives an empty table; other columns are left out
+by ``identify`` and kept by ``keep_identified``.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ from termpulse.storage import broadcast_if_small
 #: Texts of each language, by the smallest hashes, that train the text model.
 TRAINING_ROWS = 400
 TRAINING_CHARS = 4_000
-MAX_LANGUAGES = 64
+PART = 1 << 20
 BINS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 TEMPERING = 20.0
@@ -89,33 +90,35 @@ def _bins(raw: np.ndarray, order: int) -> np.ndarray:
     return (key * np.uint32(0x9E3779B1) >> np.uint32(32 - 15)).astype(np.int64)
 
 
+def counts_in(text: str) -> tuple[np.ndarray, int]:
+    """How many n-grams of the text fall into each bin, and its number of letters."""
+    raw, letters = prepared(text)
+    total = np.zeros(BINS, np.int64)
+    for at in range(0, max(1, len(raw) - 1), PART):
+        for order in ORDERS:
+            # An n-gram belongs to the part in which it starts.
+            total += np.bincount(_bins(raw[at : at + PART + order - 1], order), minlength=BINS)
+    return total, letters
+
+
 @dataclass
 class TextModel:
-    """Log-probabilities, one row per language and one column per bin."""
+    """Log-probabilities, one row per bin and one column per language."""
 
     languages: list[str]
     weights: np.ndarray
 
     @classmethod
-    def train(cls, rows: list[tuple[str, str]]) -> TextModel:
-        languages = sorted({language for language, _ in rows})
-        counts = np.ones((len(languages), BINS))
-        for language, text in rows:
-            raw, _ = prepared(text)
-            for order in ORDERS:
-                counts[languages.index(language)] += np.bincount(_bins(raw, order), minlength=BINS)
-        weights = np.log(counts / counts.sum(axis=1, keepdims=True)) if languages else counts
-        return cls(languages, weights.astype(np.float32))
+    def of(cls, counts: dict[str, np.ndarray]) -> TextModel:
+        languages = sorted(counts)
+        table = np.array([counts[x] for x in languages]).reshape(len(languages), BINS) + 1.0
+        return cls(languages, np.log(table / table.sum(axis=1, keepdims=True)).T.astype(np.float32))
 
     def score(self, text: str) -> tuple[np.ndarray, int]:
         """Tempered log-likelihood per language, and the number of letters."""
-        raw, letters = prepared(text)
-        total = np.zeros(len(self.languages))
-        for at in range(0, max(1, len(raw) - 1), 1 << 20):  # very long texts in parts
-            part = raw[at : at + (1 << 20) + max(ORDERS) - 1]
-            for order in ORDERS:
-                total += self.weights[:, _bins(part, order)].sum(axis=1, dtype=np.float64)
-        return total / TEMPERING, letters
+        counts, letters = counts_in(text)
+        used = np.flatnonzero(counts)
+        return counts[used].astype(np.float64) @ self.weights[used].astype(np.float64) / TEMPERING, letters
 
 
 def prepared(text: str) -> tuple[np.ndarray, int]:
@@ -124,33 +127,50 @@ def prepared(text: str) -> tuple[np.ndarray, int]:
     return np.frombuffer(f" {plain} ".encode(), np.uint8), len(plain) - plain.count(" ")
 
 
-def sample(
-    rows: DataFrame, per_language: int = TRAINING_ROWS, chars: int = TRAINING_CHARS, max_languages: int = MAX_LANGUAGES
-) -> tuple[list[tuple[str, str]], bool]:
-    """A bounded labelled sample: of each declared language the ``per_language``
-    distinct texts with the smallest hashes, ``chars`` characters of each. At most
-    ``max_languages`` languages, those with the most distinct texts; the second
-    value tells whether there are more."""
+def sample(rows: DataFrame, per_language: int = TRAINING_ROWS, chars: int = TRAINING_CHARS) -> DataFrame:
+    """``_declared, _piece``: of each declared language the ``per_language`` distinct
+    texts with the smallest hashes, ``chars`` characters of each."""
     labelled = rows.filter(F.col("_declared").isNotNull() & F.col("_text").rlike(r"\p{L}"))
     key = F.xxhash64("_text")
     # Copies count once: they leave one hash per task.
     texts = labelled.select("_declared", key.alias("_key")).distinct()
-    found = texts.groupBy("_declared").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_declared")
-    most = found.limit(max_languages + 1).collect()
-    share = F.lit(0.0)
-    for r in most[:max_languages]:
-        # Hashes below this share hold twenty times the texts wanted, give or take little.
-        share = F.when(F.col("_declared") == r._declared, min(1.0, 20 * per_language / r.n)).otherwise(share)
+    found = texts.groupBy("_declared").agg(F.count(F.lit(1)).alias("_n"))
+    # Hashes below this share hold twenty times the texts wanted, give or take little.
+    share = found.select("_declared", F.least(F.lit(1.0), 20 * per_language / F.col("_n")).alias("_share"))
     place = F.shiftrightunsigned(key, 33) / float(1 << 31)
     few = (
         labelled.select("_declared", place.alias("_place"), key.alias("_key"), F.substring("_text", 1, chars).alias("_piece"))
-        .filter(F.col("_place") < share)
+        .join(broadcast_if_small(written(share, "shares")), "_declared")
+        .filter(F.col("_place") < F.col("_share"))
         .groupBy("_declared", "_place", "_key")
         .agg(F.first("_piece").alias("_piece"))
     )
     order = Window.partitionBy("_declared").orderBy("_place", "_key")
-    ranked = few.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_language)
-    return sorted((r._declared, r._piece) for r in ranked.collect()), len(most) > max_languages
+    return few.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_language).select("_declared", "_piece")
+
+
+def train(texts: DataFrame) -> TextModel:
+    """The text model of ``_declared, _piece``: the driver gets ``BINS`` counts per language."""
+
+    def run(batches):
+        language, total = None, None
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([language]), pa.array([total.tobytes()], pa.binary())], names=["language", "counts"])
+
+        for batch in batches:
+            for declared, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if declared != language:
+                    if total is not None:
+                        yield row()
+                    language, total = declared, np.zeros(BINS, np.int64)
+                total += counts_in(piece)[0]
+        if total is not None:
+            yield row()
+
+    dealt = texts.repartition("_declared").sortWithinPartitions("_declared")
+    found = dealt.mapInArrow(run, "language string, counts binary").collect()
+    return TextModel.of({r.language: np.frombuffer(r.counts, np.int64) for r in found})
 
 
 def evidence(docs: DataFrame, row: Column, text: Column, declared: Column, host: Column) -> DataFrame:
@@ -226,33 +246,28 @@ def priors(counts: DataFrame, n: int) -> tuple[DataFrame, list[float]]:
     return by_host.select("_host", F.transform(prior, lambda p: F.log(p)).alias("_prior")), np.log(everywhere).tolist()
 
 
-def declarations(counts: DataFrame, languages: list[str]) -> dict[str, list[float]]:
-    """Log P(declared | language) of the declared codes that are a known language.
-
-    A table of languages times languages. Any other declaration is no evidence.
+def declarations(counts: DataFrame, languages: list[str]) -> DataFrame:
+    """``_declared, _said``: log P(declared | language) of the codes that are a known
+    language, a table of languages times languages. Another declaration is no evidence.
     """
     known = counts.filter(F.col("_declared").isin(languages)).groupBy("_declared").agg(F.array(*_vector(len(languages))).alias("c"))
     found = {r._declared: np.array(r.c) for r in known.collect()}
     table = np.stack([found.get(code, np.zeros(len(languages))) for code in languages]) + DECLARED_PRIOR
-    return dict(zip(languages, np.log(table / table.sum(axis=0)).tolist(), strict=True))
+    rows = list(zip(languages, np.log(table / table.sum(axis=0)).tolist(), strict=True))
+    return counts.sparkSession.createDataFrame(rows, "_declared string, _said array<double>")
 
 
-def _verdict(scored: DataFrame, hosts: DataFrame, overall: list[float], says: dict[str, list[float]], languages: list[str], capped: bool) -> DataFrame:
-    zero = F.array(*[F.lit(0.0)] * len(languages))
-    said = zero
-    for code, values in says.items():
-        said = F.when(F.col("_declared") == code, F.array(*map(F.lit, values))).otherwise(said)
-    prior = F.coalesce("_prior", F.array(*map(F.lit, overall)))
+def _verdict(scored: DataFrame, hosts: DataFrame, overall: list[float], says: DataFrame, languages: list[str]) -> DataFrame:
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     # AQE splits a host that holds many rows when the table is not broadcast.
-    joined = scored.join(broadcast_if_small(hosts), "_host", "left")
+    joined = scored.join(broadcast_if_small(hosts), "_host", "left").join(broadcast_if_small(says), "_declared", "left")
+    prior = F.coalesce("_prior", F.array(*map(F.lit, overall)))
+    said = F.coalesce("_said", F.array(*[F.lit(0.0)] * len(languages)))
     joined = joined.withColumn("_logs", add(add(F.col("_scores"), prior), said))
     top = F.array_max("_logs")
     norm = F.aggregate("_logs", F.lit(0.0), lambda a, x: a + F.exp(x - top))
     joined = joined.withColumn("_posterior", F.lit(1.0) / norm).withColumn("_at", _best(F.col("_logs")))
     sure = (F.col("_letters") >= MIN_LETTERS) & (F.col("_posterior") >= MIN_POSTERIOR)
-    if capped:  # a text in a language without a model would get another one
-        sure &= F.coalesce(F.col("_declared").isin(languages), F.lit(True))
     named = F.element_at(F.array(*map(F.lit, languages)), F.col("_at") + 1)
     return joined.select(
         "_row",
@@ -262,20 +277,13 @@ def _verdict(scored: DataFrame, hosts: DataFrame, overall: list[float], says: di
     )
 
 
-def _fitted(rows: DataFrame, bounds: tuple[int, int, int]) -> tuple[TextModel, bool, DataFrame]:
-    """The text model, whether languages were left out of it, and the rows' scores."""
-    texts, capped = sample(rows, *bounds)
-    model = TextModel.train(texts)
-    return model, capped, _text_scores(rows, model)
-
-
-def _judged(model: TextModel, capped: bool, scored: DataFrame, counts: DataFrame) -> DataFrame:
+def _judged(model: TextModel, scored: DataFrame, counts: DataFrame) -> DataFrame:
     """``_row, _language, _probability, _sure`` of scored rows."""
     if not model.languages:
         return scored.select("_row", F.lit(UNKNOWN).alias("_language"), F.lit(0.0).alias("_probability"), F.lit(False).alias("_sure"))
     counts = written(counts, "hosts")
     hosts, overall = priors(counts, len(model.languages))
-    return _verdict(scored, hosts, overall, declarations(counts, model.languages), model.languages, capped)
+    return _verdict(scored, hosts, overall, declarations(counts, model.languages), model.languages)
 
 
 def identify(
@@ -286,17 +294,16 @@ def identify(
     id_col: str = "doc_id",
     per_language: int = TRAINING_ROWS,
     chars: int = TRAINING_CHARS,
-    max_languages: int = MAX_LANGUAGES,
 ) -> DataFrame:
     """``id_col, language, probability, kept`` of every row.
 
     ``declared`` and ``host`` may be null columns; ``declared_in(html)`` and
     ``host_of(url)`` take them from raw pages. The bounds are those of ``sample``.
     """
-    bounds = (per_language, chars, max_languages)
-    model, capped, scored = _fitted(evidence(docs, F.col(id_col), text, declared, host), bounds)
-    scored = written(scored, "language")  # narrow: the texts are read once for scores
-    return _judged(model, capped, scored, counts_of(scored)).select(
+    rows = evidence(docs, F.col(id_col), text, declared, host)
+    model = train(sample(rows, per_language, chars))
+    scored = written(_text_scores(rows, model), "language")  # narrow: the texts are read once for scores
+    return _judged(model, scored, counts_of(scored)).select(
         F.col("_row").alias(id_col),
         F.col("_language").alias("language"),
         F.col("_probability").alias("probability"),
@@ -311,15 +318,14 @@ def keep_identified(
     host: Column,
     per_language: int = TRAINING_ROWS,
     chars: int = TRAINING_CHARS,
-    max_languages: int = MAX_LANGUAGES,
 ) -> DataFrame:
     """The rows whose language is sure, with all columns of ``docs``.
 
     Rows are scored twice, for the counts and for the verdict, so that no text is
     shuffled.
     """
-    bounds = (per_language, chars, max_languages)
-    model, capped, counted = _fitted(evidence(docs, F.lit(0), text, declared, host), bounds)
+    rows = evidence(docs, F.lit(0), text, declared, host)
+    model = train(sample(rows, per_language, chars))
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     scored = _text_scores(evidence(docs, whole, text, declared, host), model)
-    return _judged(model, capped, scored, counts_of(counted)).filter("_sure").select("_row.*")
+    return _judged(model, scored, counts_of(_text_scores(rows, model))).filter("_sure").select("_row.*")

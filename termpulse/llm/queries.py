@@ -59,6 +59,14 @@ def op1_language(spark, sf):
     return langid.identify(docs, F.col("text"), F.col("lang"), F.col("source"))
 
 
+@query
+def op1_pages(spark, sf):
+    """Pages declare a language in their markup and have a host and an address suffix."""
+    pages = table(spark, sf, "pages")
+    text = F.regexp_replace("html", "<[^>]*>", " ")
+    return langid.identify(pages, text, langid.declared_in(F.col("html")), langid.host_of(F.col("url")), "page_id")
+
+
 @query
 def op2_importance_resampling(spark, sf):
     """The target is good and not toxic; as many rows are drawn as labels call good."""

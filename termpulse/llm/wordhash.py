@@ -6,27 +6,49 @@ import hashlib
 
 import numpy as np
 
-#: A text is hashed in blocks of about so many bytes, cut at white space.
+#: A text is hashed in blocks of about so many bytes, cut at white space. No sum over
+#: a block may reach 2^64: its bytes, at most 256 times 2^32 each, stay below 2^61.
 BLOCK = 1 << 20
 
-_rng = np.random.Generator(np.random.PCG64(20_240_501))
-_BYTES = _rng.integers(1, 1 << 63, 256, np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Words are polynomials over the integers modulo this prime, at a random point. Two
+#: different words of n bytes meet with a probability of n / 2^61; modulo 2^64 there
+#: would be words that meet at every point.
+PRIME = (1 << 61) - 1
+_P = np.uint64(PRIME)
+_BASE = int(np.random.Generator(np.random.PCG64(20_240_501)).integers(1 << 60, PRIME))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True  # ASCII white space
-_powers = np.ones((2, 1), np.uint64)
 
 
-def _power(n: int) -> np.ndarray:
-    """Powers of the base and of its inverse, modulo 2^64."""
-    global _powers
-    if _powers.shape[1] <= n:
-        steps = np.full((2, max(n + 1, 1 << 16)), [[_BASE], [_INVERSE]], np.uint64)
-        steps[:, 0] = 1
-        _powers = np.multiply.accumulate(steps, axis=1)
-    return _powers
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it, in halves of 31 and 30 bits."""
+    half, low = np.uint64(31), np.uint64((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    middle = a1 * b0 + a0 * b1  # times 2^31; 2^61 is 1 and 2^62 is 2
+    middle = (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << half)
+    return _reduced(_reduced(a1 * b1 * np.uint64(2) + middle) + _reduced(a0 * b0))
+
+
+_known: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Upper and lower bits of ``n`` or more powers of the base, and those of its inverse."""
+    if not _known or len(_known[0]) < n:
+        found = []
+        for base in (_BASE, pow(_BASE, -1, PRIME)):
+            power = np.ones(1, np.uint64)
+            while len(power) < max(n, 1 << 16):  # the powers so far times the next one
+                power = np.concatenate([power, times(power, np.uint64(pow(base, len(power), PRIME)))])
+            found.append(power)
+        _known[:] = found[0] >> np.uint64(32), found[0] & np.uint64(0xFFFFFFFF), found[1]
+    return _known
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -52,11 +74,18 @@ def words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             continue
         last = max(first + 1, int(np.searchsorted(ends, base + BLOCK, "right")))
         n = int(ends[last - 1] - base)
-        power = _power(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[data[base : base + n]] * power[0, :n], out=sums[1:])
+        high, low, inverse = _powers(n)
+        values = data[base : base + n].astype(np.uint64) + np.uint64(1)
         s, e = starts[first:last] - base, ends[first:last] - base
-        hashes[first:last] = mix((sums[e] - sums[s]) * power[1, s] ^ (e - s).astype(np.uint64))
+
+        def sums(power, values=values, n=n, s=s, e=e):
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(values * power[:n], out=total[1:])
+            return _reduced(total[e] - total[s])
+
+        upper = sums(high)  # times 2^32, which turns the 61 bits around
+        upper = ((upper << np.uint64(32)) & _P) | (upper >> np.uint64(29))
+        hashes[first:last] = mix(times(_reduced(upper + sums(low)), inverse[s]))
         first = last
     return starts, ends, hashes
 

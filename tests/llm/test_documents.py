@@ -1,8 +1,10 @@
 """Operators on documents against brute force."""
 
+import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +50,34 @@ def test_word_hashes_tell_words_apart():
     assert len(wordhash.words(b"")[0]) == 0 and len(wordhash.runs(hashes, 9)) == 0
 
 
+def thue_morse(n, letters):
+    """Words that every polynomial modulo 2^64 takes for its complement."""
+    return "".join(letters[bin(k).count("1") % 2] for k in range(n))
+
+
+MORSE = (thue_morse(4096, "ab"), thue_morse(4096, "ba"))
+
+
+def test_thue_morse_words_are_different(make_docs):
+    assert len({int(wordhash.words(w.encode())[2][0]) for w in (*MORSE, MORSE[0][:2048], MORSE[1][:2048])}) == 4
+    tail = " ".join(f"w{k}" for k in range(12))
+    docs = make_docs([(k, f"{w} {tail}") for k, w in enumerate(MORSE)] + [(2 + k, f"{w} p q r") for k, w in enumerate(MORSE)])
+    assert {r.doc_id: r.n_removed for r in suffix_tree.remove_repeats(docs).collect()} == dict.fromkeys(range(4), 0)
+    found = {r.doc_id: r.component_id for r in minhash.find_near_copies(docs).collect()}
+    # The long ones share nine of eleven runs of words, the short ones none.
+    assert found == {0: 0, 1: 0, 2: 2, 3: 3}
+    assert not np.array_equal(*(importance.bins_of(w) for w in MORSE))
+
+
+def test_word_hashes_are_the_polynomials():
+    raw = ("x é " + "word " * 3 + "y" * 3000 + " " + "ab " * 50_000).encode()
+    for w, h in list(zip(raw.split(), wordhash.words(raw)[2], strict=True))[:40]:
+        value = 0
+        for at, byte in enumerate(w):
+            value = (value + (byte + 1) * pow(wordhash._BASE, at, wordhash.PRIME)) % wordhash.PRIME
+        assert wordhash.mix(np.array([value], np.uint64))[0] == h
+
+
 def near_components(rows):
     sets = {}
     for i, text in rows:
@@ -192,7 +222,7 @@ def test_leaks(spark, make_docs):
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = {r.doc_id: (r.item, r.changed) for r in decontam.find_leaks(make_docs(list(enumerate(texts))), bench).collect()}
     # The words put in shift the rest: there, 3 hours stand for 2.
-    assert found == {0: (1, True), 1: (3, False), 2: (1, True)}
+    assert found == {0: (1, True), 1: (3, False), 2: (1, True), 4: (4, False)}
 
 
 def test_inconsistent_slots_are_no_leak(spark, make_docs):
@@ -285,20 +315,96 @@ def test_the_sample_counts_distinct_texts(spark):
     rows = [("aa", f"text {chr(97 + i % 20)}{chr(97 + i // 20)} of many") for i in range(100)]
     docs = spark.createDataFrame(rows, "_declared string, _text string")
     copies = docs.crossJoin(spark.range(400)).drop("id")
-    texts, capped = langid.sample(copies, per_language=80)
-    assert len(set(texts)) == len(texts) == 80 and not capped
+    texts = [r._piece for r in langid.sample(copies, per_language=80).collect()]
+    assert len(set(texts)) == len(texts) == 80
+
+
+def many_languages(n):
+    """Texts of ``n`` made-up languages, each with letters of its own."""
+    rng = random.Random(8)
+    for code in range(n):
+        letters = [chr(0x4E00 + 20 * code + k) for k in range(20)]
+        for k in range(6):
+            text = " ".join("".join(rng.choices(letters, k=5)) for _ in range(12))
+            yield code * 10 + k, text, f"l{code:03}" if k < 5 else None, f"h{code}.s{code % 3}"
 
 
-def test_languages_beyond_the_bound_are_unknown(make_docs):
-    rows = [(i, f"bonjour le monde et la maison {i}", "fr") for i in range(30)]
-    rows += [(100 + i, f"hello the world and the house {i}", "en") for i in range(30)]
-    rows += [(200, "dobry den svete a dome", "cs")]
+def test_every_declared_language_is_known(make_docs):
+    rows = list(many_languages(90))
     docs = make_docs(rows)
-    found = langid.identify(docs, F.col("text"), F.col("lang"), F.col("source"), max_languages=2)
-    got = {r.doc_id: (r.language, r.kept) for r in found.collect()}
-    assert got[200] == ("und", False) and got[0] == ("fr", True) and got[100] == ("en", True)
-    kept = langid.keep_identified(docs, F.col("text"), F.col("lang"), F.col("source"), max_languages=2)
-    assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {200}
+    found = langid.identify(docs, F.col("text"), F.col("lang"), F.col("source")).collect()
+    assert {r.doc_id: r.language for r in found} == {i: f"l{i // 10:03}" for i, *_ in rows}
+    kept = langid.keep_identified(docs, F.col("text"), F.col("lang"), F.col("source"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in rows)
+
+
+def test_fusion_by_brute_force(make_docs):
+    """Bayes' rule in plain Python over the same n-grams."""
+    rng = random.Random(4)
+    vocabulary = {"de": "der die und das haus baum", "en": "the and house tree of on", "nl": "de het en huis boom van"}
+    rows = []
+    for i in range(150):
+        true = rng.choice(sorted(vocabulary))
+        words = rng.choices(vocabulary[true].split(), k=rng.randint(1, 6))
+        declared = rng.choice([true, true, "en", "xx", None])
+        rows.append((i, " ".join(words) if i % 17 else "12 34", declared, rng.choice([f"a.{true}", "b.com", "plain", None])))
+    grams = defaultdict(Counter)
+
+    def bins(text):
+        letters = "".join(c.lower() if c.isalpha() else " " for c in text)
+        raw = f" {' '.join(letters.split())} ".encode() if letters.strip() else b"  "
+        found = Counter()
+        for order in langid.ORDERS:
+            for at in range(len(raw) - order + 1):
+                key = order
+                for byte in raw[at : at + order]:
+                    key = key * 0x01000193 % 2**32 ^ byte
+                key ^= key >> 15
+                found[key * 0x9E3779B1 % 2**32 >> 17] += 1
+        return found
+
+    for text, declared in {(t, d) for _, t, d, _ in rows if d and any(c.isalpha() for c in t)}:
+        grams[declared] += bins(text)
+    languages = sorted(grams)
+    size = {x: sum(grams[x].values()) + langid.BINS for x in languages}
+
+    def scores(text):
+        return [sum(n * math.log((grams[x][b] + 1) / size[x]) for b, n in bins(text).items()) / langid.TEMPERING for x in languages]
+
+    best = {i: scores(t).index(max(scores(t))) for i, t, _, _ in rows if any(c.isalpha() for c in t)}
+    n = len(languages)
+    everywhere = [sum(b == k for b in best.values()) + 1 for k in range(n)]
+    everywhere = [x / sum(everywhere) for x in everywhere]
+
+    def smoothed(ids, parent, weight):
+        counts = [sum(best[i] == k for i in ids) for k in range(n)]
+        return [(c + p * weight) / (len(ids) + weight) for c, p in zip(counts, parent, strict=True)]
+
+    def suffix(host):
+        return host.rsplit(".", 1)[1] if host and "." in host else None
+
+    def prior(host):
+        same = [i for i, _, _, h in rows if h == host and i in best]
+        if host is None or not same:
+            return everywhere
+        parent = everywhere
+        if suffix(host):
+            parent = smoothed([i for i, _, _, h in rows if suffix(h) == suffix(host) and i in best], everywhere, langid.SUFFIX_WEIGHT)
+        return smoothed(same, parent, langid.HOST_WEIGHT)
+
+    said = {x: [sum(best[i] == k for i, _, d, _ in rows if d == x and i in best) + langid.DECLARED_PRIOR for k in range(n)] for x in languages}
+    want = {}
+    for i, text, declared, host in rows:
+        logs = [a + math.log(p) for a, p in zip(scores(text), prior(host), strict=True)]
+        if declared in said:
+            logs = [x + math.log(said[declared][k] / sum(said[c][k] for c in languages)) for k, x in enumerate(logs)]
+        total = sum(math.exp(x - max(logs)) for x in logs)
+        sure = i in best and 1 / total >= langid.MIN_POSTERIOR
+        want[i] = (languages[logs.index(max(logs))] if sure else "und", 1 / total if i in best else 0.0)
+    found = langid.identify(make_docs(rows), F.col("text"), F.col("lang"), F.col("source")).collect()
+    assert {r.doc_id: r.language for r in found} == {i: w[0] for i, w in want.items()}
+    assert all(abs(r.probability - want[r.doc_id][1]) < 1e-4 for r in found)
+    assert {w[0] for w in want.values()} >= {"de", "en", "nl", "und"}
 
 
 @pytest.mark.parametrize("k", [1, 7, 2_999, 3_000])
@@ -321,21 +427,6 @@ def test_resampling_prefers_the_target(spark, sf):
     assert sum(share[1]) / len(share[1]) > sum(share[0]) / len(share[0]) + 0.3
 
 
-def test_pipeline_is_its_stages_by_brute_force(spark, sf):
-    rows = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
-    rows = [(i, t) for i, t in rows if any(c.isalpha() for c in t)]
-    lowered = {i: "".join(c.lower() if c.isascii() else c for c in t) for i, t in rows}
-    last = {t: i for i, t in sorted(lowered.items())}
-    rows = [(i, t) for i, t in rows if last[lowered[i]] == i]
-    near = near_components([(i, lowered[i]) for i, _ in rows])
-    rows = [(i, t) for i, t in rows if near[i][1] == i]
-    items = [r.text for r in table(spark, sf, "benchmark").collect()]
-    rows = [(i, t) for i, t in rows if not any(x in t for x in items)]
-    found = corpus_pipeline.run(spark, sf).collect()
-    assert {r.doc_id for r in found} == {i for i, _ in rows}
-    assert all(r.n_tokens * 4 == len(r.ids) for r in found)
-
-
 def test_pipeline_by_brute_force_with_runs_of_five_words(spark, sf):
     rows = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect() if any(c.isalpha() for c in r.text)]
     lowered = {i: "".join(c.lower() if c.isascii() else c for c in t) for i, t in rows}
@@ -344,4 +435,6 @@ def test_pipeline_by_brute_force_with_runs_of_five_words(spark, sf):
     root = near_components_by([(i, lowered[i]) for i, _ in rows], corpus_pipeline.SHINGLE)
     items = [r.text for r in table(spark, sf, "benchmark").collect()]
     want = {i for i, t in rows if root[i] == i and not any(x in t for x in items)}
-    assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == want
+    found = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id for r in found} == want
+    assert all(r.n_tokens * 4 == len(r.ids) for r in found)
