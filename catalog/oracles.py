@@ -274,6 +274,85 @@ runs AS MATERIALIZED (
     WHERE content IS NOT NULL AND content <> '') GROUP BY run)"""
 
 
+# Runs of word characters with a CJK character, as lists of their atoms.
+_MIXED = f"""
+han AS MATERIALIZED (SELECT id, translate(lower(content), '{V.LATIN}', '{V.HAN}') AS content FROM posts),
+runs AS MATERIALIZED (
+  SELECT run, n, regexp_extract_all(run, '[{CJK}]|[^{CJK}]+') AS atoms
+  FROM (SELECT run, count(*) AS n FROM (
+    SELECT unnest(regexp_extract_all({_clean('content')}, '[{WORD}]+')) AS run FROM han
+    WHERE content IS NOT NULL AND content <> '') WHERE regexp_matches(run, '[{CJK}]') GROUP BY run))"""
+
+# Every n-gram of one to four atoms, with what stands beside it.
+_NEW_WORDS = """
+grams AS MATERIALIZED (
+  SELECT k, n, array_to_string(atoms[i : i + k - 1], '') AS gram,
+         CASE WHEN i > 1 THEN atoms[i - 1] ELSE '' END AS before,
+         CASE WHEN i + k <= len(atoms) THEN atoms[i + k] ELSE '' END AS after, atoms[i : i + k - 1] AS parts
+  FROM (SELECT n, atoms, k, unnest(range(1, len(atoms) - k + 2)) AS i
+        FROM runs, (VALUES (1), (2), (3), (4)) t(k) WHERE len(atoms) >= k)),
+frequent AS MATERIALIZED (
+  SELECT k, gram, any_value(parts) AS parts, sum(n) AS c FROM grams GROUP BY k, gram HAVING sum(n) >= 20),
+total AS (SELECT sum(n) AS t FROM grams WHERE k = 1),
+cuts AS (
+  SELECT k, gram, c, array_to_string(parts[1 : j], '') AS head, array_to_string(parts[j + 1 : k], '') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM frequent WHERE k > 1)),
+information AS (
+  SELECT x.gram, any_value(x.c) AS n, min(log2(CAST(x.c AS DOUBLE) * t / (CAST(h.c AS DOUBLE) * CAST(l.c AS DOUBLE)))) AS information
+  FROM cuts x JOIN frequent h ON h.gram = x.head JOIN frequent l ON l.gram = x.tail CROSS JOIN total GROUP BY x.gram),
+befores AS (
+  SELECT gram, ln(sum(m)) - sum(m * ln(m)) / sum(m) AS h
+  FROM (SELECT gram, before, CAST(sum(n) AS DOUBLE) AS m FROM grams WHERE k > 1 GROUP BY gram, before) GROUP BY gram),
+afters AS (
+  SELECT gram, ln(sum(m)) - sum(m * ln(m)) / sum(m) AS h
+  FROM (SELECT gram, after, CAST(sum(n) AS DOUBLE) AS m FROM grams WHERE k > 1 GROUP BY gram, after) GROUP BY gram),
+found AS MATERIALIZED (
+  SELECT * FROM (
+    SELECT gram AS term, CAST(n AS BIGINT) AS n, round(information, 6) AS information,
+           round(greatest(b.h, 0.0), 6) AS before_entropy, round(greatest(a.h, 0.0), 6) AS after_entropy
+    FROM information JOIN befores b USING (gram) JOIN afters a USING (gram))
+  WHERE information >= 1.0 AND least(before_entropy, after_entropy) >= 0.5)"""
+
+
+def _greedy(longest: int) -> str:
+    """Words of ``runs`` by the longest match with ``terms``, up to some atoms."""
+    tries = " ".join(
+        f"WHEN place + {k - 1} <= len(atoms) AND array_to_string(atoms[place : place + {k - 1}], '') IN (FROM terms) THEN {k}"
+        for k in range(longest, 1, -1)
+    )
+    return f"""
+path AS (
+  SELECT run, n, atoms, 1 AS place, 0 AS size FROM runs
+  UNION ALL
+  SELECT run, n, atoms, place, CASE {tries} ELSE 1 END
+  FROM (SELECT run, n, atoms, place + size AS place FROM path) WHERE place <= len(atoms))"""
+
+
+def _likeliest(longest: int) -> str:
+    """Words of ``runs`` by the least sum of costs in ``priced``, from the last atom back;
+    of equal sums the longer word."""
+    joins = " ".join(
+        f"LEFT JOIN priced p{k} ON p{k}.term = array_to_string(atoms[d.place - 1 : d.place + {k - 2}], '')"
+        for k in range(1, longest + 1)
+    )
+    options = ", ".join(f"8 * (p{k}.cost + costs[{k}]) + {7 - k}" for k in range(1, longest + 1))
+    return f"""
+dp AS (
+  SELECT run, n, atoms, len(atoms) + 1 AS place, [CAST(0 AS BIGINT)] AS costs, CAST([] AS BIGINT[]) AS picks FROM runs
+  UNION ALL
+  SELECT run, n, atoms, place, list_prepend(best // 8, costs), list_prepend(7 - best % 8, picks)
+  FROM (SELECT d.run, d.n, d.atoms, d.place - 1 AS place, d.costs, d.picks, least({options}) AS best
+        FROM dp d {joins} WHERE d.place > 1)),
+path AS (
+  SELECT run, n, atoms, picks, CAST(1 AS BIGINT) AS place, CAST(0 AS BIGINT) AS size FROM dp WHERE place = 1
+  UNION ALL
+  SELECT run, n, atoms, picks, place + size, picks[place + size] FROM path WHERE place + size <= len(atoms))"""
+
+
+_PATH_WORDS = """
+SELECT array_to_string(atoms[place : place + size - 1], '') AS word, CAST(sum(n) AS BIGINT) AS n FROM path WHERE size > 0 GROUP BY 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
 
@@ -399,6 +478,18 @@ walk AS (
 SELECT substring(run, pos, len) AS word, CAST(sum(n) AS BIGINT) AS n FROM walk WHERE len > 0 GROUP BY 1"""
     )
 
+    mixed = f"terms AS MATERIALIZED (SELECT run AS term FROM runs WHERE len(atoms) BETWEEN 2 AND 4 AND regexp_matches(run, '[^{CJK}]'))"
+    sql["mixed_terms"] = "WITH RECURSIVE " + ",".join([POSTS, _MIXED, mixed, _greedy(4)]) + _PATH_WORDS
+    sql["new_words"] = _with(POSTS, _MIXED, _NEW_WORDS) + "SELECT * FROM found"
+    priced = """
+terms AS MATERIALIZED (
+  SELECT term, n FROM found
+  UNION ALL SELECT gram, sum(n) FROM grams WHERE k = 1 GROUP BY gram),
+priced AS MATERIALIZED (
+  SELECT term, CAST(round(ln(CAST((SELECT sum(n) FROM terms) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) * 1000000) AS BIGINT) AS cost
+  FROM terms GROUP BY term)"""
+    sql["lattice_segment"] = "WITH RECURSIVE " + ",".join([POSTS, _MIXED, _NEW_WORDS, priced, _likeliest(4)]) + _PATH_WORDS
+
     # counts and rankings
     sql["word_freq_by_date"] = _with(POSTS, _dated()) + "SELECT date, word, n FROM dated"
     sql["word_freq_total"] = _with(POSTS, _total()) + "SELECT word, n FROM total"

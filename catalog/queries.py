@@ -13,7 +13,7 @@ from termpulse import settings as S
 from termpulse.functions import text as X
 from termpulse.functions.dates import parse_timestamp
 from termpulse.functions.python import python_tokenizer
-from termpulse.operators import bayes, filters, keywords, segment, tokens
+from termpulse.operators import bayes, filters, keywords, newwords, segment, tokens
 from termpulse.operators import frequency as freq
 from termpulse.operators import sentiment as sent
 from termpulse.operators.matching import word_post_matches
@@ -290,6 +290,27 @@ def cjk_lexicon(spark, sf):
     return segment.segmented_word_counts(runs, terms)
 
 
+@query
+def mixed_terms(spark, sf):
+    """Terms that mix scripts, found by the longest match."""
+    runs = segment.mixed_run_counts(V.han_posts(spark, sf)).persist()
+    short = runs.where(F.size(X.atoms(F.col("run"))).between(2, 4) & F.col("run").rlike(rf"[^{X.CJK}]"))
+    return segment.segmented_word_counts(runs, short.select(F.col("run").alias("term")))
+
+
+@query
+def new_words(spark, sf):
+    return newwords.new_words(V.han_posts(spark, sf), min_count=20)
+
+
+@query
+def lattice_segment(spark, sf):
+    """The most likely words of the texts, with the words found in them as terms."""
+    runs = segment.mixed_run_counts(V.han_posts(spark, sf)).persist()
+    terms = newwords.term_table(runs, newwords.new_words_of_runs(runs, min_count=20)).persist()
+    return segment.segmented_word_counts(runs, terms, "n")
+
+
 # --- counts and rankings ---------------------------------------------------------------
 
 

@@ -132,19 +132,28 @@ def tokenize(
 def lexicon_tokenizer(
     terms: Iterable[str], stopwords: Iterable[str] = (), min_len: int = S.MIN_WORD_LENGTH
 ) -> Tokenizer:
-    """A tokeniser that cuts CJK runs into the given terms, longest match first.
-
-    Unmatched CJK characters stand alone, other runs stay whole, and the usual
-    word filters follow. Only terms of CJK characters alone can be found, as runs
-    end where another script begins. The terms become one regular expression,
-    which suits some hundreds of them; ``operators.segment`` gives the same words
-    for term tables of any size.
+    """A tokeniser that cuts runs into the given terms, longest match first.
+
+    CJK characters that no term takes stand alone, stretches of other characters stay
+    whole, and the usual word filters follow. Terms may mix scripts (``A股``, ``卡拉OK``),
+    but begin and end where such stretches do. A term with a character that no run
+    holds (a space, a hyphen) cannot occur and is an error. The terms become one
+    regular expression, which suits some hundreds of them; ``operators.segment`` gives
+    the same words for term tables of any size, and the most likely ones with their
+    frequencies.
     """
-    longest_first = sorted({t for t in terms if re.fullmatch(f"[{_CJK_HERE}]+", t)}, key=lambda t: (-len(t), t))
+    longest_first = sorted(set(terms), key=lambda t: (-len(t), t))
+    impossible = [t for t in longest_first if not re.fullmatch(r"\w+", t)]
+    if impossible:
+        raise ValueError(f"terms that no run of word characters holds: {impossible[:5]}")
     if len(longest_first) > S.INLINE_WORDS:
         raise ValueError(f"more than {S.INLINE_WORDS} terms: use operators.segment with a table")
-    known = "".join(re.escape(t) + "|" for t in longest_first)
-    pattern = rf"{known}[{CJK}]|[{WORD}&&[^{CJK}]]++"
+    other = rf"[{WORD}&&[^{CJK}]]"
+    whole = {True: "", False: f"(?!{other})"}  # no term ends inside a stretch
+    # A term without a CJK character is a stretch, which stays whole anyway.
+    mixed = [t for t in longest_first if re.search(f"[{_CJK_HERE}]", t)]
+    known = "".join(f"{re.escape(t)}{whole[bool(re.match(f'[{_CJK_HERE}]', t[-1]))]}|" for t in mixed)
+    pattern = rf"{known}[{CJK}]|{other}++"
 
     def words(text: Column) -> Column:
         found = F.regexp_extract_all(strip_noise(text), F.lit(pattern), F.lit(0))
@@ -170,6 +179,37 @@ def tokenize_whitespace(text: Column, min_len: int = S.MIN_WORD_LENGTH) -> Colum
     return F.coalesce(pieces, F.array().cast(T.ArrayType(T.StringType())))
 
 
+def word_runs(text: Column) -> Column:
+    """Maximal runs of word characters of cleaned text, whatever their scripts."""
+    return F.regexp_extract_all(strip_noise(text), F.lit(rf"[{WORD}]+"), F.lit(0))
+
+
+def mixed_runs(text: Column) -> Column:
+    """Those runs of word characters that hold a CJK character."""
+    pattern = rf"[{WORD}&&[^{CJK}]]*+[{CJK}][{WORD}]*+"
+    # A run without one would be tried again from each of its characters.
+    return F.when(
+        text.rlike(rf"[{CJK}]"),
+        F.regexp_extract_all(strip_noise(text), F.lit(rf"(?<![{WORD}]){pattern}"), F.lit(0)),
+    ).otherwise(F.array().cast(T.ArrayType(T.StringType())))
+
+
+ATOM = rf"(?:[{CJK}]|[{WORD}&&[^{CJK}]]++)"
+
+
+def atoms(run: Column) -> Column:
+    """What a run of word characters is made of: single CJK characters, and stretches
+    of other characters, which stay whole."""
+    return F.regexp_extract_all(run, F.lit(ATOM), F.lit(0))
+
+
+def atom_windows(run: Column, size: Column) -> Column:
+    """The ``size`` atoms from each atom on, where there are as many. One pass over the
+    run: a slice of an array per place would copy the whole array each time."""
+    pattern = F.concat(F.lit(f"(?=({ATOM}{{"), size.cast("string"), F.lit(f"}})){ATOM}"))
+    return F.regexp_extract_all(run, pattern, F.lit(1))
+
+
 def cjk_runs(text: Column) -> Column:
     """Maximal CJK runs of cleaned text."""
     return F.regexp_extract_all(strip_noise(text), F.lit(rf"[{CJK}]+"), F.lit(0))

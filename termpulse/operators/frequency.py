@@ -25,14 +25,15 @@ def word_frequency(
     content: str = "content",
     missing: str | None = S.UNKNOWN_DATE,
     terms: DataFrame | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """``date, word, n`` or ``word, n``; no posts or no words give no rows.
 
     Dates group as written; a missing date counts under ``missing``. With a table
-    ``terms`` (column ``term``) CJK runs are cut into its terms; posts then need
-    an ``id``. Counting
-    starts inside each task, so a word holding a third of all tokens reaches
-    the shuffle as one row per task.
+    ``terms`` (column ``term``) runs that hold CJK characters are cut into its terms,
+    by the longest match or, with ``weight`` (its column of frequencies), into the most
+    likely words; posts then need an ``id``. Counting starts inside each task, so a
+    word holding a third of all tokens reaches the shuffle as one row per task.
     """
     if by_date and "date" not in posts.columns:
         posts = posts.withColumn("date", F.lit(None).cast("string"))
@@ -41,7 +42,7 @@ def word_frequency(
     if terms is None:
         rows = word_rows(posts, keep, in_rows, min_len, cjk, tokenizer, content)
     else:
-        rows = segmented_rows(posts, terms, keep, in_rows, min_len, content=content)
+        rows = segmented_rows(posts, terms, keep, in_rows, min_len, content=content, weight=weight)
     counts = count_rows(rows, missing)
     # A stopword table meets the counts, not the far more numerous tokens.
     return remove_stopwords(counts, stopwords) if isinstance(stopwords, DataFrame) else counts

@@ -62,11 +62,13 @@ def hot_word_report(
     end_of_day: bool = False,
     max_samples: int | None = None,
     terms: DataFrame | None = None,
+    weight: str | None = None,
 ) -> HotWordReport:
     """Count, rank and score the words of a date range.
 
     Every post with a hot word is scored; ``max_samples`` scores a sample per word.
-    ``terms`` is a table of any size into whose terms CJK runs are cut.
+    ``terms`` is a table of any size into whose terms runs with CJK characters are cut,
+    by their frequencies if ``weight`` names a column of it.
 
     Raises ``ValueError`` for an unreadable bound; an empty range gives empty
     tables. The texts are read once to count words, once, when the hot words are
@@ -78,7 +80,7 @@ def hot_word_report(
     top_n = top_n or S.TOP_N
     posts = filter_by_date(posts, start, end, end_of_day=end_of_day, strict=True)
 
-    dated = freq.word_frequency(posts, True, stopwords, tokenizer=tokenizer, missing=None, terms=terms)
+    dated = freq.word_frequency(posts, True, stopwords, tokenizer=tokenizer, missing=None, terms=terms, weight=weight)
     dated = dated.persist(StorageLevel.MEMORY_AND_DISK)
     ranked = freq.top_words(freq.roll_up(dated), top_n)
 

@@ -38,6 +38,15 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return fs.makeQualified(path).toString()
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """A table written to the scratch folder and read back: what is built on it does not
+    work it out again, also after an executor is lost."""
+    spark = df.sparkSession
+    folder = new_folder(spark, label) + "/table"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def fits_broadcast(
     df: DataFrame, rows: int = S.BROADCAST_ROWS, size: int = S.BROADCAST_BYTES
 ) -> bool:

@@ -150,7 +150,7 @@ def walk(run, terms):
 
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_segmentation_against_a_walk(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(matching, "fits_broadcast", lambda df: broadcast)
+    monkeypatch.setattr(segment, "fits_broadcast", lambda df: broadcast)
     rng = random.Random(11)
     runs = sorted({"".join(rng.choice("天地玄黄宇") for _ in range(rng.randint(1, 40))) for _ in range(150)} | {"天" * 600})
     terms = sorted({"".join(rng.choice("天地玄黄宇") for _ in range(rng.choice([1, 2, 2, 3, 4, 5, 9]))) for _ in range(40)} | {"天天"})
