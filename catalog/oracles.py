@@ -403,6 +403,15 @@ SELECT "case", columns, (SELECT count(*) FROM posts) AS posts FROM (VALUES
         f"SELECT {present('date')}, {present('content')}, CAST(id % 4 AS INTEGER) AS label, "
         f"'{S.CUSTOM_SOURCE}' AS source FROM posts"
     )
+    sql["csv_split"] = sql["csv_custom"]
+    sql["csv_dropped"] = (
+        "SELECT '2020-01-01' AS date, 'post' AS content, CAST(doc_id AS INTEGER) AS label, "
+        f"'{S.CUSTOM_SOURCE}' AS source FROM documents WHERE doc_id % 7 <> 0"
+    )
+    sql["csv_rejected"] = (
+        "SELECT 'post,2020-01-01,' || CAST(doc_id AS VARCHAR) || ',one more' AS record, CAST(4 AS INTEGER) AS n_fields, "
+        "'more fields than the header' AS fault FROM documents WHERE doc_id % 7 = 0"
+    )
     sql["posts_by_day"] = _with(POSTS, RANGE) + (
         "SELECT id, strftime(try_cast(date AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS ts, "
         "strftime(try_cast(date AS TIMESTAMP), '%Y-%m-%d') AS day FROM ranged"

@@ -89,6 +89,34 @@ def csv_custom(spark, sf):
     return src.read_custom_posts(spark, _written_csv(posts, "custom")).drop("id")
 
 
+@query
+def csv_split(spark, sf):
+    """The same files, read by many tasks though fields hold line breaks."""
+    posts = V.posts(spark, sf).select("content", F.col("date").alias("时间"), (F.col("id") % 4).alias("label"))
+    return src.read_custom_posts(spark, _written_csv(posts, "split"), split=True).drop("id")
+
+
+def _csv_with_long_rows(spark, sf) -> str:
+    """A CSV file for each part of the documents; every seventh row has a field too many."""
+    more = F.when(F.col("doc_id") % 7 == 0, ",one more").otherwise("")
+    line = F.concat_ws(",", F.lit("post"), F.lit("2020-01-01"), F.col("doc_id").cast("string"))
+    folder = new_folder(spark, "long") + "/posts"
+    lines = V.documents(spark, sf).select(F.concat(line, more).alias("value"), F.lit(1).alias("at"))
+    names = spark.range(1).select(F.lit("content,date,label").alias("value"), F.lit(0).alias("at"))
+    lines.unionByName(names).repartition(1).sortWithinPartitions("at").select("value").write.text(folder)
+    return folder
+
+
+@query
+def csv_dropped(spark, sf):
+    return src.read_custom_posts(spark, _csv_with_long_rows(spark, sf), malformed="drop").drop("id")
+
+
+@query
+def csv_rejected(spark, sf):
+    return src.rejected_rows(spark, _csv_with_long_rows(spark, sf)).drop("file")
+
+
 @query
 def posts_by_day(spark, sf):
     """Posts stored by day, and a range of days read back."""

@@ -7,8 +7,10 @@ sentiment_label, source``, custom posts ``id, date, content, label, source``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,29 +62,213 @@ def _not_missing(name: str) -> Column:
     return F.when(~c.isin(*S.MISSING_TEXTS), c)
 
 
+_CSV = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+# One field after its comma; a quoted one may hold anything but a lone quote.
+_FIELD = r',(?:"(?:[^"]|"")*+"[^,]*|[^,]*)'
+_RECORD = "_record"
+FAIL, DROP = "fail", "drop"
+
+
+def _fields(record: Column) -> Column:
+    return F.size(F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(_FIELD), F.lit(0)))
+
+
+def _quotes(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
+
+
+def _fault(record: Column, names: Sequence[str]) -> Column:
+    """Why a record that does not fit is no row: null for one with too few fields, which
+    are missing values."""
+    return F.when(_fields(record) > len(names), "more fields than the header").when(
+        _quotes(record) % 2 == 1, "a quote that is not closed"
+    )
+
+
+def _touched(df: DataFrame) -> Column:
+    """Always true: Spark does not read the record alone, as a mere count would."""
+    return F.length(F.concat_ws("", F.col(f"`{df.columns[0]}`"))) >= 0
+
+
+def _accepted(df: DataFrame, names: Sequence[str], malformed: str) -> DataFrame:
+    """Rows without those that do not fit, or an error when one is read."""
+    touched = _touched(df)
+    if malformed not in (FAIL, DROP):
+        raise ValueError(f"malformed must be {FAIL!r} or {DROP!r}, not {malformed!r}")
+    record = F.col(_RECORD)
+    fault = F.when(record.isNotNull() & touched, _fault(record, names))
+    if malformed == DROP:
+        return df.where(fault.isNull())
+    message = F.concat(F.lit("malformed CSV row, "), fault, F.lit(": "), F.substring(record, 1, 200))
+    return df.where(F.when(fault.isNotNull(), F.raise_error(message).cast("boolean")).otherwise(True))
+
+
+def _raw_csv(
+    spark: SparkSession, paths: Sequence[str], multi_line: bool, encoding: str, base: str | None
+) -> tuple[DataFrame, list[str]]:
+    """All columns as text and, where the number of fields is not that of the header, the
+    record as it stands in the file; and the names of the columns of the file."""
+    reader = spark.read.option("basePath", base) if base else spark.read
+    common = {**_CSV, "header": True, "multiLine": multi_line, "encoding": encoding, "enforceSchema": False}
+    columns = reader.csv(list(paths), **common).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*columns, _RECORD)])
+    # Without all columns the parser would not see that a row has too many.
+    df = reader.option("columnPruning", False).csv(
+        list(paths), schema=schema, columnNameOfCorruptRecord=_RECORD, **common
+    )
+    folders = set(df.columns) - {f.name for f in _data_fields(df)}
+    return df, [c for c in columns if c not in folders]
+
+
+def _data_fields(df: DataFrame) -> list:
+    """Fields that stand in the files, without those that partition folders give."""
+    relation = df._jdf.queryExecution().analyzed().relation()
+    return list(T.StructType.fromJson(json.loads(relation.dataSchema().json())).fields)
+
+
 def _read_csv(
-    spark: SparkSession, paths: Sequence[str], multi_line: bool, encoding: str = "UTF-8", base: str | None = None
+    spark: SparkSession,
+    paths: Sequence[str],
+    multi_line: bool,
+    encoding: str = "UTF-8",
+    base: str | None = None,
+    malformed: str = FAIL,
 ) -> DataFrame:
     """All columns as text, missing markers as nulls, plus the row's position.
 
     Quoted fields may hold commas, doubled quotes and line breaks. Several files
     must share one header: Spark names columns by position, so a file with
     another header is an error when it is read. ``base`` is the folder below
-    which partition folders such as ``date=2020-01-01`` give columns.
+    which partition folders such as ``date=2020-01-01`` give columns. A row with
+    more fields than the header is an error when it is read, or left out
+    (``malformed="drop"``); missing fields at the end of a row are nulls.
     """
-    reader = spark.read.option("basePath", base) if base else spark.read
-    df = reader.csv(
-        list(paths), header=True, multiLine=multi_line, escape='"', encoding=encoding, enforceSchema=False,
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    )
+    df, names = _raw_csv(spark, paths, multi_line, encoding, base)
+    df = _accepted(df, names, malformed)
     return df.select(
-        *[_not_missing(c).alias(c) for c in df.columns],
+        *[_not_missing(c).alias(c) for c in df.columns if c != _RECORD],
         F.col("_metadata.file_path").alias(_FILE),
         F.col("_metadata.file_block_start").alias(_BLOCK),
         F.monotonically_increasing_id().alias(_ROW),
     )
 
 
+def rejected_rows(spark: SparkSession, path: str, multi_line: bool = True, encoding: str = "UTF-8") -> DataFrame:
+    """``file, record, n_fields, fault`` of the CSV rows that ``malformed="drop"`` leaves out.
+
+    The readers fail on the first of them by default; this table tells which they are,
+    to be counted or kept aside.
+    """
+    _existing(spark, path)
+    df, names = _raw_csv(spark, [path], multi_line, encoding, None)
+    record = F.regexp_replace(_RECORD, r"[\r\n]+\z", "")
+    found = df.where(F.col(_RECORD).isNotNull() & _touched(df)).select(
+        F.col("_metadata.file_path").alias("file"), record.alias("record"), _fields(record).alias("n_fields"), _fault(record, names).alias("fault")
+    )
+    return found.where(F.col("fault").isNotNull())
+
+
+# --- CSV records that span lines, read by many tasks ---------------------------------
+
+
+def _splits(lines: DataFrame) -> DataFrame:
+    """``_split, _open, _from``: of each byte range whether it starts inside a quoted
+    field, and the range in which that record began.
+
+    Only one row per range is summed, file by file: the number of quotes tells whether
+    a field is open at its end.
+    """
+    odd = _quotes(F.col("value")) % 2
+    found = lines.groupBy(_FILE, _BLOCK).agg(F.sum(odd).alias("_odd"))
+    before = Window.partitionBy(_FILE).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("_open", F.coalesce(F.sum("_odd").over(before), F.lit(0)) % 2 == 1)
+    # A range without an odd line that starts inside a record lies inside it as a whole.
+    begins = F.when(~F.col("_open") | (F.col("_odd") > 0), F.col(_BLOCK))
+    found = found.withColumn("_begins", begins).withColumn("_from", F.last("_begins", ignorenulls=True).over(before))
+    return found.select(F.xxhash64(_FILE, _BLOCK).alias("_split"), "_open", "_from")
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """``_file, _block, _row, part, text``: the records that begin in each byte range, in
+    order; pieces of a record that goes on in another range have its number in ``part``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [_FILE, _BLOCK, _ROW, "part", "text"]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        now, row, waiting, head = None, 0, [], False
+        out: list[tuple] = []
+
+        def closed():
+            """The range ends: what is open goes on elsewhere."""
+            if waiting:
+                out.append((now[0], start if head else now[1], None if head else row, now[1], "\n".join(waiting)))
+
+        for batch in batches:
+            for file, block, opened, begun, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (file, block):
+                    if now is not None:
+                        closed()
+                    now, row, waiting, head, start = (file, block), 0, [], opened, begun
+                    inside = opened
+                    if block == 0:
+                        line = line.removeprefix("\ufeff")
+                if not inside and not line.strip():
+                    continue  # a blank line is no record
+                waiting.append(line)
+                inside ^= line.count('"') % 2 == 1
+                if not inside:
+                    text = "\n".join(waiting)
+                    out.append((file, start, None, block, text) if head else (file, block, row, None, text))
+                    row += not head
+                    waiting, head = [], False
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                out = []
+        if now is not None:
+            closed()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    keyed = lines.withColumn("_split", F.xxhash64(_FILE, _BLOCK))
+    # Two values per byte range, as for the ids.
+    known = keyed.join(F.broadcast(_splits(lines)), "_split").select(_FILE, _BLOCK, "_open", "_from", "value")
+    return known.mapInArrow(run, f"{_FILE} string, {_BLOCK} long, {_ROW} long, part long, text string")
+
+
+def _read_split_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Like ``_read_csv``, but for files too big for one task each, in UTF-8.
+
+    Files are read line by line in byte ranges. Whether a line starts inside a quoted
+    field follows from the parity of the quotes before it, summed over ranges; lines
+    become records in the task that reads them, and only records that cross a range's
+    end are put together by a shuffle. Quotes must stand as the format has them: around
+    fields, doubled inside.
+    """
+    names = spark.read.csv(path, header=True, multiLine=True, **_CSV).columns
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.file_block_start").alias(_BLOCK)
+    )
+    found = _records(lines)
+    pieces = found.where("part IS NOT NULL").groupBy(_FILE, _BLOCK).agg(
+        F.max(_ROW).alias(_ROW), F.array_join(F.sort_array(F.collect_list(F.struct("part", "text")))["text"], "\n").alias("text")
+    )
+    whole = found.where("part IS NULL").select(_FILE, _BLOCK, _ROW, "text").unionByName(pieces)
+    # Like Spark's reader in files with such line ends.
+    bare = F.replace(F.regexp_replace("text", r"\r\z", ""), F.lit("\r\n"), F.lit("\n"))
+    whole = whole.withColumn("text", F.when(F.endswith(F.col("text"), F.lit("\r")), bare).otherwise(F.col("text")))
+    schema = T.StructType([T.StructField(f"f{k}", T.StringType()) for k in range(len(names))])
+    options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in _CSV.items()}
+    rows = whole.withColumn("f", F.from_csv("text", schema.simpleString()[7:-1].replace(":", " "), options))
+    # The first record of each file names the columns, as in the other files.
+    header = (F.col(_BLOCK) == 0) & (F.col(_ROW) == 0)
+    same = F.array(*[F.coalesce(F.col(f"f.f{k}"), F.lit("")) for k in range(len(names))]) == F.array(*map(F.lit, names))
+    other = F.concat(F.lit("another header: "), F.substring("text", 1, 200))
+    rows = rows.where(F.when(header & ~same, F.raise_error(other).cast("boolean")).otherwise(~header))
+    rows = _accepted(rows.withColumn(_RECORD, F.col("text")), names, FAIL)
+    fields = [F.when(~F.col(f"f.f{k}").isin(*S.MISSING_TEXTS), F.col(f"f.f{k}")).alias(c) for k, c in enumerate(names)]
+    return rows.select(*fields, *_POSITION)
+
+
 def _existing(spark: SparkSession, path: str) -> None:
     try:
         spark.read.text(path)
@@ -171,34 +357,53 @@ def normalize_custom(df: DataFrame) -> DataFrame:
     return _ordered(df, CUSTOM_COLUMNS)
 
 
-def read_labelled_posts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_labelled_posts(
+    spark: SparkSession, path: str, multi_line: bool = True, malformed: str = FAIL, split: bool = False
+) -> DataFrame:
     """Labelled posts from one CSV file or a directory of them.
 
-    Fields may hold line breaks, which ties each file to one task. Where they
-    never do, ``multi_line=False`` lets big files be read in splits.
+    Fields may hold line breaks, which ties each file to one task, unless ``split`` has
+    big files read by many tasks. Where fields never hold any, ``multi_line=False`` lets
+    files be read in splits, too. A row with more fields than the header fails the read;
+    with ``malformed="drop"`` it is left out, and ``rejected_rows`` shows it.
     """
     _existing(spark, path)
-    raw = _read_csv(spark, [path], multi_line)
+    raw = _read_by(spark, [path], multi_line, malformed, split)
     return _ordered(with_sequential_id(normalize_labelled(raw)), LABELLED_COLUMNS)
 
 
+def _read_by(
+    spark: SparkSession, paths: Sequence[str], multi_line: bool, malformed: str, split: bool, base: str | None = None
+) -> DataFrame:
+    if not split:
+        return _read_csv(spark, paths, multi_line, base=base, malformed=malformed)
+    if malformed != FAIL or base or len(paths) > 1:
+        raise ValueError("split reading takes UTF-8 files of one path and fails on malformed rows")
+    return _read_split_csv(spark, paths[0])
+
+
 def read_custom_posts(
-    spark: SparkSession, path: str, multi_line: bool = True, utf8: bool = False
+    spark: SparkSession,
+    path: str,
+    multi_line: bool = True,
+    utf8: bool = False,
+    malformed: str = FAIL,
+    split: bool = False,
 ) -> DataFrame:
     """Custom posts from CSV in UTF-8 (with or without BOM) or GBK.
 
     A directory may mix both encodings, and hold partition folders. GBK files are
     staged once as parquet in the shared scratch folder, because Spark's GBK
     support hangs on a session setting, which is set in a session of its own.
-    ``utf8=True`` vouches for UTF-8 and saves the pass that checks it; for
-    ``multi_line`` see ``read_labelled_posts``.
+    ``utf8=True`` vouches for UTF-8 and saves the pass that checks it; for the other
+    options see ``read_labelled_posts``.
     """
     _existing(spark, path)
     as_utf8, as_gbk = ([path], []) if utf8 else split_by_charset(spark, path)
     base = path if as_gbk and _is_folder(spark, path) else None
-    parts = [_read_csv(spark, as_utf8, multi_line, base=base)] if as_utf8 else []
+    parts = [_read_by(spark, as_utf8, multi_line, malformed, split, base)] if as_utf8 else []
     if as_gbk:
-        parts.append(_stage_gbk(spark, as_gbk, multi_line, base))
+        parts.append(_stage_gbk(spark, as_gbk, multi_line, base, malformed))
     if not parts:
         raise ValueError(f"no CSV data in {path}")
     parts = [normalize_custom(p) for p in parts]
@@ -244,11 +449,11 @@ def split_by_charset(spark: SparkSession, path: str) -> tuple[list[str], list[st
     return utf8, other
 
 
-def _stage_gbk(spark: SparkSession, paths: Sequence[str], multi_line: bool, base: str | None) -> DataFrame:
+def _stage_gbk(spark: SparkSession, paths: Sequence[str], multi_line: bool, base: str | None, malformed: str) -> DataFrame:
     target = f"{new_folder(spark, 'gbk')}/posts"
     own = spark.newSession()  # the same cluster, other settings
     own.conf.set("spark.sql.legacy.javaCharsets", "true")
-    _read_csv(own, paths, multi_line, "GBK", base).write.parquet(target)
+    _read_csv(own, paths, multi_line, "GBK", base, malformed).write.parquet(target)
     return spark.read.parquet(target)
 
 
