@@ -501,6 +501,10 @@ priced AS MATERIALIZED (
 
     # counts and rankings
     sql["word_freq_by_date"] = _with(POSTS, _dated()) + "SELECT date, word, n FROM dated"
+    sql["stored_word_counts"] = _with(POSTS, _dated()) + (
+        "SELECT strftime(try_cast(date AS TIMESTAMP), '%Y-%m-%d') AS day, word, CAST(sum(n) AS BIGINT) AS n "
+        "FROM dated WHERE try_cast(date AS TIMESTAMP) IS NOT NULL GROUP BY 1, 2"
+    )
     sql["word_freq_total"] = _with(POSTS, _total()) + "SELECT word, n FROM total"
     sql["word_freq_rollup"] = sql["word_freq_total"]
     sql["word_freq_empty"] = _with(POSTS, EMPTY, _dated("nothing")) + "SELECT date, word, n FROM dated"
@@ -610,6 +614,7 @@ weighted AS (
   SELECT id, word, round_even(tf::DOUBLE / n * ln(
       ((SELECT count(*) FROM posts WHERE content IS NOT NULL AND content <> '') + 1)::DOUBLE / (df + 1)), 6) AS weight
   FROM tf JOIN lens USING (id) JOIN df USING (word))"""
+    sql["nb_loaded"] = sql["nb_score"]
     sql["keywords_tfidf"] = _with(POSTS, _tokens(), tf_idf) + _TOP_K
     sql["keywords_tfidf_whitespace"] = _with(POSTS, pieces, tf_idf) + _TOP_K
     sql["keywords_textrank"] = _textrank()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,13 +14,14 @@ from termpulse import settings as S
 from termpulse.functions import text as X
 from termpulse.functions.dates import parse_timestamp
 from termpulse.functions.python import python_tokenizer
-from termpulse.operators import bayes, filters, keywords, newwords, segment, tokens
+from termpulse.operators import bayes, filters, keywords, models, newwords, segment, tokens
 from termpulse.operators import frequency as freq
 from termpulse.operators import sentiment as sent
 from termpulse.operators.matching import word_post_matches
 from termpulse.plans.drilldown import word_trend
 from termpulse.plans.report import hot_word_report
 from termpulse.plans.summary import corpus_summary, date_range
+from termpulse.sinks import counts as stored_counts
 from termpulse.sinks.posts import write_posts
 from termpulse.sinks.reports import report_table, trend_file_name, trend_table, write_report, write_trend
 from termpulse.sources import posts as src
@@ -350,6 +352,19 @@ def _total(spark, sf) -> DataFrame:
     return freq.word_frequency(V.posts(spark, sf), False, V.STOPWORDS)
 
 
+@query
+def stored_word_counts(spark, sf):
+    """Counts per day from a store: all days, then the days of a range once more."""
+    folder = new_folder(spark, "counts")
+    write_posts(V.posts(spark, sf).select("id", "date", "content"), f"{folder}/posts")
+    posts = spark.read.parquet(f"{folder}/posts")
+    stored_counts.update_counts(posts, f"{folder}/words", stopwords=V.STOPWORDS)
+    first = dt.date.fromisoformat(V.START)
+    stored_counts.update_counts(posts, f"{folder}/words", [first + dt.timedelta(k) for k in range(7)], V.STOPWORDS)
+    found = stored_counts.read_counts(spark, f"{folder}/words")
+    return found.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "word", "n")
+
+
 @query
 def word_freq_by_date(spark, sf):
     return _dated(spark, sf)
@@ -549,6 +564,17 @@ def nb_score(spark, sf):
     return bayes.predict(V.posts(spark, sf), model, V.STOPWORDS)
 
 
+@query
+def nb_loaded(spark, sf):
+    """Scores by a stored model, loaded in a session of its own."""
+    folder = new_folder(spark, "model") + "/bayes"
+    model = bayes.train(V.labelled_posts(spark, sf), stopwords=V.STOPWORDS)
+    models.save_bayes(model, folder, V.STOPWORDS)
+    model.table.release()
+    own = spark.newSession()
+    return bayes.predict(V.posts(own, sf), models.load_bayes(own, folder, V.STOPWORDS), V.STOPWORDS)
+
+
 # --- keywords ---------------------------------------------------------------------------
 
 
