@@ -194,17 +194,33 @@ def test_repeated_passages(make_docs, group):
     assert total == Counter({i: n for i, (_, n, _) in expected.items() if n})
 
 
-@pytest.mark.parametrize("entries", [500_000, 3])
-def test_exact_copies(make_docs, entries):
+@pytest.mark.parametrize("entries, bits", [(500_000, 64), (3, 64), (3, 6), (500_000, 1)])
+def test_exact_copies(make_docs, entries, bits):
     rows = some_texts(6) + [(900, "AÉ"), (901, "aÉ"), (902, "aé")]
     groups = defaultdict(list)
     for i, t in rows:
         groups["".join(c.lower() if c.isascii() else c for c in t)].append(i)
-    found = exact_dedup.find_copies(make_docs(rows), bucket_entries=entries).collect()
+    found = exact_dedup.find_copies(make_docs(rows), bucket_entries=entries, hash_bits=bits).collect()
     assert {r.doc_id: (r.keep_id, r.group_size) for r in found} == {i: (max(g), len(g)) for g in groups.values() for i in g}
     by_bucket = Counter({(r.bucket, r.keep_id) for r in found})
-    if entries == 3:
+    if entries == 3 and bits == 64:
         assert max(Counter(b for b, _ in by_bucket).values()) <= 3 and len({b for b, _ in by_bucket}) > 20
+    # Texts that share a hash are told apart in its chain.
+    assert (max(r.chain for r in found) > 1) == (bits < 64)
+    if bits == 1:
+        assert len({(r.bucket, r.chain) for r in found}) < len(groups) == len({(r.keep_id, r.chain) for r in found})
+
+
+def test_owners_decide(make_docs):
+    """Copies, also of a hot text, meet in the task that owns their bucket; nothing is
+    shuffled between routing and the written entry but what goes to the owner."""
+    rows = exact_dedup.keyed(make_docs([(i, "hot" if i % 3 else f"text {i}") for i in range(300)]))
+    placed = rows.withColumn("_bucket", F.col("_hash") % 2)
+    entries = exact_dedup.owned_entries(placed)
+    assert sorted((r._size, r._keep) for r in entries.collect())[-1] == (200, 299)
+    exchanges = [line for line in entries._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert [("REPARTITION_BY_COL" in e) for e in exchanges[-2:]] == [True, False]
+    assert "_text" in exchanges[-1] and "_text" not in exchanges[-2].split("(")[1] and len(exchanges) == 2
 
 
 QUESTION = "A train leaves Boston at 3 pm and travels 120 km in 2 hours, so how fast does it go, Alice asks Bob today."
