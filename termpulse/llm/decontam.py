@@ -17,13 +17,17 @@
    at ``LEAK_WINDOWS`` different positions of the item (13 tokens in a row), or at
    all positions of a shorter item. Repeats of a phrase, and phrases scattered over
    the text, do not add up.
+5. An item of fewer than ``WINDOW`` tokens may be an everyday phrase. It counts only with
+   a second sign: it makes up at least ``SHORT_SHARE`` of the document's tokens, or the
+   document holds another item that counts by itself.
 
 Nothing is grouped by window: a window that a third of all documents share costs a
 row per document.
 
 Defined cases: a null or empty text has no windows and stays; an item with fewer
-than ``MIN_TOKENS`` tokens has leaked into a document that is, or has a line that is,
-these tokens and nothing else; an item whose windows are all poor in words is found
+than ``MIN_TOKENS`` tokens is looked for in texts that are, or have a line that is,
+these tokens and nothing else; a long text is one value of a row, as are its tokens, and
+gives a row per window that meets the benchmark; an item whose windows are all poor in words is found
 by its exact tokens only; scripts written without spaces have a token per character;
 an item without tokens is not looked for; rows that
 repeat an id are one document; rows without an id stay; an empty table gives an
@@ -42,6 +46,7 @@ MIN_LITERALS = 5
 MIN_TOKENS = 4
 LEAK_WINDOWS = 6
 SHIFT = 8
+SHORT_SHARE = 0.5
 
 # --- fixed values: placeholders, from the private-use area, and units ------------
 NUMBER, NAME, UNIT = "\ue001", "\ue002", "\ue003"
@@ -78,10 +83,11 @@ def plain(tokens: Column) -> Column:
 
 
 def windows(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
-    """``key, length, pos, hash, slots, exact, rich``: every window of the given
+    """``key, total, length, pos, hash, slots, exact, rich``: every window of the given
     lengths, by its template if that is ``rich`` in words, and by its exact tokens
     if they differ from the template. ``slots`` holds the values in a template, and
-    is null without any; ``exact`` tells that the hash stands for the tokens."""
+    is null without any; ``exact`` tells that the hash stands for the tokens; ``total``
+    is the number of tokens of the row."""
     kinds = F.transform("_tokens", lambda t: F.xxhash64(F.when(is_slot(t), F.substring(t, 1, 1)).otherwise(t)))
     rows = rows.withColumn("_kinds", kinds).withColumn("_any", F.exists("_tokens", is_slot))
     rows = rows.withColumn("_plain", F.when(F.col("_any"), F.transform(plain(F.col("_tokens")), lambda t: F.xxhash64(t))))
@@ -99,7 +105,8 @@ def windows(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
         enough = F.size("_tokens") >= length
         return F.when(enough, F.transform(F.sequence(F.lit(1), F.size("_tokens") - length + 1), window))
 
-    parts = [rows.select(key, F.explode(of(n)).alias("w")).select(key, F.lit(n).alias("length"), "w.*") for n in lengths]
+    total = F.size("_tokens").alias("total")
+    parts = [rows.select(key, total, F.explode(of(n)).alias("w")).select(key, "total", F.lit(n).alias("length"), "w.*") for n in lengths]
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
@@ -109,19 +116,20 @@ def windows(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
     by_tokens = F.struct(F.col("plain").alias("hash"), F.lit(None).cast(found.schema["slots"].dataType).alias("slots"), F.lit(True).alias("exact"))
     # A window without placeholders is the same in both.
     forms = F.when(n_slots == 0, F.array(by_template)).when(rich, F.array(by_template, by_tokens)).otherwise(F.array(by_tokens))
-    found = found.select(key, "length", "pos", rich.alias("rich"), F.explode(forms).alias("f"))
-    return found.select(key, "length", "pos", "f.hash", "f.slots", "f.exact", "rich")
+    found = found.select(key, "total", "length", "pos", rich.alias("rich"), F.explode(forms).alias("f"))
+    return found.select(key, "total", "length", "pos", "f.hash", "f.slots", "f.exact", "rich")
 
 
 def _short_leaks(docs: DataFrame, items: DataFrame, text: Column) -> DataFrame:
-    """``_id, _item, windows, n_slots, changed`` for items of a few tokens: each is
-    compared with whole lines and whole texts."""
+    """``_id, _item, _total, _length, windows, n_slots, changed`` for items of a few
+    tokens: each is compared with whole lines and whole texts."""
     passages = F.explode(F.array_append(F.split(text, r"\R"), text))
-    lines = docs.select("_id", passages.alias("_line")).select("_id", plain(tokens(F.col("_line"))).alias("_words"))
+    lines = docs.select("_id", F.size(tokens(text)).alias("_total"), passages.alias("_line"))
+    lines = lines.select("_id", "_total", plain(tokens(F.col("_line"))).alias("_words"))
     asked = items.select("_item", plain(F.col("_tokens")).alias("_words")).distinct()
     lines = lines.filter(F.size("_words").between(1, MIN_TOKENS - 1))
-    met = lines.join(broadcast_if_small(asked), "_words").select("_id", "_item").distinct()
-    return met.select("_id", "_item", F.lit(1).cast("long").alias("windows"), F.lit(0).alias("n_slots"), F.lit(False).alias("changed"))
+    met = lines.join(broadcast_if_small(asked), "_words").select("_id", "_item", "_total", F.size("_words").alias("_length")).distinct()
+    return met.select("_id", "_item", "_total", "_length", F.lit(1).cast("long").alias("windows"), F.lit(0).alias("n_slots"), F.lit(False).alias("changed"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -137,24 +145,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     wanted = asked[0]
     for more in asked[1:]:
         wanted = wanted.unionByName(more)
-    wanted = wanted.toDF("_item", "length", "_at", "hash", "_values", "_exact", "_rich").dropDuplicates(["_item", "length", "_at", "_exact"])
+    wanted = wanted.drop("total").toDF("_item", "length", "_at", "hash", "_values", "_exact", "_rich").dropDuplicates(["_item", "length", "_at", "_exact"])
     # By templates an item needs its windows rich in words, by its tokens any.
     rich_at = F.when(F.col("_rich"), F.col("_at"))
     needed = wanted.groupBy("_item").agg(
         F.least(F.count_distinct(rich_at), F.lit(LEAK_WINDOWS)).alias("_need_rich"),
         F.least(F.count_distinct("_at"), F.lit(LEAK_WINDOWS)).alias("_need"),
+        F.max("length").alias("_length"),
     )
 
     rows = docs.filter(F.col(id_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("_id"), tokens(F.coalesce(F.col(text_col), empty)).alias("_tokens"))
     asked = wanted.withColumnRenamed("_exact", "exact")
     met = windows(rows, "_id", lengths).drop("rich").join(broadcast_if_small(asked), ["length", "hash", "exact"])
-    met = met.select("_id", "_item", "_at", "_rich", "exact", (F.col("pos") - F.col("_at")).alias("_offset"), "slots", "_values")
+    met = met.select("_id", "total", "_item", "_at", "_rich", "exact", (F.col("pos") - F.col("_at")).alias("_offset"), "slots", "_values")
     met = met.dropDuplicates(["_id", "_item", "_offset", "_at", "exact"])
     # A place has at most as many rows as its item has windows.
     pairs = F.transform(F.arrays_zip(F.col("_values").alias("b"), F.col("slots").alias("d")), lambda p: F.struct(p["b"].alias("b"), p["d"].alias("d")))
     seen = met.groupBy("_id", "_item", "_offset").agg(
-        F.collect_list(F.struct("_at", "_rich", "exact")).alias("_ats"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("_pairs")
+        F.min("total").alias("_total"), F.collect_list(F.struct("_at", "_rich", "exact")).alias("_ats"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("_pairs")
     )
     values = F.array_distinct(F.transform("_pairs", lambda p: p["b"]))
     # Where slots are inconsistent, windows that agree token by token still count.
@@ -163,6 +172,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         "_id",
         "_item",
         "_offset",
+        "_total",
         F.when(consistent, F.col("_ats")).otherwise(F.filter("_ats", lambda a: a["exact"])).alias("_ats"),
         F.when(consistent, F.size("_pairs")).otherwise(0).alias("_slots"),
         (consistent & F.exists("_pairs", lambda p: p["b"] != p["d"])).alias("_changed"),
@@ -172,6 +182,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     occurrences = seen.select(
         "_id",
         "_item",
+        F.min("_total").over(near).alias("_total"),
         ats.alias("_ats"),
         F.max("_slots").over(near).alias("_slots"),
         F.max("_changed").over(near).alias("_changed"),
@@ -183,6 +194,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     occurrences = occurrences.select(
         "_id",
         "_item",
+        "_total",
         positions(lambda a: a["_rich"]).alias("_rich"),
         positions(lambda a: a["exact"]).alias("_exact"),
         positions(lambda a: F.lit(True)).alias("_windows"),
@@ -190,12 +202,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         "_changed",
     )
     leaks = occurrences.join(broadcast_if_small(needed), "_item").filter("(_need_rich > 0 AND _rich >= _need_rich) OR _exact >= _need").groupBy("_id", "_item").agg(
-        F.max("_windows").alias("windows"), F.max("_slots").alias("n_slots"), F.max("_changed").alias("changed")
+        F.min("_total").alias("_total"), F.max("_length").alias("_length"), F.max("_windows").alias("windows"), F.max("_slots").alias("n_slots"), F.max("_changed").alias("changed")
     )
     if found and found[0] < MIN_TOKENS:
         texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), empty).alias("_t"))
         leaks = leaks.unionByName(_short_leaks(texts, items.filter(F.col("_length") < MIN_TOKENS), F.col("_t")))
-        leaks = leaks.groupBy("_id", "_item").agg(*(F.max(c).alias(c) for c in ("windows", "n_slots", "changed")))  # ids of items may repeat
+        worst = (F.max(c).alias(c) for c in ("_length", "windows", "n_slots", "changed"))
+        leaks = leaks.groupBy("_id", "_item").agg(F.min("_total").alias("_total"), *worst)  # ids of items may repeat
+    if found and found[0] < WINDOW:
+        alone = (F.col("_length") == WINDOW) | (F.col("_length") >= SHORT_SHARE * F.col("_total"))
+        leaks = leaks.withColumn("_alone", alone).withColumn("_any", F.max("_alone").over(Window.partitionBy("_id"))).filter("_any")
     return leaks.select(F.col("_id").alias(id_col), F.col("_item").alias("item"), "windows", "n_slots", "changed")
 
 

@@ -218,9 +218,9 @@ def test_owners_decide(make_docs):
     placed = rows.withColumn("_bucket", F.col("_hash") % 2)
     entries = exact_dedup.owned_entries(placed)
     assert sorted((r._size, r._keep) for r in entries.collect())[-1] == (200, 299)
-    exchanges = [line for line in entries._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
-    assert [("REPARTITION_BY_COL" in e) for e in exchanges[-2:]] == [True, False]
-    assert "_text" in exchanges[-1] and "_text" not in exchanges[-2].split("(")[1] and len(exchanges) == 2
+    plan = entries._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    owners, slices = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert "REPARTITION_BY_COL" in owners and "_text" not in owners and "_text" in slices
 
 
 QUESTION = "A train leaves Boston at 3 pm and travels 120 km in 2 hours, so how fast does it go, Alice asks Bob today."
@@ -292,6 +292,21 @@ def test_items_poor_in_words_and_short_items(spark, make_docs):
     assert found == {(0, 1), (1, 2), (2, 3), (3, 4)}
 
 
+def test_everyday_phrases_need_a_second_sign(spark, make_docs):
+    items = [(1, "Python"), (2, "the answer is yes"), (3, QUESTION)]
+    texts = [
+        "Languages we use\nPython\nJava\nand some others that came later",
+        "I asked them twice and they think that the answer is yes but nobody knows for sure",
+        "The answer is yes.",
+        "Python",
+        QUESTION + "\nPython\nand some more words, the answer is yes, on top of it all",
+        "a\nPython\nlist, and they think that the answer is yes but nobody knows",
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item) for r in decontam.find_leaks(make_docs(list(enumerate(texts))), bench).collect()}
+    assert found == {(2, 2), (3, 1), (4, 1), (4, 2), (4, 3)}
+
+
 def test_languages_of_held_out_documents(spark, sf):
     docs = table(spark, sf, "documents")
     # Without the declaration and the host of every other document the text must do.
