@@ -654,4 +654,16 @@ UNION ALL SELECT chr(65279) || '{S.TREND_HEADERS[0]},{S.TREND_HEADERS[1]}'"""
     sql["export_report_file"] = stats + f"""
 SELECT {" || ',' || ".join(cells)} AS line FROM stats
 UNION ALL SELECT chr(65279) || '{','.join(S.REPORT_HEADERS)}'"""
+    # What is read from stored tables has the rows of a scan.
+    for name, same in {
+        "corpus_summary_stored": "corpus_summary",
+        "date_range_stored": "date_range",
+        "word_trend_indexed": "word_trend",
+        "word_context_indexed": "word_context",
+        "cube_distribution": "sentiment_distribution",
+        "cube_word_sentiment": "word_sentiment",
+        "cube_word_sentiment_by_date": "word_sentiment_by_date",
+        "cube_top_words_sentiment": "top_words_sentiment",
+    }.items():
+        sql[name] = sql[same]
     return sql

@@ -20,8 +20,10 @@ from termpulse.operators import sentiment as sent
 from termpulse.operators.matching import word_post_matches
 from termpulse.plans.drilldown import word_trend
 from termpulse.plans.report import hot_word_report
-from termpulse.plans.summary import corpus_summary, date_range
+from termpulse.plans.summary import corpus_summary, date_range, stored_date_range, stored_summary
 from termpulse.sinks import counts as stored_counts
+from termpulse.sinks import cube as stored_cube
+from termpulse.sinks.index import posts_with, write_index
 from termpulse.sinks.posts import write_posts
 from termpulse.sinks.reports import report_table, trend_file_name, trend_table, write_report, write_trend
 from termpulse.sources import posts as src
@@ -677,3 +679,67 @@ def export_report_file(spark, sf):
     path = f"{new_folder(spark, 'report')}/report.csv"
     write_report(report(spark, sf).words, path)
     return _lines(spark, path)
+
+
+# --- stored tables -----------------------------------------------------------------
+
+
+def _stored_posts(spark, sf) -> str:
+    folder = f"{new_folder(spark, 'posts')}/table"
+    write_posts(V.posts(spark, sf), folder)
+    return folder
+
+
+@query
+def corpus_summary_stored(spark, sf):
+    return stored_summary(spark, _stored_posts(spark, sf))
+
+
+@query
+def date_range_stored(spark, sf):
+    return stored_date_range(spark, _stored_posts(spark, sf)).select(_moment("first_ts"), _moment("last_ts"))
+
+
+def _indexed(spark, sf, word: str) -> DataFrame:
+    folder = f"{new_folder(spark, 'index')}/table"
+    write_index(V.posts(spark, sf), folder)
+    return posts_with(spark, folder, word)
+
+
+@query
+def word_trend_indexed(spark, sf):
+    return word_trend(_indexed(spark, sf, TREND_WORD), TREND_WORD, V.START, V.END, V.LEXICON).marked()
+
+
+@query
+def word_context_indexed(spark, sf):
+    return filters.word_context(_indexed(spark, sf, "scum"), "scum", 10).select("id", "content")
+
+
+def _cube(spark, sf, words) -> DataFrame:
+    folder = f"{new_folder(spark, 'cube')}/table"
+    stored_cube.write_cube(stored_cube.sentiment_cube(V.posts(spark, sf), words, V.LEXICON), folder)
+    return stored_cube.read_cube(spark, folder)
+
+
+@query
+def cube_distribution(spark, sf):
+    return stored_cube.distribution(_cube(spark, sf, V.WORDS))
+
+
+@query
+def cube_word_sentiment(spark, sf):
+    asked = spark.createDataFrame([(w,) for w in V.WORDS], "word string")
+    return stored_cube.words_sentiment(_cube(spark, sf, V.WORDS), asked)
+
+
+@query
+def cube_word_sentiment_by_date(spark, sf):
+    return stored_cube.words_sentiment_by_date(_cube(spark, sf, V.WORDS))
+
+
+@query
+def cube_top_words_sentiment(spark, sf):
+    ranked = freq.top_words(freq.word_frequency(V.posts(spark, sf), False, V.STOPWORDS))
+    words = ranked.select("word", F.col("n").alias("word_count"))
+    return stored_cube.words_sentiment(_cube(spark, sf, words), words)

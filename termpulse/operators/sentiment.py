@@ -83,8 +83,13 @@ def sentiment_distribution(scored: DataFrame) -> DataFrame:
         F.coalesce(F.sum("cents"), F.lit(0)).alias("cents"),
         *[F.count_if(F.col("sentiment") == c).alias(c) for c in classes],
     )
+    return distribution_of_sums(one)
+
+
+def distribution_of_sums(one: DataFrame) -> DataFrame:
+    """The distribution from one row ``total, cents`` and a count per class."""
     long = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("sentiment"), F.col(c).alias("n")) for c in classes])
+        F.array(*[F.struct(F.lit(c).alias("sentiment"), F.col(c).alias("n")) for c in S.SENTIMENT_TITLES])
     )
     return one.select("total", "cents", long.alias("c")).select(
         "c.sentiment",
@@ -134,6 +139,12 @@ def word_sentiment(
     else:
         totals = hits.groupBy("word").agg(F.count(F.lit(1)).alias("total_count"))
         sums = totals.join(sums, "word", "left")
+    return word_sentiment_of_sums(sums, words)
+
+
+def word_sentiment_of_sums(sums: DataFrame, words: DataFrame) -> DataFrame:
+    """Sentiment of each word from ``word, total_count`` and the sums ``_n, _cents`` and a
+    count per class."""
     zero = F.lit(0).cast("bigint")
     n, cents, pos, neg, neu = (
         F.coalesce(F.col(c), zero) for c in ("_n", "_cents", "_positive", "_negative", "_neutral")

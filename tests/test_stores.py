@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from termpulse.functions.text import lexicon_tokenizer, tokenize_whitespace
 from termpulse.operators import bayes, keywords, models
-from termpulse.sinks import counts
+from termpulse.operators import sentiment as sent
+from termpulse.plans.summary import corpus_summary, date_range, stored_date_range, stored_days, stored_summary
+from termpulse.sinks import counts, cube
 from termpulse.sinks.posts import write_posts
 
 
@@ -123,3 +125,64 @@ def test_a_failed_update_leaves_the_counts_before(spark, tmp_path, monkeypatch):
     assert listed(counts.read_counts(spark, folder)) == [("2024-01-01", "changed", 2)]
     with pytest.raises(models.ModelMismatch):
         counts.update_counts(posts, folder, stopwords=["apple"])
+
+
+def dated_posts(spark):
+    rows = [
+        (1, "2024-01-02 10:00", "good fine day"), (2, "2024-01-02", "bad day"), (3, "2024-01-05 23:59:59", None),
+        (4, "2024-01-03", ""), (5, "never", "fine bad day"), (6, None, "fine"), (7, "2024-01-01 00:00:01", "day day 天气"),
+    ]
+    return spark.createDataFrame(rows, "id long, date string, content string")
+
+
+LEXICON = (["good", "fine"], ["bad"])
+
+
+@pytest.mark.parametrize("inline", [500, 2])
+@pytest.mark.parametrize("empty", [False, True])
+def test_cube_gives_the_rows_of_a_scan(spark, tmp_path, monkeypatch, inline, empty):
+    posts = dated_posts(spark).where(F.lit(not empty))
+    words = ["day", "fine", "天", "nothing", "day"]
+    monkeypatch.setattr(sent.S, "INLINE_WORDS", inline)
+    folder = str(tmp_path / "cube")
+    cube.write_cube(cube.sentiment_cube(posts, words, LEXICON), folder)
+    stored = cube.read_cube(spark, folder)
+    scored = sent.narrow_scores(posts, LEXICON)
+    asked = spark.createDataFrame([(w, i) for i, w in enumerate(dict.fromkeys(words))], "word string, word_count long")
+
+    def rows(df):
+        return sorted(map(tuple, df.collect()))
+
+    assert rows(cube.distribution(stored)) == rows(sent.sentiment_distribution(scored))
+    assert rows(cube.words_sentiment(stored, asked.select("word"))) == rows(sent.analyze_words(posts, words, LEXICON))
+    ranked = asked.withColumnRenamed("word_count", "n")
+    assert rows(cube.words_sentiment(stored, asked)) == rows(sent.top_words_sentiment(posts, ranked, LEXICON))
+    assert rows(cube.words_sentiment_by_date(stored)) == rows(sent.word_sentiment_by_date(posts, words, LEXICON))
+    plan = cube.distribution(stored)._jdf.queryExecution().executedPlan().toString()
+    assert empty or "PartitionFilters: [isnotnull(by_day" in plan
+
+
+def test_cube_searches_each_text_once(spark):
+    plan = cube.sentiment_cube(dated_posts(spark), ["day", "fine"], LEXICON)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("filter(") == 1
+
+
+def test_summary_reads_metadata_only(spark, tmp_path):
+    posts, folder = dated_posts(spark), str(tmp_path / "posts")
+    write_posts(posts, folder)
+    assert stored_summary(spark, folder).collect() == corpus_summary(posts).collect()
+    assert stored_date_range(spark, folder).collect() == date_range(posts).collect()
+    days = {r.day: r.posts for r in stored_days(spark, folder).collect()}
+    assert days == {None: 2, date(2024, 1, 1): 1, date(2024, 1, 2): 2, date(2024, 1, 3): 1, date(2024, 1, 5): 1}
+    plan = stored_days(spark, folder)._jdf.queryExecution().toString()
+    assert "PushedAggregation: [COUNT(*)]" in plan and "content" not in plan.split("Physical Plan")[1]
+    # The caller's session keeps its reader.
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+
+
+def test_summary_without_dates_and_without_posts(spark, tmp_path):
+    for name, posts in {"undated": dated_posts(spark).where("id = 6"), "none": dated_posts(spark).limit(0)}.items():
+        folder = str(tmp_path / name)
+        write_posts(posts, folder)
+        assert stored_summary(spark, folder).collect() == corpus_summary(posts).collect()
+        assert stored_date_range(spark, folder).collect() == date_range(posts).collect()
