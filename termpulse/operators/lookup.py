@@ -70,7 +70,8 @@ def lookup_words(
         F.col("word").alias("_tail_word"), packed.alias("_tail"), salts.alias("_salt")
     )
     same = (F.col("_key") == F.col("_tail_word")) & (F.col("_slice") == F.col("_salt"))
-    joined = keyed.join(tail, same, "left")
+    # Spark takes the copies for as small as the stored table and might broadcast them all.
+    joined = keyed.join(tail.hint("merge"), same, "left")
     found = F.coalesce("_hot", "_tail")
     return joined.where(found.isNotNull()).select(
         *tokens.columns, *[found[v].alias(v) for v in values]

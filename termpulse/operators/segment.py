@@ -88,7 +88,8 @@ def _hits(runs: DataFrame, terms: DataFrame, weight: str | None) -> DataFrame:
     else:
         salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(S.SALTS - 1))))
         places = places.withColumn("_slice", F.pmod(F.xxhash64("_key", "pos"), F.lit(S.SALTS)).cast("int"))
-        met = places.join(salted, (F.col("gram") == F.col("_term")) & (F.col("_slice") == F.col("_salt")), "left")
+        # Measured too big to broadcast, whatever Spark takes its size for.
+        met = places.join(salted.hint("merge"), (F.col("gram") == F.col("_term")) & (F.col("_slice") == F.col("_salt")), "left")
     # An atom that the table does not know counts as one seen once.
     unknown = F.lit(0).cast("bigint") if weight is None else _cost(_total(terms, weight), F.lit(1.0))
     return met.where((F.col("len") == 1) | F.col("_term").isNotNull()).select(

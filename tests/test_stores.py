@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from termpulse.functions.text import lexicon_tokenizer, tokenize_whitespace
 from termpulse.operators import bayes, keywords, models
 from termpulse.operators import sentiment as sent
+from termpulse.operators.lookup import WordTable, lookup_words
 from termpulse.plans.summary import corpus_summary, date_range, stored_date_range, stored_days, stored_summary
 from termpulse.sinks import counts, cube
 from termpulse.sinks.posts import write_posts
@@ -186,3 +187,14 @@ def test_summary_without_dates_and_without_posts(spark, tmp_path):
         write_posts(posts, folder)
         assert stored_summary(spark, folder).collect() == corpus_summary(posts).collect()
         assert stored_date_range(spark, folder).collect() == date_range(posts).collect()
+
+
+def test_copies_of_a_big_stored_table_are_not_broadcast(spark, tmp_path):
+    """The file is small; sixteen copies of each of its rows need not be."""
+    folder = str(tmp_path / "words")
+    spark.range(2000).select(F.concat(F.lit("w"), "id").alias("word"), F.lit(1).alias("n"), F.lit(0.5).alias("v")).write.parquet(folder)
+    rows = spark.createDataFrame([(1, "w7"), (1, "none"), (2, "w1999")], "id int, word string")
+    joined = lookup_words(rows, WordTable(spark.read.parquet(folder), "n", False), ["v"], hot=1)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert {tuple(r) for r in joined.collect()} == {(1, "w7", 0.5), (2, "w1999", 0.5)}
