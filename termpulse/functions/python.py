@@ -5,23 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from termpulse.functions.text import Tokenizer
 
+#: Texts, and characters of text, whose words are held as Python lists at once.
+TEXTS, CHARACTERS = 64, 1 << 20
+
 
 def python_tokenizer(func: Callable[[str], list[str]]) -> Tokenizer:
     """Wrap ``str -> list[str]`` for use as a tokeniser.
 
     ``func`` reaches each worker once, so a segmenter that loads a dictionary
     does so once per worker, not per row. Null and empty text give no words.
+    Words leave the worker after every few texts, so its memory does not grow with
+    the number of texts that Spark sends at once.
     """
 
-    def batches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            yield pd.Series([list(func(t)) if t else [] for t in series], dtype="object")
-
-    return F.pandas_udf(batches, "array<string>")
+    def batches(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in arrays:
+            words, size = [], 0
+            for text in (t.as_py() for t in texts):
+                words.append(list(func(text)) if text else [])
+                size += len(text or "")
+                if len(words) == TEXTS or size >= CHARACTERS:
+                    yield pa.array(words, pa.list_(pa.string()))
+                    words, size = [], 0
+            if words:
+                yield pa.array(words, pa.list_(pa.string()))
+
+    return F.arrow_udf(batches, "array<string>")
 
 
 def decodes_as_gbk():

@@ -1,12 +1,13 @@
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from termpulse.functions import arrays, text
-from termpulse.functions.python import python_tokenizer
+from termpulse.functions.python import CHARACTERS, TEXTS, python_tokenizer
 
 X = F.col("x")
 
@@ -136,3 +137,12 @@ def test_empty_arrays_inside_a_row(values):
     none = F.filter(F.split(X, " "), lambda w: F.lit(False))
     assert values(["a"], arrays.count_words(none)) == [[]]
     assert values(["a"], arrays.word_positions(none)) == [[]]
+
+
+def test_python_tokenizer_holds_the_words_of_few_texts():
+    split = python_tokenizer(lambda s: s.split("-")).func
+    texts = [f"a-{i}" for i in range(1000)] + ["b" * (CHARACTERS // 2), "", None] * 4
+    made = list(split(iter([pa.array(texts, pa.string())])))
+    assert max(map(len, made)) <= TEXTS
+    assert max(sum(len(w) for words in part.to_pylist() for w in words) for part in made) <= 1.5 * CHARACTERS
+    assert [w for part in made for w in part.to_pylist()] == [t.split("-") if t else [] for t in texts]
