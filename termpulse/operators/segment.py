@@ -71,7 +71,8 @@ def _cost(total: Column, n: Column) -> Column:
 
 
 def _hits(runs: DataFrame, terms: DataFrame, weight: str | None) -> DataFrame:
-    """``_key, pos, len, gram, cost``: every atom of every run, and every term found.
+    """``_key, pos, len, gram, cost``: every atom of every run, and every term found;
+    the rows of a run are in one task.
 
     Windows of as many atoms as terms have, one per place and number of atoms, meet the
     table. A small table is broadcast; else a window met in a third of all runs is
@@ -81,9 +82,14 @@ def _hits(runs: DataFrame, terms: DataFrame, weight: str | None) -> DataFrame:
     # A few numbers, whatever the size of the table.
     lengths = table.select(F.size(atoms(F.col("_term"))).alias("k")).where("k > 1").agg(F.collect_set("k").alias("k")).scalar()
     each = F.explode(F.array_union(F.array(F.lit(1)), F.coalesce("_lengths", F.array().cast("array<int>")))).alias("len")
+    small = fits_broadcast(table)
+    if small:
+        # Dealt out before they are cut: no window leaves its task then.
+        tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        runs = runs.select("_key", "run").repartition(tasks, "_key")
     cut = runs.select("_key", "run", lengths.alias("_lengths")).select("_key", "run", each)
     places = cut.select("_key", "len", F.posexplode(atom_windows(F.col("run"), F.col("len"))).alias("pos", "gram"))
-    if fits_broadcast(table):
+    if small:
         met = places.join(F.broadcast(table), F.col("gram") == F.col("_term"), "left")
     else:
         salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(S.SALTS - 1))))
@@ -92,9 +98,10 @@ def _hits(runs: DataFrame, terms: DataFrame, weight: str | None) -> DataFrame:
         met = places.join(salted.hint("merge"), (F.col("gram") == F.col("_term")) & (F.col("_slice") == F.col("_salt")), "left")
     # An atom that the table does not know counts as one seen once.
     unknown = F.lit(0).cast("bigint") if weight is None else _cost(_total(terms, weight), F.lit(1.0))
-    return met.where((F.col("len") == 1) | F.col("_term").isNotNull()).select(
+    hits = met.where((F.col("len") == 1) | F.col("_term").isNotNull()).select(
         "_key", "pos", "len", "gram", F.coalesce("_cost", unknown).alias("cost")
     )
+    return hits if small else hits.repartition("_key")
 
 
 def _pieces(hits: DataFrame, all_hits: bool) -> DataFrame:
@@ -102,7 +109,7 @@ def _pieces(hits: DataFrame, all_hits: bool) -> DataFrame:
     its hits, or only with the longest."""
     hit = F.struct("len", "cost", "gram")
     found = F.sort_array(F.collect_list(hit)) if all_hits else F.array(F.max(hit))
-    places = hits.repartition("_key").groupBy("_key", "pos").agg(found.alias("hits"))
+    places = hits.groupBy("_key", "pos").agg(found.alias("hits"))
     in_order = Window.partitionBy("_key").orderBy("pos")
     reach = F.max(F.col("pos") + F.element_at("hits", -1)["len"]).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     cut = (F.coalesce(reach, F.lit(0)) <= F.col("pos")).cast("int")

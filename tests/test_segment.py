@@ -170,3 +170,11 @@ def test_found_words_feed_the_cut(spark, make_posts):
     counts = {r.word: r.n for r in segment.segmented_word_counts(runs, terms, "n").collect()}
     joined = "".join(texts)
     assert all(abs(counts[w] - joined.count(w)) <= 0.05 * joined.count(w) for w in words)
+
+
+def test_windows_of_a_small_table_are_not_shuffled(spark):
+    runs = spark.createDataFrame([("天地A",), ("A天地",)], "run string")
+    cut = segment.segment_runs(runs, spark.createDataFrame([("天地",)], "term string"))
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan
+    assert {r.run: r.words for r in cut.collect()} == {"天地A": ["天地", "A"], "A天地": ["A", "天地"]}
