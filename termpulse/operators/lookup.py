@@ -1,4 +1,5 @@
-"""Token rows against a word-keyed table, safe for hot words and big tables."""
+"""Words against a word-keyed table, safe for hot words and big tables: token rows, or the
+words of a post inside its row."""
 
 from __future__ import annotations
 
@@ -6,11 +7,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termpulse import settings as S
-from termpulse.storage import fits_broadcast
+from termpulse.storage import fits_broadcast, row_width
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,59 @@ class WordTable:
         self.words.unpersist()
 
 
+@dataclass(frozen=True)
+class FrequentWords:
+    """``value`` of the most frequent words of a table, as many as a broadcast holds, for
+    lookups inside a row; ``rest`` has the other words.
+
+    ``maps`` is one value, an array of small maps: a word is in the map that its hash names.
+    """
+
+    maps: Column
+    slots: int
+    rest: DataFrame | None
+
+    @classmethod
+    def of(cls, table: WordTable, value: str) -> FrequentWords:
+        """Weights are taken by eighths of a power of two. Counting these is one aggregate
+        over the table, a row each; a small table is taken whole."""
+        words = table.words.select("word", value, F.floor(F.log2(table.weight) * 8).alias("_class"))
+        if table.small:
+            n, head, rest = words.count(), words, None
+        else:
+            classes = words.groupBy("_class").agg(
+                F.count(F.lit(1)).alias("n"), F.sum(row_width(words)).alias("size")
+            )
+            n = size = 0
+            least = None
+            for c in classes.where("_class IS NOT NULL").orderBy(F.desc("_class")).collect():
+                if n + c["n"] > S.BROADCAST_ROWS or size + c["size"] > S.BROADCAST_BYTES:
+                    break
+                n, size, least = n + c["n"], size + c["size"], c["_class"]
+            frequent = F.coalesce(F.col("_class") >= F.lit(least), F.lit(False))
+            head, rest = words.where(frequent), words.where(~frequent).drop("_class")
+        slots = n // S.WORDS_PER_MAP + 1
+        entries = (
+            head.where(F.col("word").isNotNull())
+            .groupBy(_slot(F.col("word"), slots).alias("slot"))
+            .agg(F.collect_list(F.struct("word", value)).alias("entries"))
+        )
+        every = table.words.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
+        in_order = F.sort_array(F.collect_list(F.struct("slot", "entries")))
+        maps = every.join(entries, "slot", "left").agg(
+            F.transform(in_order, lambda s: F.map_from_entries(s["entries"])).alias("maps")
+        )
+        return cls(maps.scalar(), slots, rest)
+
+    def find(self, maps: Column, word: Column) -> Column:
+        """The value of a word, or null; ``maps`` is ``self.maps`` bound by ``let``."""
+        return F.get(maps, _slot(word, self.slots))[word]
+
+
+def _slot(word: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(slots)).cast("int")
+
+
 def lookup_words(
     tokens: DataFrame, table: WordTable, values: Sequence[str], spread: str = "id", hot: int = S.HOT_WORDS
 ) -> DataFrame:
@@ -57,22 +111,32 @@ def lookup_words(
         .select("word", packed.alias("_hot"))
     )
     marked = tokens.join(F.broadcast(head), "word", "left")
+    joined = lookup_rest(marked, table.words, values, F.col("_hot").isNotNull(), spread)
+    found = F.coalesce("_hot", "_rest")
+    return joined.where(found.isNotNull()).select(
+        *tokens.columns, *[found[v].alias(v) for v in values]
+    )
+
+
+def lookup_rest(
+    tokens: DataFrame, words: DataFrame, values: Sequence[str], known: Column, spread: str = "id"
+) -> DataFrame:
+    """Left join of ``tokens`` with ``words``, adding the struct ``_rest`` of ``values``.
+
+    Rows already ``known`` are joined with nothing, and spread over the tasks.
+    """
     # A leading NUL keeps the made-up keys apart from every word.
     spread_key = F.concat(F.lit("\0"), F.col(spread).cast("string"))
-    keyed = marked.withColumns(
+    keyed = tokens.withColumns(
         {
-            "_key": F.when(F.col("_hot").isNotNull(), spread_key).otherwise(F.col("word")),
+            "_key": F.when(known, spread_key).otherwise(F.col("word")),
             "_slice": F.pmod(F.xxhash64(spread), F.lit(S.SALTS)).cast("int"),
         }
     )
     salts = F.explode(F.sequence(F.lit(0), F.lit(S.SALTS - 1)))
-    tail = table.words.select(
-        F.col("word").alias("_tail_word"), packed.alias("_tail"), salts.alias("_salt")
+    tail = words.select(
+        F.col("word").alias("_tail_word"), F.struct(*values).alias("_rest"), salts.alias("_salt")
     )
     same = (F.col("_key") == F.col("_tail_word")) & (F.col("_slice") == F.col("_salt"))
     # Spark takes the copies for as small as the stored table and might broadcast them all.
-    joined = keyed.join(tail.hint("merge"), same, "left")
-    found = F.coalesce("_hot", "_tail")
-    return joined.where(found.isNotNull()).select(
-        *tokens.columns, *[found[v].alias(v) for v in values]
-    )
+    return keyed.join(tail.hint("merge"), same, "left").drop("_key", "_slice", "_tail_word", "_salt")

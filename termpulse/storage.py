@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termpulse import settings as S
@@ -47,13 +47,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def fits_broadcast(
-    df: DataFrame, rows: int = S.BROADCAST_ROWS, size: int = S.BROADCAST_BYTES
-) -> bool:
-    """Measure whether a lookup table is small enough to broadcast.
-
-    One aggregate over the table, a row per task; nothing of it is moved.
-    """
+def row_width(df: DataFrame) -> Column:
+    """About how many bytes a row takes in memory."""
 
     def width_of(name: str, kind: str):
         if kind == "string":
@@ -62,8 +57,17 @@ def fits_broadcast(
             return F.coalesce(F.octet_length(F.concat_ws("", name)) + 8 * F.size(name), F.lit(0))
         return F.lit(8)
 
-    width = sum((width_of(c, t) for c, t in df.dtypes), F.lit(16))
-    n, total = df.agg(F.count(F.lit(1)), F.sum(width)).first()
+    return sum((width_of(c, t) for c, t in df.dtypes), F.lit(16))
+
+
+def fits_broadcast(
+    df: DataFrame, rows: int = S.BROADCAST_ROWS, size: int = S.BROADCAST_BYTES
+) -> bool:
+    """Measure whether a lookup table is small enough to broadcast.
+
+    One aggregate over the table, a row per task; nothing of it is moved.
+    """
+    n, total = df.agg(F.count(F.lit(1)), F.sum(row_width(df))).first()
     return n <= rows and (total or 0) <= size
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import physical
+from termpulse import settings as S
 from termpulse.functions.text import lexicon_tokenizer, tokenize_whitespace
 from termpulse.operators import bayes, keywords, matching, segment
 from termpulse.operators import frequency as freq
@@ -51,6 +52,52 @@ def test_tfidf(make_posts, small):
     fitted.release()
 
 
+def shuffled_rows(df):
+    """Rows that a query's exchanges have written."""
+
+    def below(node):
+        yield node
+        for i in range(node.children().size()):
+            yield from below(node.children().apply(i))
+
+    counts = (n.metrics().get("shuffleRecordsWritten") for n in below(df._jdf.queryExecution().executedPlan()))
+    return sum(c.get().value() for c in counts if c.isDefined())
+
+
+@pytest.mark.parametrize("most", [0, 700, 3000])
+def test_tfidf_of_a_big_table_shuffles_few_words(spark, make_posts, monkeypatch, most):
+    """Frequent words, as many as a broadcast holds, are looked up and cut in the post's row."""
+    rng = random.Random(5)
+    common = [f"c{i:03}" for i in range(600)]
+    texts = [" ".join([*common, *rng.choices(common, k=50), *(f"r{n}x{i}" for i in range(5))]) for n in range(100)]
+    posts = make_posts(*texts, "", None, "r1x1 r1x1 c000", "unknown")
+    fitted = keywords.fit_idf(posts)
+    table = fitted.words.where("word NOT IN ('unknown', 'r2x2', 'c001')")
+    want = by_id(keywords.keywords_by_tfidf(posts, WordTable(table, "df", True), 8))
+    idf = {r.word: r.idf for r in table.collect()}
+    for i in (1, 3, 103):
+        ts = [*texts, "", "", "r1x1 r1x1 c000"][i - 1].split()
+        plain = top({w: round(n / len(ts) * idf[w], 6) for w, n in Counter(ts).items() if w in idf}, 8)
+        assert [w for w, _ in want[i]] == [w for w, _ in plain] and len(want[i]) == len(plain)
+        assert [x for _, x in want[i]] == pytest.approx([x for _, x in plain], abs=2e-6)
+    assert 104 not in want
+    monkeypatch.setattr(S, "BROADCAST_ROWS", most)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = keywords.keywords_by_tfidf(posts, WordTable(table, "df", False), 8)
+        found = defaultdict(list)
+        for r in sorted(got.collect(), key=lambda r: (r.id, r.rank)):
+            found[r.id].append((r.word, r.weight))
+        assert dict(found) == want
+        if most:
+            # The copies of the rest of the table, and not the 60,000 words of the posts.
+            assert shuffled_rows(got) < 20_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    fitted.release()
+
+
 def textrank(tokens, rounds=10):
     w = defaultdict(Counter)
     for i, a in enumerate(tokens):
