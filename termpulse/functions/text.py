@@ -61,7 +61,8 @@ def is_blank(text: Column) -> Column:
 
 
 def is_number(word: Column) -> Column:
-    return word.rlike(DIGITS_ONLY)
+    # What begins with an ASCII letter or an underscore needs no regular expression.
+    return ((word < "A") | (word >= "\x80")) & word.rlike(DIGITS_ONLY)
 
 
 def keep_word(

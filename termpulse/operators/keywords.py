@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from termpulse import settings as S
 from termpulse.functions.arrays import count_words, heaviest, let, word_positions
+from termpulse.functions.python import leading_words
 from termpulse.functions.text import Tokenizer, tokens_of
 from termpulse.operators.filters import non_empty
 from termpulse.operators.lookup import FrequentWords, WordTable, lookup_rest
@@ -86,20 +87,14 @@ def keywords_by_tfidf(
     """``key, rank, word, weight`` with ``tf / length * idf``, six decimals.
 
     Use the stopwords and the tokeniser the table was fitted with; words it lacks are skipped.
-    Words are counted inside the post's row, and the frequent words of the table are looked
-    up and cut to the first ``k`` there too. Shuffled are these and, if the table is too big
+    Python counts the words of each post, looks up the frequent words of the table and leaves
+    those that can be among the first ``k``. Shuffled are these and, if the table is too big
     to broadcast, the post's words that are not among its frequent ones, unless even the
     highest idf leaves them behind the ``k`` words found.
     """
-    counted = let(
-        tokens_of(F.col(content), stopwords, tokenizer),
-        lambda ts: F.transform(
-            count_words(ts),
-            lambda c: F.struct(c["word"].alias("word"), (c["tf"] / F.size(ts)).alias("share")),
-        ),
-    )
     frequent = FrequentWords.of(idf, "idf")
-    highest = idf.words.agg(F.max("idf")).scalar()
+    tokens = tokens_of(F.col(content), stopwords, tokenizer)
+    near = leading_words(frequent.entries, k, frequent.highest if frequent.rest is not None else None)(tokens)
 
     def first(words: Column) -> Column:
         """The first ``k`` of the words found."""
@@ -111,36 +106,17 @@ def keywords_by_tfidf(
             top, lambda x: F.struct(x["word"].alias("word"), F.lit(None).cast("double").alias("share"), x["weight"].alias("weight"))
         )
 
-    def cut(words: Column, most: Column) -> Column:
-        # Less than the k-th weight by more than rounding can change: not among the first k.
-        in_order = F.sort_array(F.transform(words, lambda x: x["weight"]), asc=False)
-        least = F.coalesce(F.get(in_order, F.lit(k - 1)) - 2e-6, F.lit(float("-inf")))
-        near = let(
-            least,
-            lambda least: F.filter(words, lambda x: F.coalesce(x["weight"], x["share"] * most) >= least),
-        )
+    def cut(words: Column) -> Column:
         if frequent.rest is None:
-            return first(near)
-        return let(near, lambda ws: F.concat(first(ws), F.filter(ws, lambda x: x["weight"].isNull())))
-
-    weighed = let(
-        F.col("_maps"),
-        lambda maps: F.transform(
-            counted,
-            lambda c: F.struct(
-                c["word"].alias("word"),
-                c["share"].alias("share"),
-                (c["share"] * frequent.find(maps, c["word"])).alias("weight"),
-            ),
-        ),
-    )
-    kept = let(F.col("_highest"), lambda most: let(weighed, lambda words: cut(words, most)))
-    # Each value is named once, so that it is put into the expression and not into the rows.
-    bound = posts.withColumns({"_maps": frequent.maps, "_highest": highest})
+            return first(words)
+        return F.concat(first(words), F.filter(words, lambda x: x["weight"].isNull()))
+
     # For the outer form Spark infers no filter, which would work the array out again.
-    rows = bound.select(key, kept.alias("kept")).select(key, F.inline_outer("kept"))
+    rows = posts.select(key, near.alias("_near")).select(key, F.inline_outer(let(F.col("_near"), cut)))
     if frequent.rest is not None:
-        joined = lookup_rest(rows, frequent.rest, ["idf"], F.col("weight").isNotNull(), key)
+        # No word of the rest is in many of the posts that the table was fitted on, so one
+        # copy will do; for other posts Spark splits the tasks that get too many rows.
+        joined = lookup_rest(rows, frequent.rest, ["idf"], F.col("weight").isNotNull(), key, slices=1)
         rows = joined.withColumn("weight", F.coalesce("weight", F.bround(F.col("share") * F.col("_rest.idf"), 6)))
     found = rows.where(F.col("weight").isNotNull()).select(key, "word", "weight")
     ranked = first_per_group(found, [key], [F.desc("weight"), "word"], k, "rank", ["word"])

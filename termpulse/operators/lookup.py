@@ -1,12 +1,13 @@
 """Words against a word-keyed table, safe for hot words and big tables: token rows, or the
-words of a post inside its row."""
+words of a post all at once."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+import pyarrow as pa
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,55 +40,39 @@ class WordTable:
 
 @dataclass(frozen=True)
 class FrequentWords:
-    """``value`` of the most frequent words of a table, as many as a broadcast holds, for
-    lookups inside a row; ``rest`` has the other words.
-
-    ``maps`` is one value, an array of small maps: a word is in the map that its hash names.
+    """``word, value`` of the most frequent words of a table, as many as a broadcast holds,
+    for lookups in the Python workers; ``rest`` has the other words, and ``highest`` is the
+    highest value of all.
     """
 
-    maps: Column
-    slots: int
+    entries: Broadcast[pa.Table]
+    highest: float | None
     rest: DataFrame | None
 
     @classmethod
     def of(cls, table: WordTable, value: str) -> FrequentWords:
         """Weights are taken by eighths of a power of two. Counting these is one aggregate
-        over the table, a row each; a small table is taken whole."""
+        over the table, a row each; a small table is taken whole. The words that are
+        broadcast are the only ones that pass through the driver."""
         words = table.words.select("word", value, F.floor(F.log2(table.weight) * 8).alias("_class"))
-        if table.small:
-            n, head, rest = words.count(), words, None
-        else:
-            classes = words.groupBy("_class").agg(
-                F.count(F.lit(1)).alias("n"), F.sum(row_width(words)).alias("size")
-            )
+        classes = words.groupBy("_class").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(row_width(words)).alias("size"), F.max(value).alias("highest")
+        )
+        by_class = sorted(classes.collect(), key=lambda c: (c["_class"] is None, -(c["_class"] or 0)))
+        highest = max((c["highest"] for c in by_class if c["highest"] is not None), default=None)
+        head, rest = words, None
+        if not table.small:
             n = size = 0
             least = None
-            for c in classes.where("_class IS NOT NULL").orderBy(F.desc("_class")).collect():
-                if n + c["n"] > S.BROADCAST_ROWS or size + c["size"] > S.BROADCAST_BYTES:
+            for c in by_class:
+                n, size = n + c["n"], size + c["size"]
+                if c["_class"] is None or n > S.BROADCAST_ROWS or size > S.BROADCAST_BYTES:
                     break
-                n, size, least = n + c["n"], size + c["size"], c["_class"]
+                least = c["_class"]
             frequent = F.coalesce(F.col("_class") >= F.lit(least), F.lit(False))
             head, rest = words.where(frequent), words.where(~frequent).drop("_class")
-        slots = n // S.WORDS_PER_MAP + 1
-        entries = (
-            head.where(F.col("word").isNotNull())
-            .groupBy(_slot(F.col("word"), slots).alias("slot"))
-            .agg(F.collect_list(F.struct("word", value)).alias("entries"))
-        )
-        every = table.words.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
-        in_order = F.sort_array(F.collect_list(F.struct("slot", "entries")))
-        maps = every.join(entries, "slot", "left").agg(
-            F.transform(in_order, lambda s: F.map_from_entries(s["entries"])).alias("maps")
-        )
-        return cls(maps.scalar(), slots, rest)
-
-    def find(self, maps: Column, word: Column) -> Column:
-        """The value of a word, or null; ``maps`` is ``self.maps`` bound by ``let``."""
-        return F.get(maps, _slot(word, self.slots))[word]
-
-
-def _slot(word: Column, slots: int) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(slots)).cast("int")
+        listed = head.select("word", F.col(value).cast("double").alias("value")).dropna().toArrow()
+        return cls(table.words.sparkSession.sparkContext.broadcast(listed.combine_chunks()), highest, rest)
 
 
 def lookup_words(
@@ -119,24 +104,26 @@ def lookup_words(
 
 
 def lookup_rest(
-    tokens: DataFrame, words: DataFrame, values: Sequence[str], known: Column, spread: str = "id"
+    tokens: DataFrame,
+    words: DataFrame,
+    values: Sequence[str],
+    known: Column,
+    spread: str = "id",
+    slices: int = S.SALTS,
 ) -> DataFrame:
     """Left join of ``tokens`` with ``words``, adding the struct ``_rest`` of ``values``.
 
-    Rows already ``known`` are joined with nothing, and spread over the tasks.
+    Rows already ``known`` are joined with nothing, and spread over the tasks. The rows of any
+    other word are dealt to ``slices`` tasks, for which the table is copied as often.
     """
     # A leading NUL keeps the made-up keys apart from every word.
     spread_key = F.concat(F.lit("\0"), F.col(spread).cast("string"))
-    keyed = tokens.withColumns(
-        {
-            "_key": F.when(known, spread_key).otherwise(F.col("word")),
-            "_slice": F.pmod(F.xxhash64(spread), F.lit(S.SALTS)).cast("int"),
-        }
-    )
-    salts = F.explode(F.sequence(F.lit(0), F.lit(S.SALTS - 1)))
-    tail = words.select(
-        F.col("word").alias("_tail_word"), F.struct(*values).alias("_rest"), salts.alias("_salt")
-    )
-    same = (F.col("_key") == F.col("_tail_word")) & (F.col("_slice") == F.col("_salt"))
+    keyed = tokens.withColumn("_key", F.when(known, spread_key).otherwise(F.col("word")))
+    tail = words.select(F.col("word").alias("_tail_word"), F.struct(*values).alias("_rest"))
+    same = F.col("_key") == F.col("_tail_word")
+    if slices > 1:
+        keyed = keyed.withColumn("_slice", F.pmod(F.xxhash64(spread), F.lit(slices)).cast("int"))
+        tail = tail.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        same = same & (F.col("_slice") == F.col("_salt"))
     # Spark takes the copies for as small as the stored table and might broadcast them all.
     return keyed.join(tail.hint("merge"), same, "left").drop("_key", "_slice", "_tail_word", "_salt")

@@ -74,5 +74,3 @@ GROUP_LIMIT = 1_000
 # Copies of each term when a big term table meets skewed n-grams, and slices
 # of a group ranked beyond GROUP_LIMIT.
 SALTS = 16
-# Words in each small map of a table that is looked up inside rows, on average.
-WORDS_PER_MAP = 4

@@ -2,11 +2,13 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import physical
 from termpulse import settings as S
+from termpulse.functions import python
 from termpulse.functions.text import lexicon_tokenizer, tokenize_whitespace
 from termpulse.operators import bayes, keywords, matching, segment
 from termpulse.operators import frequency as freq
@@ -98,6 +100,52 @@ def test_tfidf_of_a_big_table_shuffles_few_words(spark, make_posts, monkeypatch,
     fitted.release()
 
 
+def test_tfidf_of_a_big_table_shuffles_no_copies_of_it(spark, make_posts, monkeypatch):
+    """One row for each word that is not broadcast, and work on a post's words outside lambdas."""
+    rng = random.Random(6)
+    words = [f"w{i:04}" for i in range(3000)]
+    posts = make_posts(*(" ".join(rng.choices(words, k=60)) for _ in range(80)))
+    fitted = keywords.fit_idf(posts)
+    n = fitted.words.count()
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 500)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = keywords.keywords_by_tfidf(posts, WordTable(fitted.words, "df", False), 5)
+        got.collect()
+        assert shuffled_rows(got) < n + 2 * 80 * 60
+        plan = physical(got)
+        assert plan.count("ArrowEvalPython [") == 1 and "map_from_entries" not in plan
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert by_id(got) == by_id(keywords.keywords_by_tfidf(posts, WordTable(fitted.words, "df", True), 5))
+    fitted.release()
+
+
+@pytest.mark.parametrize("highest", [None, 3.0])
+def test_leading_words_against_a_count(monkeypatch, highest):
+    monkeypatch.setattr(python, "WORDS", 20)
+    rng = random.Random(8)
+    values = {f"w{i}": rng.choice([0.5, 1.0, rng.random() * 3]) for i in range(30)}
+    lists = [rng.choices([*values, "x1", "x2", None], k=rng.choice([0, 1, 5, 60])) for _ in range(50)] + [None]
+    arrays = pa.array([["cut off"], *lists], pa.list_(pa.string())).slice(1)
+    parts = list(python._parts(arrays))
+    assert len(parts) > 10 and sum(map(len, parts)) == 51
+    got = [
+        row
+        for part in parts
+        for row in python._leading(part, pa.array(list(values)), pa.array(list(values.values())), 4, highest).to_pylist()
+    ]
+    for row, ts in zip(got, lists):
+        counts = Counter(t for t in ts or () if t is not None)
+        weights = {w: n / len(ts) * values[w] for w, n in counts.items() if w in values}
+        least = sorted(weights.values())[-4] - 2e-6 if len(weights) >= 4 else -math.inf
+        want = {(w, counts[w] / len(ts), x) for w, x in weights.items() if x >= least}
+        if highest is not None:
+            want |= {(w, n / len(ts), None) for w, n in counts.items() if w not in values and n / len(ts) * highest >= least}
+        assert {tuple(r.values()) for r in row} == want and len(row) == len(want)
+
+
 def textrank(tokens, rounds=10):
     w = defaultdict(Counter)
     for i, a in enumerate(tokens):
