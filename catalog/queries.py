@@ -442,7 +442,8 @@ def word_post_matches_(spark, sf):
 
 @query
 def word_post_matches_table(spark, sf):
-    """The n-gram equi-join, with every distinct benchmark word as the table."""
+    """The equi-join on n-grams, inside the tasks as the table fits a broadcast; the table
+    holds every distinct benchmark word."""
     words = (
         spark.read.parquet(f"{sf}/benchmark.parquet")
         .select(F.explode(F.split("text", f"[{X.SPACE}]+")).alias("word"))
